@@ -5,10 +5,9 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hearthspan.functions.rank import first_k, group_quantiles, newest, same_keys, with_previous
+from hearthspan.functions.rank import first_k, group_quantiles, newest, with_previous
 
 SALE_ORDER = ["sale_date", "tie1", "tie2", "tie3", "price"]
 RESIDENTIAL = ("D", "S", "T", "F")
@@ -73,25 +72,30 @@ def repeat_sales(sales: DataFrame, key: str = "address_key", hot_rows: int = 1_0
 
 
 def growth_parts(pairs: DataFrame, keys: list[str], as_of_year: int, windows=(3, 5, 10)) -> DataFrame:
-    """Sums from which hold-weighted growth follows at any coarser level."""
+    """Sums from which hold-weighted growth follows at any coarser level.
+
+    Returns and holds carry two decimals, so they are summed as whole hundredths: the result does
+    not depend on the order in which tasks add.
+    """
     aggs = []
+    ret, held = F.round(F.col("annual_return") * 100).cast("bigint"), F.round(F.col("years_held") * 100).cast("bigint")
     for w in windows:
         inside = F.year("sale_date") >= as_of_year - w
         aggs += [
-            F.sum(F.when(inside, F.col("annual_return") * F.col("years_held"))).alias(f"_num_{w}"),
-            F.sum(F.when(inside, F.col("years_held"))).alias(f"_den_{w}"),
+            F.sum(F.when(inside, ret * held)).alias(f"_num_{w}"),
+            F.sum(F.when(inside, held)).alias(f"_den_{w}"),
             F.count(F.when(inside, 1)).alias(f"_cnt_{w}"),
         ]
     return pairs.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("_all"))
 
 
-def growth_columns(windows=(3, 5, 10), digits: int = 8) -> list[Column]:
+def growth_columns(windows=(3, 5, 10)) -> list[Column]:
     """Rates, counts and direction from summed parts."""
     outs = []
     for w in windows:
-        rate = F.when(F.col(f"_den_{w}") > 0, F.col(f"_num_{w}") / F.col(f"_den_{w}"))
-        outs += [F.round(rate, digits).alias(f"cagr_{w}y"), F.col(f"_cnt_{w}").alias(f"cagr_{w}y_count")]
-    recent = F.when(F.col("_den_3") > 0, F.col("_num_3") / F.col("_den_3"))
+        rate = F.when(F.col(f"_den_{w}") > 0, F.col(f"_num_{w}") / F.col(f"_den_{w}") / 100)
+        outs += [rate.alias(f"cagr_{w}y"), F.col(f"_cnt_{w}").alias(f"cagr_{w}y_count")]
+    recent = F.when(F.col("_den_3") > 0, F.col("_num_3") / F.col("_den_3") / 100)
     direction = (
         F.when(F.col("_cnt_3") == 0, "unknown").when(recent > 3, "up").when(recent < -3, "down").otherwise("stable")
     )
@@ -233,19 +237,22 @@ def cohort_ladder(pairs: DataFrame, subjects: DataFrame, near: DataFrame, least:
         F.when(F.col("clean"), 1), F.when(F.col("market"), 2), F.lit(3)
     )
     tiered = flagged.withColumn("tier", F.explode(F.array_compact(tiers)))
-    rungs = []
-    for number, (place, rows) in enumerate(
-        [
-            ("postcode", tiered.join(near.select("subject", "postcode"), "postcode").withColumn("place", F.col("subject"))),
-            ("sector", tiered.withColumn("place", F.col("sector"))),
-            ("outcode", tiered.withColumn("place", F.col("outcode"))),
-        ],
-        start=1,
-    ):
-        stats = cohort_stats(rows.select("place", "tier", "pct_change", "hold_years"), ["place", "tier"])
-        rungs.append(subjects.join(stats.withColumnRenamed("place", place), place).select(subjects["postcode"].alias("subject"), F.lit(number).alias("rung"), "tier", "n", "median_pct", "losers", "gainers", "loss_share", "median_hold"))
-    every = reduce(DataFrame.unionByName, rungs).where(F.col("n") >= least)
-    return newest(every, ["subject"], ["tier", "rung"], oldest=True)
+    near = near.select("subject", "postcode")
+    ladder = F.array(*[F.struct(F.lit(r).alias("rung"), F.col(c).alias("place")) for r, c in ((2, "sector"), (3, "outcode"))])
+    # counts add up, so the rung and tier are chosen from per-postcode counts before any median is taken
+    counts = tiered.groupBy("postcode", "sector", "outcode", "tier").agg(F.count(F.lit(1)).alias("_n"))
+    by_walk = counts.join(near, "postcode").groupBy("subject", "tier").agg(F.sum("_n").alias("_n"))
+    by_place = counts.select(F.inline(ladder), "tier", "_n").groupBy("rung", "place", "tier").agg(F.sum("_n").alias("_n"))
+    own = subjects.select(F.col("postcode").alias("subject"), F.inline(ladder))
+    walk = by_walk.join(subjects.select(F.col("postcode").alias("subject")), "subject", "left_semi")
+    options = walk.select("subject", F.lit(1).alias("rung"), F.col("subject").alias("place"), "tier", "_n").unionByName(
+        own.join(by_place, ["rung", "place"]).select("subject", "rung", "place", "tier", "_n"))
+    chosen = newest(options.where(F.col("_n") >= least).drop("_n"), ["subject"], ["tier", "rung"], oldest=True)
+    beside = tiered.join(near, "postcode").join(chosen.where("rung = 1").select("subject", "tier"), ["subject", "tier"])
+    beside = beside.select(F.lit(1).alias("rung"), F.col("subject").alias("place"), "tier", "pct_change", "hold_years")
+    around = tiered.select(F.inline(ladder), "tier", "pct_change", "hold_years")
+    stats = cohort_stats(beside.unionByName(around), ["rung", "place", "tier"])
+    return chosen.join(stats, ["rung", "place", "tier"]).drop("place")
 
 
 TYPE_NAMES = {"F": "Flat", "T": "Terraced", "S": "Semi-detached", "D": "Detached", "O": "Other"}

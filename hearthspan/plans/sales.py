@@ -18,15 +18,16 @@ pairs AS (SELECT *, round((price - p0) * 100.0 / p0, 2) AS change_pct, round(yrs
   WHERE yrs >= 0.25 AND p0 > 0 AND coalesce(category, '') <> 'B' AND coalesce(c0, '') <> 'B')
 """
 
-GROWTH = ", ".join(
-    f"""round(sum(CASE WHEN year(sale_date) >= {YEAR - w} THEN annual_return * years_held END)
-    / nullif(sum(CASE WHEN year(sale_date) >= {YEAR - w} THEN years_held END), 0), 8) AS cagr_{w}y,
-    count(*) FILTER (WHERE year(sale_date) >= {YEAR - w}) AS cagr_{w}y_count"""
-    for w in (3, 5, 10)
-) + f""", CASE WHEN count(*) FILTER (WHERE year(sale_date) >= {YEAR - 3}) = 0 THEN 'unknown'
-    WHEN sum(CASE WHEN year(sale_date) >= {YEAR - 3} THEN annual_return * years_held END) / sum(CASE WHEN year(sale_date) >= {YEAR - 3} THEN years_held END) > 3 THEN 'up'
-    WHEN sum(CASE WHEN year(sale_date) >= {YEAR - 3} THEN annual_return * years_held END) / sum(CASE WHEN year(sale_date) >= {YEAR - 3} THEN years_held END) < -3 THEN 'down'
-    ELSE 'stable' END AS direction, count(*) AS sample_count"""
+_RH, _H = "round(annual_return * 100)::BIGINT * round(years_held * 100)::BIGINT", "round(years_held * 100)::BIGINT"
+
+
+def _rate(w):
+    inside = f"FILTER (WHERE year(sale_date) >= {YEAR - w})"
+    return f"sum({_RH}) {inside} / nullif(sum({_H}) {inside}, 0) / 100"
+
+
+GROWTH = ", ".join(f"{_rate(w)} AS cagr_{w}y, count(*) FILTER (WHERE year(sale_date) >= {YEAR - w}) AS cagr_{w}y_count" for w in (3, 5, 10)) + f""",
+  CASE WHEN count(*) FILTER (WHERE year(sale_date) >= {YEAR - 3}) = 0 THEN 'unknown' WHEN {_rate(3)} > 3 THEN 'up' WHEN {_rate(3)} < -3 THEN 'down' ELSE 'stable' END AS direction, count(*) AS sample_count"""
 
 ROLLED = f"""SELECT CASE WHEN grouping(postcode) = 0 THEN 'unit' WHEN grouping(sector) = 0 THEN 'sector' WHEN grouping(outcode) = 0 THEN 'outcode' ELSE 'market' END AS level,
   coalesce(postcode, sector, outcode, 'ALL') AS geo, {GROWTH} FROM pairs GROUP BY ROLLUP (outcode, sector, postcode)"""
@@ -198,14 +199,14 @@ def _(i):
 
 @query("agg_price_by_year", f"""WITH {PAIRS}, o AS (SELECT *, year(sale_date) AS y, row_number() OVER (PARTITION BY outcode, year(sale_date) ORDER BY price) AS k, count(*) OVER (PARTITION BY outcode, year(sale_date)) AS nn FROM sales),
   a AS (SELECT outcode, y, count(*) AS n, round(avg(price)) AS average_price, max(CASE WHEN k = nn // 2 + 1 THEN price END) AS median_price FROM o GROUP BY outcode, y),
-  b AS (SELECT outcode, year(sale_date) AS y, count(*) AS repeat_count, round(avg(annual_return), 9) AS avg_return FROM pairs GROUP BY ALL)
+  b AS (SELECT outcode, year(sale_date) AS y, count(*) AS repeat_count, sum(round(annual_return * 100)::BIGINT) / count(*) / 100 AS avg_return FROM pairs GROUP BY ALL)
   SELECT a.outcode, a.y::INT AS sale_year, n, average_price, median_price, coalesce(repeat_count, 0) AS repeat_count, avg_return FROM a LEFT JOIN b USING (outcode, y)""", "sales")
 def _(i):
     s = i.sales.withColumn("sale_year", F.year("sale_date"))
     keys = ["outcode", "sale_year"]
     a = rank.group_quantiles(s, keys, "price", {"average_price": "mean", "median_price": "upper"}).withColumn("average_price", F.round("average_price"))
     pairs = op.repeat_sales(i.sales).withColumn("sale_year", F.year("sale_date"))
-    b = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeat_count"), F.round(F.avg("annual_return"), 9).alias("avg_return"))
+    b = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("repeat_count"), (F.sum(F.round(F.col("annual_return") * 100).cast("bigint")) / F.count(F.lit(1)) / 100).alias("avg_return"))
     return a.join(b, keys, "left").fillna({"repeat_count": 0})
 
 

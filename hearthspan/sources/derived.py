@@ -233,6 +233,23 @@ SELECT l_partkey AS property_id, l_orderkey * 10 + l_linenumber AS image_no, l_e
 FROM {lineitem}
 """
 
+# Postcodes of many shapes: spaced, tight and lower case, units, sectors and outcodes.
+DEFS["mixed_postcodes"] = """
+SELECT k, oc, CASE k % 6 WHEN 0 THEN oc || ' ' || CAST(k % 10 AS STRING) || 'AB' WHEN 1 THEN lower(oc) || CAST(k % 10 AS STRING) || 'xy'
+    WHEN 2 THEN oc WHEN 3 THEN oc || ' ' || CAST(k % 10 AS STRING) WHEN 4 THEN '  ' || oc || '   ' || CAST(k % 10 AS STRING) || 'QT ' ELSE oc || CAST(k % 10 AS STRING) || 'LM' END AS raw
+FROM (SELECT c_custkey AS k, CASE c_nationkey WHEN 0 THEN 'EC1A' WHEN 1 THEN 'W2' WHEN 2 THEN 'SW1A' WHEN 3 THEN 'E15' WHEN 4 THEN 'RM10'
+    WHEN 5 THEN 'SE1' WHEN 6 THEN 'NW1' WHEN 7 THEN 'BR3' WHEN 8 THEN 'N1C' WHEN 9 THEN 'E1' WHEN 10 THEN 'N19' WHEN 11 THEN 'N1' WHEN 12 THEN 'SW11'
+    WHEN 13 THEN 'KT2' WHEN 14 THEN 'M1' WHEN 15 THEN 'B33' WHEN 16 THEN 'WD17' WHEN 17 THEN 'E1W' WHEN 18 THEN 'NW10' WHEN 19 THEN 'SE18'
+    WHEN 20 THEN 'GU1' WHEN 21 THEN 'HA1' WHEN 22 THEN 'TW9' WHEN 23 THEN 'L1' ELSE 'W1K' END AS oc FROM {customer}) c
+"""
+
+# Addresses of sales as free text and of certificates in another wording.
+DEFS["certificates"] = """
+SELECT DISTINCT address_key AS cert_no, postcode, floor_area_sqft,
+  CASE WHEN saon IS NOT NULL THEN replace(saon, 'FLAT', 'Apartment') || ', ' ELSE '' END || paon || CASE WHEN address_key % 3 = 0 THEN ', ' ELSE ' ' END || street || ', London' AS cert_address
+FROM sales WHERE address_key % 10 <> 9
+"""
+
 # Main borough of an outcode and the share it covers; yearly council tax by band.
 DEFS["boroughs"] = """
 SELECT 'N' || CAST(n_nationkey + 1 AS STRING) AS outcode, 'Borough ' || CAST(n_regionkey AS STRING) AS borough,
@@ -245,7 +262,7 @@ SELECT 2019 + CAST(floor(n_nationkey / 5) AS BIGINT) AS tax_year, 'Borough ' ||
 FROM {nation}
 """
 
-_DEPS = {"scores": ("sales",), "score_docs": ("sales",)}
+_DEPS = {"certificates": ("sales",), "scores": ("sales",), "score_docs": ("sales",)}
 
 
 def _closure(names) -> list[str]:
