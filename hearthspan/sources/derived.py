@@ -262,6 +262,19 @@ SELECT 2019 + CAST(floor(n_nationkey / 5) AS BIGINT) AS tax_year, 'Borough ' ||
 FROM {nation}
 """
 
+DEFS["dp_quality"] = """
+SELECT DISTINCT CAST(floor(p_partkey / 3) AS BIGINT) AS delivery_point, CASE WHEN CAST(floor(p_partkey / 3) AS BIGINT) % 4 = 3 THEN 0 ELSE 1 END AS is_unit_level FROM {part}
+"""
+
+# Garden direction read from plans, several readings per property.
+DEFS["facings"] = """
+SELECT l_partkey AS property_id, CASE WHEN l_linenumber = 7 THEN 0 ELSE 1 END AS emitted,
+  CASE WHEN l_partkey % 5 = 0 AND l_linenumber > 3 THEN '|west|' WHEN l_partkey % 4 = 0 THEN '|south|south-west|' WHEN l_partkey % 4 = 1 THEN '|north-east|'
+    WHEN l_partkey % 4 = 2 THEN '|east|' ELSE NULL END AS facing_set,
+  CASE WHEN l_partkey % 6 = 1 THEN 'balcony' ELSE 'garden' END AS outdoor_type
+FROM {lineitem}
+"""
+
 _DEPS = {"certificates": ("sales",), "scores": ("sales",), "score_docs": ("sales",)}
 
 
