@@ -112,7 +112,7 @@ def group_quantiles(df: DataFrame, keys: list[str], value: str, wanted: dict, co
             if kind == "upper" or (isinstance(kind, tuple) and kind[0] == "index"):
                 finals.append(low.alias(name))
             else:
-                finals.append((low + (high - low) * ranked[name][2]).alias(name))
+                finals.append((low * (1 - ranked[name][2]) + high * ranked[name][2]).alias(name))
         else:
             finals.append(plain[kind].alias(name))
     return found.select(*keys, *([F.col("_n").alias(count)] if count else []), *finals)

@@ -210,7 +210,7 @@ DEFS["runs"] = """
 SELECT event_id AS run_id, CAST(ts AS TIMESTAMP) AS started_at, @secs(ts) AS at_s, user_id, event_type AS job,
   CASE WHEN event_type = 'error' OR event_id % 11 = 0 THEN 'failed' WHEN event_id % 13 = 0 THEN 'dispatched' ELSE 'completed' END AS status,
   value AS latency, CAST(user_id % 8 AS BIGINT) AS queue_no,
-  CASE WHEN event_id % 11 = 0 THEN 'Daily limit reached: try tomorrow' WHEN event_id % 17 = 0 THEN 'database is locked'
+  CASE WHEN event_id % 11 = 0 THEN 'daily_limit_reached for today' WHEN event_id % 17 = 0 THEN 'database is locked'
        WHEN event_type = 'error' THEN 'timeout' ELSE NULL END AS error_message,
   CASE WHEN user_id % 10 = 0 THEN 'test-' || CAST(user_id AS STRING) WHEN event_id % 41 = 0 THEN NULL ELSE 's' || CAST(user_id * 100 + event_id % 7 AS STRING) END AS session_id
 FROM {events}
@@ -218,7 +218,10 @@ FROM {events}
 
 # Chat turns: a user turn with the next assistant turn.
 DEFS["chats"] = """
-SELECT u.conv_id, u.turn, u.text AS user_text, a.text AS assistant_text, 's' || CAST(u.conv_id AS STRING) AS session_id,
+SELECT u.conv_id, u.turn,
+  CASE WHEN (u.conv_id + u.turn) % 5 = 0 THEN 'Find me a 2 bed flat in N1, budget 500k' WHEN (u.conv_id + u.turn) % 5 = 1 THEN 'Show me homes like this in SE1' ELSE u.text END AS user_text,
+  CASE (u.conv_id * 7 + u.turn) % 9 WHEN 0 THEN 'Thanks, I do not have a tool for that, sorry.' WHEN 1 THEN '这并不是, 我没有这些数据。' WHEN 2 THEN '好的，我没有这个小区的数据。'
+    WHEN 3 THEN 'Our data only covers for-sale listings.' ELSE a.text END AS assistant_text, 's' || CAST(u.conv_id AS STRING) AS session_id,
   CASE WHEN (u.conv_id + u.turn) % 4 = 0 THEN '[{{"tool": "search", "args": {{"n": 3}}}}, {{"tool": "score"}}]' WHEN (u.conv_id + u.turn) % 4 = 1 THEN '[]'
        WHEN (u.conv_id + u.turn) % 4 = 2 THEN 'not json' ELSE '[{{"tool": "score"}}, {{"tool": "comps"}}, {{"tool": "score"}}]' END AS tool_calls,
   u.conv_id * 1000 + u.turn AS msg_id
@@ -275,6 +278,30 @@ SELECT l_partkey AS property_id, CASE WHEN l_linenumber = 7 THEN 0 ELSE 1 END AS
 FROM {lineitem}
 """
 
+# Judged cases and answers.
+DEFS["critic"] = """
+SELECT d.doc_id AS case_id, d.source AS source_file, CASE WHEN quality = 1 THEN 'pass' WHEN d.doc_id % 3 = 0 THEN 'major' ELSE 'minor' END AS verdict,
+  CASE d.doc_id % 5 WHEN 0 THEN '[]' WHEN 1 THEN '[{{"severity": "high", "category": "tool_hallucination", "detail": "made up"}}, {{"severity": "low", "category": "format", "detail": "long"}}]'
+    WHEN 2 THEN '[{{"severity": "low", "category": "format", "detail": "critic output was unparseable: x"}}]' WHEN 3 THEN '[{{"severity": "medium", "category": "incomplete", "detail": "short"}}]'
+    ELSE '[{{"severity": "high", "category": "missing_hedge", "detail": "sure"}}]' END AS issues,
+  CASE WHEN d.doc_id % 17 = 0 THEN 'critic call failed: timeout' ELSE NULL END AS error
+FROM {documents} d JOIN {labels} l ON l.doc_id = d.doc_id
+"""
+DEFS["answers"] = """
+SELECT doc_id AS case_id, source AS model, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS thinking, CASE WHEN doc_id % 13 = 0 THEN '  ' ELSE text END AS response,
+  CASE WHEN doc_id % 7 = 0 THEN NULL ELSE CAST(n_chars % 900 AS DOUBLE) / 10 END AS wall_s, CAST(n_chars % 4 AS BIGINT) AS tool_calls, CASE WHEN doc_id % 19 = 0 THEN 'boom' ELSE NULL END AS error, lang AS grp
+FROM {documents}
+"""
+
+# Orientation readings: error against the truth, spread, and four frames' sides.
+DEFS["readings"] = """
+SELECT l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS reading_id, l_partkey AS property_id, CAST((l_orderkey * 7 + l_partkey) % 360 AS DOUBLE) AS truth,
+  CAST((l_orderkey * 7 + l_partkey + (l_suppkey * 13) % 29) % 360 AS DOUBLE) AS pred, l_quantity AS spread, CASE WHEN l_linenumber = 1 THEN NULL WHEN l_linenumber = 2 THEN 0 ELSE 1 END AS present,
+  l_discount * 10 AS presence_prob, l_orderkey % 4 AS f1, CASE WHEN l_suppkey % 3 = 0 THEN l_orderkey % 4 ELSE l_partkey % 4 END AS f2, CASE WHEN l_suppkey % 5 = 0 THEN l_partkey % 4 ELSE l_orderkey % 4 END AS f3,
+  CASE WHEN l_suppkey % 7 = 0 THEN -1 ELSE l_orderkey % 4 END AS f4, CASE WHEN l_suppkey % 11 < 8 THEN l_orderkey % 4 ELSE (l_orderkey + 1) % 4 END AS side
+FROM {lineitem}
+"""
+
 _DEPS = {"certificates": ("sales",), "scores": ("sales",), "score_docs": ("sales",)}
 
 
