@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Labels that are neither flat nor house, and the words of a flat.
@@ -158,41 +158,45 @@ def _or_null(text: Column) -> Column:
     return F.when(text != "", text)
 
 
-def address_features(address: Column) -> Column:
-    """Struct (unit_number, building_name, street_number, street_name) of a comma-separated address."""
-    a = F.upper(F.trim(address))
-    segs = F.transform(F.split(a, ","), lambda s: F.trim(s))
+def with_address_features(df: DataFrame, address: str, out: str) -> DataFrame:
+    """Add struct `out` (unit_number, building_name, street_number, street_name) and `out`_key.
+
+    Each reading becomes a column of its own before the next one uses it: nested in one expression the
+    regular expressions would be evaluated over and over.
+    """
+    d = df.withColumn("_a", F.upper(F.trim(F.col(address))))
+    a = F.col("_a")
     building = F.coalesce(_or_null(F.regexp_extract(a, BUILDING, 1)), _or_null(F.regexp_extract(a, BUILDING_WIDE, 1)))
-    building = F.trim(F.regexp_replace(building, r"\s+", " "))
-    named = _or_null(F.regexp_extract(a, r"(?:FLAT|UNIT|APARTMENT|APT)\s*(\d+[A-Z]?)", 1))
-    lead = _or_null(F.regexp_extract(a, r"^(\d+[A-Z]?)\s*[,\s]\s*[A-Z]", 1))
-    ahead = F.when(F.instr(a, building) == F.length(lead) + F.length(F.regexp_extract(a, r"^\d+[A-Z]?(\s*[,\s]\s*)", 1)) + 1, lead)
-    before = F.filter(
-        F.transform(F.sequence(F.lit(1), F.greatest(F.size(segs) - 1, F.lit(1))), lambda i: F.when(
-            F.try_element_at(segs, i).rlike(r"^\d+[A-Z]?$") & F.contains(F.coalesce(F.try_element_at(segs, i + 1), F.lit("")), building), F.element_at(segs, i))),
-        lambda x: x.isNotNull(),
-    )
-    unit = F.coalesce(named, ahead, F.when(building.isNotNull(), F.try_element_at(before, F.lit(1))))
-    rest = F.filter(segs, lambda s: ~s.rlike(r"^(?:FLAT|UNIT|APARTMENT|APT)\s*\d+") & (unit.isNull() | (s != unit)) & (building.isNull() | ~F.contains(s, building)))
-    numbered = F.filter(rest, lambda s: s.rlike(r"^\d+[A-Z]?\s+" + STREET))
-    first = F.try_element_at(numbered, F.lit(1))
-    streets = F.filter(rest, lambda s: s.rlike(r"\b" + STREET))
-    name = F.coalesce(_or_null(F.regexp_extract(first, r"^\d+[A-Z]?\s+" + STREET, 1)), _or_null(F.regexp_extract(F.try_element_at(streets, F.lit(1)), r"\b" + STREET, 1)))
-    plain_at = F.array_position(F.transform(segs, lambda s: F.contains(s, name)), F.lit(True)).cast("int")
-    own_seg = F.when(plain_at > 1, F.try_element_at(segs, plain_at - 1))
-    after = F.filter(F.slice(segs, F.greatest(F.array_position(F.transform(segs, lambda s: F.contains(s, building)), F.lit(True)).cast("int"), F.lit(1)) + 1, 1000), lambda s: s.rlike(r"^\d+[A-Z]?$"))
+    d = d.withColumn("_segs", F.transform(F.split(a, ","), lambda s: F.trim(s))).withColumn("_b", F.trim(F.regexp_replace(building, r"\s+", " ")))
+    segs, b = F.col("_segs"), F.col("_b")
+    d = d.withColumn("_named", _or_null(F.regexp_extract(a, r"(?:FLAT|UNIT|APARTMENT|APT)\s*(\d+[A-Z]?)", 1)))
+    d = d.withColumn("_lead", _or_null(F.regexp_extract(a, r"^(\d+[A-Z]?)\s*[,\s]\s*[A-Z]", 1)))
+    d = d.withColumn("_gap", F.regexp_extract(a, r"^\d+[A-Z]?(\s*[,\s]\s*)", 1))
+    ahead = F.when(F.instr(a, b) == F.length("_lead") + F.length("_gap") + 1, F.col("_lead"))
+    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(segs) - 1, F.lit(1))), lambda i: F.try_element_at(segs, i).rlike(r"^\d+[A-Z]?$") & F.contains(F.try_element_at(segs, i + 1), b))
+    d = d.withColumn("_before", F.when(b.isNotNull() & F.col("_named").isNull(), F.try_element_at(segs, F.try_element_at(at, F.lit(1)))))
+    d = d.withColumn("_unit", F.coalesce("_named", ahead, "_before"))
+    unit = F.col("_unit")
+    d = d.withColumn("_rest", F.filter(segs, lambda s: ~s.rlike(r"^(?:FLAT|UNIT|APARTMENT|APT)\s*\d+") & (unit.isNull() | (s != unit)) & (b.isNull() | ~F.contains(s, b))))
+    d = d.withColumn("_first", F.try_element_at(F.filter("_rest", lambda s: s.rlike(r"^\d+[A-Z]?\s+" + STREET)), F.lit(1)))
+    d = d.withColumn("_any", F.try_element_at(F.filter("_rest", lambda s: s.rlike(r"\b" + STREET)), F.lit(1)))
+    d = d.withColumn("_name", F.coalesce(_or_null(F.regexp_extract("_first", r"^\d+[A-Z]?\s+" + STREET, 1)), _or_null(F.regexp_extract("_any", r"\b" + STREET, 1))))
+    name = F.col("_name")
+    d = d.withColumn("_at", F.array_position(F.transform(segs, lambda s: F.contains(s, name)), F.lit(True)).cast("int"))
+    d = d.withColumn("_b_at", F.array_position(F.transform(segs, lambda s: F.contains(s, b)), F.lit(True)).cast("int"))
+    own = F.try_element_at(segs, F.col("_at") - 1)
+    after = F.filter(F.slice(segs, F.greatest(F.col("_b_at"), F.lit(1)) + 1, 1000), lambda s: s.rlike(r"^\d+[A-Z]?$"))
     number = F.coalesce(
-        _or_null(F.regexp_extract(first, r"^(\d+[A-Z]?)\s+" + STREET, 1)),
-        F.when(building.isNotNull(), F.try_element_at(after, F.lit(1))),
-        F.when(name.isNotNull() & unit.isNull() & own_seg.rlike(r"^\d+[A-Z]?$"), own_seg),
+        _or_null(F.regexp_extract("_first", r"^(\d+[A-Z]?)\s+" + STREET, 1)),
+        F.when(b.isNotNull() & (F.col("_b_at") > 0), F.try_element_at(after, F.lit(1))),
+        F.when(name.isNotNull() & unit.isNull() & (F.col("_at") > 1) & own.rlike(r"^\d+[A-Z]?$"), own),
     )
-    return F.struct(unit.alias("unit_number"), building.alias("building_name"), number.alias("street_number"), F.trim(name).alias("street_name"))
-
-
-def address_key(address: Column, features: Column) -> Column:
-    """Matching key: FLATn, else street number, else the first number of the first segment."""
-    first = _or_null(F.regexp_extract(F.split(F.upper(F.trim(address)), ",")[0], r"\b(\d+[A-Z]?)\b", 1))
-    return F.coalesce(F.concat(F.lit("FLAT"), features["unit_number"]), features["street_number"], first)
+    d = d.withColumn("_no", number)
+    first = _or_null(F.regexp_extract(F.split(a, ",")[0], r"\b(\d+[A-Z]?)\b", 1))
+    d = d.withColumn(out, F.struct(unit.alias("unit_number"), b.alias("building_name"), F.col("_no").alias("street_number"), F.trim(name).alias("street_name")))
+    # matching key: FLATn, else street number, else the first number of the first segment
+    d = d.withColumn(f"{out}_key", F.coalesce(F.concat(F.lit("FLAT"), unit), F.col("_no"), first))
+    return d.drop("_a", "_segs", "_b", "_named", "_lead", "_gap", "_before", "_unit", "_rest", "_first", "_any", "_name", "_at", "_b_at", "_no")
 
 
 def match_score(a: Column, b: Column) -> Column:

@@ -86,24 +86,21 @@ def sale_address():
 @query("address_features")
 def _(i):
     # rows only: the chain of readings has no short SQL twin; cases are pinned in the tests
-    f = labels.address_features(sale_address())
-    return i.sales.select("address_key", sale_address().alias("address")).distinct().withColumn("f", labels.address_features(F.col("address"))).select("address_key", "f.*")
-
-
-_ADDR = "concat_ws(', ', saon, CASE WHEN address_key % 2 = 0 THEN paon || ' ' || street ELSE paon || ', ' || street END)"
+    rows = i.sales.select("address_key", sale_address().alias("address")).distinct()
+    return labels.with_address_features(rows, "address", "f").select("address_key", "f.*")
 
 
 @query("address_key", f"""SELECT DISTINCT address_key, CASE WHEN saon IS NOT NULL THEN 'FLAT' || replace(saon, 'FLAT ', '') ELSE paon END AS match_key FROM sales""", "sales")
 def _(i):
     rows = i.sales.select("address_key", sale_address().alias("address")).distinct()
-    return rows.select("address_key", labels.address_key(F.col("address"), labels.address_features(F.col("address"))).alias("match_key"))
+    return labels.with_address_features(rows, "address", "f").select("address_key", F.col("f_key").alias("match_key"))
 
 
 @query("address_match_score", """WITH a AS (SELECT DISTINCT address_key, saon, paon, street FROM sales), b AS (SELECT cert_no, a.saon, a.paon, a.street FROM certificates JOIN a ON a.address_key = cert_no)
   SELECT address_key, CASE WHEN a.saon IS NOT NULL THEN 3 + CASE WHEN address_key % 2 = 0 AND address_key % 3 <> 0 THEN 1 ELSE 0 END ELSE 2 END AS score FROM a JOIN b ON b.cert_no = a.address_key""", "sales certificates")
 def _(i):
     rows = i.sales.select("address_key", sale_address().alias("address")).distinct().join(i.certificates.withColumnRenamed("cert_no", "address_key"), "address_key")
-    rows = rows.withColumn("a", labels.address_features(F.col("address"))).withColumn("b", labels.address_features(F.col("cert_address")))
+    rows = labels.with_address_features(labels.with_address_features(rows, "address", "a"), "cert_address", "b")
     return rows.select("address_key", labels.match_score(F.col("a"), F.col("b")).alias("score"))
 
 
