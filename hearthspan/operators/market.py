@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from hearthspan.functions.rank import group_quantiles, newest
 from hearthspan.operators.sales import day, growth_columns, growth_parts, is_standard, repeat_sales
+from hearthspan.session import checkpointed
 
 # Named months.
 KNOWN_EVENTS = {
@@ -132,8 +133,9 @@ def trend_by_type(sales: DataFrame, as_of_year: int, least: int = 5, divergence:
     dated = rows.where(standard).join(anchors, "outcode")
     age = F.datediff("anchor", "sale_date")
     dated = dated.withColumn("win", F.when((age >= 0) & (age < 365), "now").when((age >= 365) & (age < 730), "prev")).where("win IS NOT NULL")
-    pairs = repeat_sales(rows)
-    parts = growth_parts(pairs, ["outcode", "sector", "postcode", "segment"], as_of_year)
+    # three levels read these, so the recent rows and the growth sums are written once
+    dated = checkpointed(dated.select("outcode", "sector", "postcode", "segment", "win", "price"))
+    parts = checkpointed(growth_parts(repeat_sales(rows), ["outcode", "sector", "postcode", "segment"], as_of_year))
     sums = [F.sum(c).alias(c) for c in parts.columns if c.startswith("_")]
     units = rows.select("outcode", "sector", "postcode", "segment").distinct()
     out = units

@@ -143,7 +143,9 @@ def gap_source(session: Column, user: Column) -> Column:
 def capability_gaps(chats: DataFrame) -> DataFrame:
     """Turns whose reply admits a gap, or that were asked to search with enough constraints and did not."""
     rows = chats.where(F.coalesce("assistant_text", F.lit("")) != "").withColumn("source", gap_source(F.col("session_id"), F.col("user_id").cast("string"))).where("source IS NOT NULL")
-    rows = rows.withColumn("tools_used", tool_count(F.col("tool_calls"))).withColumn("_gap", first_gap(F.col("assistant_text")))
+    rows = rows.withColumn("tools_used", tool_count(F.col("tool_calls")))
+    # explode of a one-element array keeps filters on the reading from being pushed under it and run twice
+    rows = rows.withColumn("_gap", F.explode(F.array(first_gap(F.col("assistant_text")))))
     asked = F.trim(F.coalesce("user_text", F.lit("")))
     skipped = (F.col("_gap").isNull() & (F.col("tools_used") == 0) & asked.rlike(SEARCH_ASKED) & asked.rlike(ENOUGH) & ~asked.rlike(NEEDS_REFERENT) & ~F.col("assistant_text").rlike(BOUNDARY))
     label = F.when(F.col("_gap").isNotNull(), F.col("_gap.label")).when(skipped, "search_not_run")

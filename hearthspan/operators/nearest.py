@@ -104,11 +104,11 @@ def knn_before(subjects: DataFrame, pool: DataFrame, k: int, days: int = 1460, k
     return subjects.join(found.drop("no"), ["place", "segment", "beds", "sale_date"])
 
 
-def neighbourhood_upper_median(values: DataFrame, near: DataFrame, least: int) -> DataFrame:
-    """Upper median of `v` over all places near each subject, NULL under `least` values.
+def neighbourhood_median(values: DataFrame, near: DataFrame, upper: bool = False) -> DataFrame:
+    """(subject, n, mid): median of `v` over all places near each subject, interpolated or upper.
 
-    values(place, v); near(subject, place). Counts per value slab are joined first; only the slab that
-    holds the middle is then opened, so values are not repeated per subject.
+    values(place, v); near(subject, place). Counts per value slab are joined first; only the one or two
+    slabs that hold the middle are then opened, so values are not repeated per subject.
     """
     v = values.withColumn("slab", value_slab(F.col("v")))
     tall = v.groupBy("place", "slab", "v").agg(F.count(F.lit(1)).alias("c"))
@@ -116,12 +116,20 @@ def neighbourhood_upper_median(values: DataFrame, near: DataFrame, least: int) -
     seen = near.join(slabs, "place").groupBy("subject", "slab").agg(F.sum("c").alias("c"))
     w = W.partitionBy("subject")
     seen = seen.withColumn("n", F.sum("c").over(w)).withColumn("before", F.sum("c").over(w.orderBy("slab")) - F.col("c"))
-    mid = F.floor(F.col("n") / 2)
-    at = seen.where((mid >= F.col("before")) & (mid < F.col("before") + F.col("c"))).select("subject", "slab", "n", "before")
-    inside = near.join(at, "subject").join(tall, ["place", "slab"]).groupBy("subject", "n", "before", "v").agg(F.sum("c").alias("c"))
-    upto = F.col("before") + F.sum("c").over(w.orderBy("v"))
-    hit = inside.withColumn("upto", upto).where((mid < F.col("upto")) & (mid >= F.col("upto") - F.col("c")))
-    return hit.select("subject", "n", F.when(F.col("n") >= least, F.col("v")).alias("mid"))
+    high = F.floor(F.col("n") / 2)
+    low = high if upper else F.floor((F.col("n") - 1) / 2)
+    holds = lambda at: (at >= F.col("before")) & (at < F.col("before") + F.col("c"))
+    at = seen.where(holds(low) | holds(high)).select("subject", "slab", "n", "before")
+    inside = near.join(at, "subject").join(tall, ["place", "slab"]).groupBy("subject", "slab", "n", "before", "v").agg(F.sum("c").alias("c"))
+    inside = inside.withColumn("before", F.col("before") + F.sum("c").over(W.partitionBy("subject", "slab").orderBy("v")) - F.col("c"))
+    pick = lambda at: F.max(F.when(holds(at), F.col("v")))
+    return inside.groupBy("subject", "n").agg(((pick(low) + pick(high)) / 2).alias("mid"))
+
+
+def neighbourhood_upper_median(values: DataFrame, near: DataFrame, least: int) -> DataFrame:
+    """Upper median over the neighbourhood, NULL under `least` values."""
+    got = neighbourhood_median(values, near, upper=True)
+    return got.select("subject", "n", F.when(F.col("n") >= least, F.col("mid")).alias("mid"))
 
 
 def weighted_quantiles(rows: DataFrame, key: str, value: str, weight: str, shares=(0.25, 0.5, 0.75)) -> DataFrame:

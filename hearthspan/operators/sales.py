@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthspan.functions.rank import first_k, group_quantiles, newest, with_previous
+from hearthspan.operators.nearest import neighbourhood_median
+from hearthspan.session import checkpointed
 
 SALE_ORDER = ["sale_date", "tie1", "tie2", "tie3", "price"]
 RESIDENTIAL = ("D", "S", "T", "F")
@@ -229,30 +231,39 @@ def cohort_ladder(pairs: DataFrame, subjects: DataFrame, near: DataFrame, least:
     """Cohort outcome per subject postcode at the narrowest rung with enough pairs at the best tier.
 
     Rungs: walk radius, sector, outcode. Tiers: clean, market, raw. Each tier of each place is
-    summarised once and joined to the subjects, so pairs are not repeated per subject except
-    across the bounded set of postcodes within the radius.
+    summarised once and joined to the subjects; pairs are never repeated per subject.
     """
     flagged = pairs.withColumn("market", is_market_pair()).withColumn("clean", F.col("market") & is_clean_pair())
     tiers = F.array(
         F.when(F.col("clean"), 1), F.when(F.col("market"), 2), F.lit(3)
     )
-    tiered = flagged.withColumn("tier", F.explode(F.array_compact(tiers)))
+    # read by every rung, so the flagged pairs are written once
+    tiered = checkpointed(flagged.select("postcode", "sector", "outcode", "pct_change", "hold_years", F.explode(F.array_compact(tiers)).alias("tier")))
     near = near.select("subject", "postcode")
     ladder = F.array(*[F.struct(F.lit(r).alias("rung"), F.col(c).alias("place")) for r, c in ((2, "sector"), (3, "outcode"))])
     # counts add up, so the rung and tier are chosen from per-postcode counts before any median is taken
-    counts = tiered.groupBy("postcode", "sector", "outcode", "tier").agg(F.count(F.lit(1)).alias("_n"))
-    by_walk = counts.join(near, "postcode").groupBy("subject", "tier").agg(F.sum("_n").alias("_n"))
-    by_place = counts.select(F.inline(ladder), "tier", "_n").groupBy("rung", "place", "tier").agg(F.sum("_n").alias("_n"))
+    counts = tiered.groupBy("postcode", "sector", "outcode", "tier").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pct_change") < 0).alias("losers"))
+    sums = [F.sum("n").alias("n"), F.sum("losers").alias("losers")]
+    by_walk = counts.join(near, "postcode").groupBy("subject", "tier").agg(*sums)
+    by_place = counts.select(F.inline(ladder), "tier", "n", "losers").groupBy("rung", "place", "tier").agg(*sums)
     own = subjects.select(F.col("postcode").alias("subject"), F.inline(ladder))
     walk = by_walk.join(subjects.select(F.col("postcode").alias("subject")), "subject", "left_semi")
-    options = walk.select("subject", F.lit(1).alias("rung"), F.col("subject").alias("place"), "tier", "_n").unionByName(
-        own.join(by_place, ["rung", "place"]).select("subject", "rung", "place", "tier", "_n"))
-    chosen = newest(options.where(F.col("_n") >= least).drop("_n"), ["subject"], ["tier", "rung"], oldest=True)
-    beside = tiered.join(near, "postcode").join(chosen.where("rung = 1").select("subject", "tier"), ["subject", "tier"])
-    beside = beside.select(F.lit(1).alias("rung"), F.col("subject").alias("place"), "tier", "pct_change", "hold_years")
+    cols = ["subject", "rung", "place", "tier", "n", "losers"]
+    options = walk.withColumn("rung", F.lit(1)).withColumn("place", F.col("subject")).select(*cols).unionByName(own.join(by_place, ["rung", "place"]).select(*cols))
+    chosen = newest(options.where(F.col("n") >= least), ["subject"], ["tier", "rung"], oldest=True)
     around = tiered.select(F.inline(ladder), "tier", "pct_change", "hold_years")
-    stats = cohort_stats(beside.unionByName(around), ["rung", "place", "tier"])
-    return chosen.join(stats, ["rung", "place", "tier"]).drop("place")
+    keys = ["rung", "place", "tier"]
+    mids = group_quantiles(around, keys, "pct_change", {"median_pct": "median"}, count=None).join(
+        group_quantiles(around, keys, "hold_years", {"median_hold": "median"}, count=None), keys)
+    # the walk rung takes its medians from value slabs, without repeating pairs per subject
+    tag = lambda c: F.concat_ws("|", c, F.col("tier").cast("string"))
+    ask = chosen.where("rung = 1").select("subject", "tier").join(near, "subject").select("subject", tag("postcode").alias("place"))
+    by = lambda c: neighbourhood_median(tiered.select(tag("postcode").alias("place"), F.col(c).alias("v")), ask).select("subject", F.col("mid").alias(f"w_{c}"))
+    out = chosen.join(mids, keys, "left").join(by("pct_change"), "subject", "left").join(by("hold_years"), "subject", "left")
+    first = F.col("rung") == 1
+    return out.select(
+        "subject", "rung", "tier", "n", F.when(first, F.col("w_pct_change")).otherwise(F.col("median_pct")).alias("median_pct"), "losers", (F.col("n") - F.col("losers")).alias("gainers"),
+        (F.lit(100.0) * F.col("losers") / F.col("n")).alias("loss_share"), F.when(first, F.col("w_hold_years")).otherwise(F.col("median_hold")).alias("median_hold"))
 
 
 TYPE_NAMES = {"F": "Flat", "T": "Terraced", "S": "Semi-detached", "D": "Detached", "O": "Other"}

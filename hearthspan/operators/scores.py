@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from hearthspan.functions import curves
 from hearthspan.functions.rank import first_k, group_quantiles
 from hearthspan.operators.spatial import haversine, within_km
+from hearthspan.session import checkpointed
 
 # Dimension weights of the total and of each dimension.
 WEIGHTS = {"transport": 0.20, "community": 0.25, "environment": 0.20, "price": 0.25, "schools": 0.10}
@@ -111,7 +112,7 @@ def new_breakpoints(long: DataFrame) -> DataFrame:
 def recalibrate(scores: DataFrame, key: str) -> DataFrame:
     """Two passes: breakpoints per dimension, then of the totals calibrated with them."""
     long = raw_long(scores, key)
-    first = new_breakpoints(long)
+    first = checkpointed(new_breakpoints(long))  # 22 rows per dimension, read by both passes
     totals = weighted_totals(calibrate(long, monotone_segments(first)), key).where(F.col("dims") >= 3)
     return first.unionByName(new_breakpoints(totals.select(F.lit("total").alias("dimension"), "raw")))
 
