@@ -89,9 +89,17 @@ def stale_jobs(runs: DataFrame, budgets: DataFrame, as_of_s: int, catchup_s: int
 
 
 def fix_budget(actions: DataFrame, window_s: int, budget: int) -> DataFrame:
-    """Actions of the same rule and target in the trailing window; over budget means escalate."""
-    w = W.partitionBy("rule_id", "target").orderBy("at_s").rangeBetween(-window_s, 0)
-    return actions.withColumn("in_window", F.count(F.lit(1)).over(w)).withColumn("verdict", F.when(F.col("in_window") > budget, "escalate").otherwise("fix"))
+    """Actions of the same rule and target in the trailing window; over budget means escalate.
+
+    Actions are tallied per second and cut into buckets one window long; a trailing window touches its
+    own bucket and the one before, so no task orders all actions of a busy target.
+    """
+    keys = ["rule_id", "target"]
+    tally = actions.groupBy(*keys, "at_s").agg(F.count(F.lit(1)).alias("c")).withColumn("own", F.floor(F.col("at_s") / window_s))
+    spread = tally.withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    w = W.partitionBy(*keys, "bucket").orderBy("at_s").rangeBetween(-window_s, 0)
+    counted = spread.withColumn("in_window", F.sum("c").over(w)).where(F.col("own") == F.col("bucket")).select(*keys, "at_s", "in_window")
+    return actions.join(counted, [*keys, "at_s"]).withColumn("verdict", F.when(F.col("in_window") > budget, "escalate").otherwise("fix"))
 
 
 def retention_plan(rows: DataFrame, current: str, guard: float = 0.5) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hearthspan.functions import labels
-from hearthspan.functions.rank import first_k, group_quantiles, newest
+from hearthspan.functions.rank import first_k, newest
 from hearthspan.operators import nearest as op
 from hearthspan.operators import sales as sale_op
 from hearthspan.operators.spatial import within_box
@@ -144,18 +144,20 @@ def _(i):
 @query("join_asof_street", """WITH d AS (SELECT DISTINCT street, outcode, sale_date FROM sales WHERE sale_date >= DATE '2021-06-01')
   SELECT d.street, d.outcode, strftime(d.sale_date, '%Y-%m-%d') AS sale_date, count(p.price) AS n, round(median(p.price * 1.0 / p.floor_area_sqft), 6) AS ppsf FROM d LEFT JOIN sales p ON p.street = d.street AND p.outcode = d.outcode AND p.sale_date < d.sale_date AND p.sale_date >= d.sale_date - 730 GROUP BY ALL""", "sales")
 def _(i):
-    # every asked day pulls the value tallies of its 730 days; tallies are per day, so a busy street
-    # repeats its distinct values, not its sales, and the median is found by slabs
-    asked = i.sales.where("sale_date >= DATE'2021-06-01'").select("street", "outcode", "sale_date").distinct()
-    v = i.sales.select("street", "outcode", F.col("sale_date").alias("p_date"), (F.col("price") / F.col("floor_area_sqft")).alias("v"))
-    # half-window buckets make the range an equi-join: a window touches at most three
+    # days of a street are paired, not sales: each asked day with the days before it that have sales,
+    # then the median comes from value slabs per day
+    day = lambda c: F.concat_ws("|", "street", "outcode", F.col(c).cast("string"))
+    values = i.sales.select(day("sale_date").alias("place"), (F.col("price") / F.col("floor_area_sqft")).alias("v"))
+    # year-long buckets make the range an equi-join: 730 days touch at most three
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1990-01-01").cast("date")) / 365)
-    v = v.withColumn("b", bucket("p_date"))
+    days = i.sales.select("street", "outcode", F.col("sale_date").alias("p_date")).distinct().withColumn("b", bucket("p_date"))
+    asked = i.sales.where("sale_date >= DATE'2021-06-01'").select("street", "outcode", "sale_date").distinct()
     a = asked.withColumn("b", F.explode(F.sequence(bucket(F.date_sub("sale_date", 730)), bucket("sale_date"))))
-    j = a.join(v, ["street", "outcode", "b"]).where((F.col("p_date") < F.col("sale_date")) & (F.col("p_date") >= F.date_sub("sale_date", 730)))
-    mid = group_quantiles(j, ["street", "outcode", "sale_date"], "v", {"ppsf": "median"})
-    out = asked.join(mid, ["street", "outcode", "sale_date"], "left")
-    return out.select("street", "outcode", F.date_format("sale_date", "yyyy-MM-dd").alias("sale_date"), F.coalesce("n", F.lit(0)).alias("n"), F.round("ppsf", 6).alias("ppsf"))
+    j = a.join(days, ["street", "outcode", "b"]).where((F.col("p_date") < F.col("sale_date")) & (F.col("p_date") >= F.date_sub("sale_date", 730)))
+    near = j.select(day("sale_date").alias("subject"), day("p_date").alias("place"))
+    mid = op.neighbourhood_median(values, near)
+    out = asked.withColumn("subject", day("sale_date")).join(mid, "subject", "left")
+    return out.select("street", "outcode", F.date_format("sale_date", "yyyy-MM-dd").alias("sale_date"), F.coalesce("n", F.lit(0)).alias("n"), F.round("mid", 6).alias("ppsf"))
 
 
 @query("join_record_linkage", """WITH a AS (SELECT DISTINCT address_key, postcode, saon, paon, street FROM sales),
