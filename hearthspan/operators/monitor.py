@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthspan.functions.rank import group_quantiles, newest
-from hearthspan.functions.text import content_key, tool_count
+from hearthspan.functions.text import tool_count
 
 # Session prefixes of tests and the message prefix of a daily-cap refusal.
 TEST_SESSION = r"^(bhv|e2e|dev|prod-ttfb|verify|sim|test)-"

@@ -7,7 +7,7 @@ from hearthspan.operators import market as op
 from hearthspan.operators import sales as sale_op
 from hearthspan.operators.spatial import within_km
 from hearthspan.plans.base import query
-from hearthspan.plans.sales import AS_OF, GROWTH, MARKET, PAIRS, YEAR, iso
+from hearthspan.plans.sales import AS_OF, GROWTH, MARKET, PAIRS, YEAR
 
 # The given tables spread sales evenly, so the registered queries use closer thresholds than the
 # operator defaults; otherwise no month would be flagged and nothing would be compared.

@@ -4,7 +4,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthspan.functions import labels as lab
-from hearthspan.functions.rank import first_k, group_quantiles, newest
+from hearthspan.functions.rank import group_quantiles, newest
 from hearthspan.operators import monitor as op
 from hearthspan.plans.base import query
 
@@ -150,7 +150,7 @@ def _(i):
 
 
 @query("trace_assertions", """SELECT msg_id, CASE WHEN (conv_id + turn) % 4 IN (1, 2) THEN 'missing score;none of the expected tools' WHEN (conv_id + turn) % 4 = 0 THEN '' ELSE 'forbidden comps' END
-   AS raw, length(assistant_text) < 40 AS short FROM chats""".replace("AS raw, length(assistant_text) < 40 AS short", "|| CASE WHEN length(assistant_text) < 40 THEN CASE WHEN (conv_id + turn) % 4 = 0 THEN '' ELSE ';' END || 'answer too short' ELSE '' END AS raw").replace("FROM chats", "FROM chats"), "chats")
+  || CASE WHEN length(assistant_text) < 40 THEN CASE WHEN (conv_id + turn) % 4 = 0 THEN '' ELSE ';' END || 'answer too short' ELSE '' END AS raw FROM chats""", "chats")
 def _(i):
     calls = F.from_json("tool_calls", "array<struct<tool:string>>")
     names = F.coalesce(F.filter(F.transform(calls, lambda c: c["tool"]), lambda t: t.isNotNull()), F.array().cast("array<string>"))

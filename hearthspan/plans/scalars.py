@@ -6,7 +6,6 @@ from hearthspan.functions import curves, geo, labels, money, postcode, text
 from hearthspan.functions.rank import group_quantiles
 from hearthspan.operators import spatial
 from hearthspan.plans.base import query
-from hearthspan.plans.sales import iso
 
 _C = "upper(regexp_replace(raw, '\\s+', '', 'g'))"
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from hearthspan.functions import curves
-from hearthspan.functions.rank import first_k, group_quantiles, tally_before
+from hearthspan.functions.rank import first_k, tally_before
 from hearthspan.operators import sales as sale_op
 from hearthspan.operators import scores as op
 from hearthspan.operators.spatial import walk_minutes

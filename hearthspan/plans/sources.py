@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from hearthspan.functions.rank import first_k, newest
 from hearthspan.operators.market import DIMENSIONS
 from hearthspan.plans.base import query
 from hearthspan.session import scratch
