@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspan.llm import exact_dedup, mixing, sharding
+from hearthspan.llm import bpe, exact_dedup, mixing, packed, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{str(sf_dir).rstrip('/')}/{name}.parquet")
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed.written_and_read(table(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -26,5 +34,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(9).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op8_mixing, op9_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packed_ids, op8_mixing, op9_exact_dedup, op10_sharding)}
 SQL = {"op9_exact_dedup": exact_dedup.SQL}
