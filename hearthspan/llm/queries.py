@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspan.llm import bpe, exact_dedup, langid, mixing, near_dedup, packed, sharding, topk, toxicity
+from hearthspan.llm import bpe, exact_dedup, langid, mixing, near_dedup, packed, sharding, span_dedup, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op2_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.written_and_read(table(spark, sf_dir, "documents"))
 
 
+def op3_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.repeated(table(spark, sf_dir, "documents"))
+
+
 def op4_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -52,5 +56,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(9).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packed_ids, op4_ball_tree, op5_near_dedup, op6_langid, op7_toxicity, op8_mixing, op9_exact_dedup, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packed_ids, op3_span_dedup, op4_ball_tree, op5_near_dedup, op6_langid, op7_toxicity, op8_mixing, op9_exact_dedup, op10_sharding)}
 SQL = {"op4_ball_tree": topk.SQL, "op5_near_dedup": near_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL}

@@ -30,10 +30,11 @@ def powers(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of every word, words of each text); data holds the texts from offsets[0] = 0 on. A-Z counts as a-z."""
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of every word, words of each text, where words start, where they end); data holds the texts from offsets[0] = 0 on. A-Z counts as a-z."""
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
+        none = np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64), none, none
     b = LOWER[data]
     space = SPACE[b]
     edges = offsets[1:-1]
@@ -47,11 +48,11 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     sums = np.zeros(len(b) + 1, np.uint64)
     np.cumsum(BYTE[b] * up[: len(b)], out=sums[1:])
     hashes = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.diff(np.searchsorted(starts, offsets))
+    return hashes, np.diff(np.searchsorted(starts, offsets)), starts, ends
 
 
-def texts_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and word counts of a column; a text above the slice size is hashed piece by piece, cut at spaces."""
+def texts_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The same for a column; a text above the slice size is hashed piece by piece, cut at spaces."""
     data, offsets = strings(column)
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
     if len(column) != 1 or len(data) <= 2 * SLICE:
@@ -64,16 +65,17 @@ def texts_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
             end += int(gap[0]) if len(gap) else len(data[end : end + SLICE])
             if len(gap):
                 break
-        parts.append(word_hashes(data[at:end], np.array([0, end - at]))[0])
+        h, _, starts, ends = word_hashes(data[at:end], np.array([0, end - at]))
+        parts.append((h, starts + at, ends + at))
         at = end
-    hashes = np.concatenate(parts)
-    return hashes, np.array([len(hashes)])
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*parts))
+    return hashes, np.array([len(hashes)]), starts, ends
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every row. Fewer than k words are one shingle, no words none."""
     for i, j in slices(column):
-        words, counts = texts_words(column.slice(i, j - i))
+        words, counts, _, _ = texts_words(column.slice(i, j - i))
         ends = np.cumsum(counts)
         if len(words) >= k:
             h = np.zeros(len(words) - k + 1, np.uint64)
