@@ -33,15 +33,29 @@ class Growing:
 
 
 class Chunks:
-    """Ids of the chunks seen so far. encode: list of texts -> (all ids, ids of each). Forgets all beyond `most` chunks, which only costs time."""
+    """Ids of the chunks seen so far. encode: list of texts -> (all ids, ids of each). Beyond `most` chunks it forgets those that few slices held, which only costs time."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 800_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.ids, self.starts, self.lengths, self.odd = Growing(np.int32), Growing(np.int64), Growing(np.int32), Growing(np.bool_)
+        self.ids, self.starts, self.lengths, self.odd, self.uses = Growing(np.int32), Growing(np.int64), Growing(np.int32), Growing(np.bool_), Growing(np.int32)
+
+    def prune(self) -> None:
+        uses, least = self.uses.data[: self.uses.size], 2
+        while (uses >= least).sum() > self.most // 2:
+            least += 1
+        keep = np.flatnonzero(uses >= least)
+        names = list(self.index)
+        names = [names[i] for i in keep]
+        lengths, odd, uses = self.lengths.data[keep].astype(np.int64), self.odd.data[keep], uses[keep] // 2
+        ids = self.ids.data[ragged(self.starts.data[keep], lengths)]
+        self.clear()
+        self.index.update(zip(names, range(len(names))))
+        for x, v in ((self.ids, ids), (self.starts, np.cumsum(lengths) - lengths), (self.lengths, lengths), (self.odd, odd), (self.uses, uses)):
+            x.extend(v)
 
     def add(self, chunks: list[str], odd: list[bool]) -> None:
         ids, lengths = self.encode([c for c, o in zip(chunks, odd) if not o])
@@ -51,6 +65,7 @@ class Chunks:
         self.starts.extend(self.ids.size + np.cumsum(all_lengths) - all_lengths)
         self.lengths.extend(all_lengths)
         self.odd.extend(np.array(odd, bool))
+        self.uses.extend(np.zeros(len(chunks), np.int32))
         self.ids.extend(ids)
 
     def look_up(self, chunks: list[str], odd: Callable[[str], bool]) -> np.ndarray:
@@ -64,13 +79,14 @@ class Chunks:
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text)."""
         if len(self.index) > self.most:
-            self.clear()
+            self.prune()
         parts = pc.split_pattern(column.fill_null(""), " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         values = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
         offsets = offsets - offsets[0]
         coded = values.dictionary_encode()
         spaced = self.look_up([" " + v for v in coded.dictionary.to_pylist()], odd_inside)
+        self.uses.data[spaced] += 1
         at = spaced[coded.indices.to_numpy()]
         first = self.look_up(values.take(pa.array(offsets[:-1])).to_pylist(), odd_first)
         at[offsets[:-1]] = first
