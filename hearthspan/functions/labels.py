@@ -116,7 +116,7 @@ def room_area(label: Column) -> Column:
     Printed square metres first, then metric sides, then feet and inches; irregular rooms count 0.82.
     """
     t = F.trim(label)
-    printed = F.try_to_number(F.regexp_extract(t, r"(?i)(\d{1,6}(?:\.\d{1,4})?)\s*(?:m\s*²|m2|sq\s*m|sqm)", 1), F.lit("999999.9999")).cast("double")
+    printed = F.regexp_extract(t, r"(?i)(\d+(?:\.\d+)?)\s*(?:m\s*²|m2|sq\s*m|sqm)", 1).try_cast("double")
     bent = t.rlike(r"(?i)\b(max|maximum|into\s*bay|into\s*recess|excluding|irregular)\b")
     factor = F.when(bent, 0.82).otherwise(1.0)
     metric = F.transform(F.regexp_extract_all(t, F.lit(r"(?<![\d.])(\d+\.\d{1,2})(?![\d.])"), 1), lambda x: x.cast("double"))
@@ -124,7 +124,7 @@ def room_area(label: Column) -> Column:
     feet = F.transform(
         feet_text,
         lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("double")
-        + F.coalesce(F.expr("try_cast(null as double)"), F.when(F.regexp_extract(x, r"['′]\s*(\d+)$", 1) != "", F.regexp_extract(x, r"['′]\s*(\d+)$", 1)).cast("double"), F.lit(0.0)) / 12,
+        + F.coalesce(F.when(F.regexp_extract(x, r"['′]\s*(\d+)$", 1) != "", F.regexp_extract(x, r"['′]\s*(\d+)$", 1)).cast("double"), F.lit(0.0)) / 12,
     )
 
     def first_sides(nums: Column, low: float, high: float) -> Column:
@@ -185,7 +185,7 @@ def with_address_features(df: DataFrame, address: str, out: str) -> DataFrame:
     d = d.withColumn("_at", F.array_position(F.transform(segs, lambda s: F.contains(s, name)), F.lit(True)).cast("int"))
     d = d.withColumn("_b_at", F.array_position(F.transform(segs, lambda s: F.contains(s, b)), F.lit(True)).cast("int"))
     own = F.try_element_at(segs, F.col("_at") - 1)
-    after = F.filter(F.slice(segs, F.greatest(F.col("_b_at"), F.lit(1)) + 1, 1000), lambda s: s.rlike(r"^\d+[A-Z]?$"))
+    after = F.filter(F.slice(segs, F.greatest(F.col("_b_at"), F.lit(1)) + 1, F.greatest(F.size(segs), F.lit(1))), lambda s: s.rlike(r"^\d+[A-Z]?$"))
     number = F.coalesce(
         _or_null(F.regexp_extract("_first", r"^(\d+[A-Z]?)\s+" + STREET, 1)),
         F.when(b.isNotNull() & (F.col("_b_at") > 0), F.try_element_at(after, F.lit(1))),

@@ -15,6 +15,7 @@ NON_RESIDENTIAL = [(150_000, 0.0), (250_000, 0.02), (TOP, 0.05)]
 FIRST_TIME_CEILING = 500_000
 FEES, BUFFER = 6_000, 15_000
 ASSUMED_RATE, ASSUMED_TERM = 5.25, 30
+NINTHS_OF_D = {"B": 7, "C": 8, "D": 9, "E": 11, "F": 13, "G": 15}
 
 
 def banded(price: Column, bands) -> Column:
@@ -23,7 +24,8 @@ def banded(price: Column, bands) -> Column:
     for high, rate in bands:
         tax = tax + F.greatest(F.lit(0.0), F.least(price.cast("double"), F.lit(float(high))) - low) * rate
         low = float(high)
-    return F.when(price.isNotNull(), F.round(tax))
+    # half to even
+    return F.when(price.isNotNull(), F.bround(tax))
 
 
 def stamp_duty(price: Column, first_time: Column) -> Column:

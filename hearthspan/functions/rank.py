@@ -17,9 +17,10 @@ SLABS_PER_E = 64
 
 
 def value_slab(value: Column, per_e: int = SLABS_PER_E) -> Column:
-    """Monotone whole-number slab of a number: about 1.5 % wide, so a few thousand exist at most."""
+    """Monotone whole-number slab of a number, about 1.5 % of its magnitude wide down to 1e-15; a few thousand exist at most."""
     v = value.cast("double")
-    return F.floor(F.signum(v) * F.log1p(F.abs(v)) * F.lit(per_e)).cast("int")
+    size = F.when(F.abs(v) < 1e-15, 1).otherwise(F.floor((F.ln(F.abs(v)) + 36) * per_e))
+    return F.when(v == 0, 0).when(v > 0, size).otherwise(-size).cast("int")
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:
@@ -165,26 +166,23 @@ def with_previous(
     order: list[str],
     carry: list[str],
     *,
-    hot_rows: int = 1_000_000,
     prefix: str = "prev_",
     ordinal: str | None = None,
 ) -> DataFrame:
     """Attach the preceding row's `carry` columns per key (and, if named, the row's ordinal).
 
-    A key with more than `hot_rows` rows is cut by the first ordering column (a date), so
-    no task sorts the whole key; the cuts are stitched through their last rows. Keys that hot
-    number at most rows / hot_rows. The first ordering column must not be null.
+    Every key is cut by the first ordering column (a date), so no task sorts the rows of a whole
+    key; the cuts are stitched through their last rows, one small row a date. The first ordering
+    column must not be null.
     """
     keys = list(keys)
     cut = order[0]
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
-    hot = hot.select(*keys, F.lit(True).alias("_hot"))
-    d = df.join(hot, keys, "left").withColumn("_cut", F.when(F.col("_hot"), F.col(cut)))
+    d = df.withColumn("_cut", F.col(cut))
     w = W.partitionBy(*keys, "_cut").orderBy(*order)
     d = d.withColumn("_prev", F.lag(F.struct(*carry)).over(w))
     if ordinal:
         d = d.withColumn("_ord", F.row_number().over(w))
-    edges = d.where(F.col("_hot")).groupBy(*keys, "_cut").agg(
+    edges = d.groupBy(*keys, "_cut").agg(
         F.max_by(F.struct(*carry), F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_cn")
     )
     across = W.partitionBy(*keys).orderBy("_cut")

@@ -62,19 +62,25 @@ def bare_name(raw: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"( station| rail| underground| tube)+$", ""))
 
 
+def _prefixes(c: Column) -> Column:
+    return F.when(F.length(c) > 0, F.transform(F.sequence(F.lit(1), F.length(c)), lambda n: F.substring(c, F.lit(1), n)))
+
+
 def canonical_names(names: DataFrame, col: str, vocabulary: DataFrame, aliases: DataFrame) -> DataFrame:
     """Canonical spelling: exact, then alias, then a prefix that fits one entry only, else the input.
 
-    vocabulary(name) and aliases(alias, name) are small fixed lists.
+    vocabulary(name), aliases(alias, name). A prefix fit is an equality on the prefixes of either side.
     """
-    voc = F.broadcast(vocabulary.select(F.col("name").alias("v_name"), bare_name(F.col("name")).alias("v_bare")))
-    ali = F.broadcast(aliases.select(bare_name(F.col("alias")).alias("a_bare"), F.col("name").alias("a_name")))
+    voc = vocabulary.select(F.col("name").alias("v_name"), bare_name(F.col("name")).alias("v_bare"))
+    ali = aliases.select(bare_name(F.col("alias")).alias("a_bare"), F.col("name").alias("a_name"))
     base = names.select(col).distinct().withColumn("bare", bare_name(F.col(col)))
     exact = base.join(voc, F.col("bare") == F.col("v_bare"), "left").join(ali, F.col("bare") == F.col("a_bare"), "left")
     known = exact.select(col, "bare", F.coalesce("v_name", "a_name").alias("known"))
-    voc2 = voc.withColumnsRenamed({"v_name": "p_name", "v_bare": "p_bare"})
-    starts = (F.col("bare") != "") & (F.col("p_bare").startswith(F.col("bare")) | F.col("bare").startswith(F.col("p_bare")))
-    fits = known.where("known IS NULL").join(voc2, starts).groupBy(col).agg(F.count(F.lit(1)).alias("fits"), F.min("p_name").alias("fit"))
+    open_names = known.where("known IS NULL AND bare <> ''").select(col, "bare")
+    longer = open_names.join(voc.select(F.col("v_name").alias("p_name"), F.explode(_prefixes(F.col("v_bare"))).alias("bare")), "bare")
+    shorter = open_names.select(col, F.explode(_prefixes(F.col("bare"))).alias("v_bare")).join(voc, "v_bare")
+    fits = longer.select(col, "p_name").unionByName(shorter.select(col, F.col("v_name").alias("p_name"))).distinct()
+    fits = fits.groupBy(col).agg(F.count(F.lit(1)).alias("fits"), F.min("p_name").alias("fit"))
     found = known.join(fits, col, "left").select(col, F.coalesce("known", F.when(F.col("fits") == 1, F.col("fit")), F.col(col)).alias("canonical"))
     return names.join(found, col)
 

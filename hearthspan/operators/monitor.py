@@ -80,11 +80,12 @@ def reconcile(runs: DataFrame, rules: DataFrame, stats: DataFrame, as_of_s: int,
 
 
 def stale_jobs(runs: DataFrame, budgets: DataFrame, as_of_s: int, catchup_s: int = 180 * 60) -> DataFrame:
-    """Latest run per job against its freshness budget; a live catch-up run is exempt."""
-    last = newest(runs.select("job", "at_s", "status", "run_id"), ["job"], ["at_s", "run_id"])
+    """Latest run per job against its freshness budget; a run that is still going and whose summary says catch-up is exempt."""
+    last = newest(runs.select("job", "at_s", "status", "run_id", "summary"), ["job"], ["at_s", "run_id"])
     j = budgets.join(last, "job", "left")
     age = as_of_s - F.col("at_s")
-    live = (F.col("status") == "dispatched") & (age <= catchup_s)
+    mode = F.try_variant_get(F.try_parse_json("summary"), "$.mode", "string")
+    live = (F.col("status") == "dispatched") & F.coalesce(mode == "catchup", F.lit(False)) & (age <= catchup_s)
     return j.select("job", age.alias("age_s"), F.coalesce(~((age <= F.col("budget_s")) | live), F.lit(True)).cast("int").alias("stale"))
 
 

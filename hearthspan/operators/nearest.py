@@ -56,7 +56,8 @@ def knn_sales(subjects: DataFrame, pool: DataFrame, k: int, own: bool = False, r
 
     subjects(subject, place, lat, lon, segment, beds[, address_key]); pool(address_key, place, r_lat,
     r_lon, segment, beds, sale_date, price, area, tie1, tie2, tie3). With `own`, the subject's own
-    address is left out: a place keeps k sales per address and 2k in all, enough for any one exclusion.
+    address is left out: a place keeps k sales per address and 2k in all, enough for any one exclusion; and as
+    the own address holds at most k sales under each of three bedroom counts, places are opened for 4k sales.
     """
     order = [F.desc("sale_date"), "tie1", "tie2", "tie3", "price"]
     cell = ["place", "segment", "beds"]
@@ -65,7 +66,7 @@ def knn_sales(subjects: DataFrame, pool: DataFrame, k: int, own: bool = False, r
     kept = first_k(kept, cell, order, want, "_q").drop("_q")
     stock = kept.groupBy(*cell, "r_lat", "r_lon").agg(F.count(F.lit(1)).alias("n"))
     asks = subjects.select("place", "lat", "lon", "segment", "beds").distinct()
-    opened = nearest_places(asks, stock, want, rings)
+    opened = nearest_places(asks, stock, 4 * k if own else k, rings)
     c = kept.select(F.col("place").alias("c_place"), F.col("segment").alias("c_segment"), F.col("beds").alias("c_beds"), F.col("address_key").alias("c_address"),
                     F.col("sale_date").alias("c_date"), F.col("price").alias("c_price"), F.col("area").alias("c_area"), F.col("tie1").alias("c_tie1"), F.col("tie2").alias("c_tie2"), F.col("tie3").alias("c_tie3"))
     j = _beds_near(subjects).join(opened, ["place", "segment", "beds"]).join(c, ["c_place", "c_beds"]).where(F.col("segment") == F.col("c_segment"))
@@ -74,14 +75,14 @@ def knn_sales(subjects: DataFrame, pool: DataFrame, k: int, own: bool = False, r
     return first_k(j, ["subject"], ["km", "c_place", F.desc("c_date"), "c_beds", "c_tie1", "c_tie2", "c_tie3", "c_price"], k)
 
 
-def knn_before(subjects: DataFrame, pool: DataFrame, k: int, days: int = 1460, km: float = 1.0, hot_rows: int = 1_000_000) -> DataFrame:
+def knn_before(subjects: DataFrame, pool: DataFrame, k: int, days: int = 1460, km: float = 1.0) -> DataFrame:
     """k nearest sales strictly before the subject's date and within `days`, inside `km`.
 
     Sales of a place are numbered by date. The subject's date maps to two positions in that order (one
     window over the days of a place), and the newest k between them are fetched by number.
     """
     cell = ["place", "segment", "beds"]
-    numbered = with_previous(pool, cell, ["sale_date", "tie1", "tie2", "tie3", "price"], ["price"], ordinal="no", hot_rows=hot_rows)
+    numbered = with_previous(pool, cell, ["sale_date", "tie1", "tie2", "tie3", "price"], ["price"], ordinal="no")
     held = pool.groupBy(*cell, F.col("sale_date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     spots = pool.select(F.col("place").alias("c_place"), "r_lat", "r_lon").distinct()
     near = within_km(subjects.select("place", "lat", "lon").distinct(), spots, km, distance=haversine)

@@ -47,19 +47,19 @@ def annualised(first: Column, last: Column, years: Column) -> Column:
     return F.when(ok, (F.pow(last / first, 1 / years) - 1) * 100)
 
 
-def consecutive_pairs(sales: DataFrame, key: str = "address_key", hot_rows: int = 1_000_000) -> DataFrame:
+def consecutive_pairs(sales: DataFrame, key: str = "address_key") -> DataFrame:
     """Each sale beside the sale before it at the same address, over the full sequence."""
     rows = with_previous(
         sales.where(F.col(key).isNotNull() & F.col("sale_date").isNotNull()),
-        [key], SALE_ORDER, ["sale_date", "price", "category"], hot_rows=hot_rows,
+        [key], SALE_ORDER, ["sale_date", "price", "category"],
     )
     return rows.where(F.col("prev_sale_date").isNotNull())
 
 
-def repeat_sales(sales: DataFrame, key: str = "address_key", hot_rows: int = 1_000_000) -> DataFrame:
+def repeat_sales(sales: DataFrame, key: str = "address_key") -> DataFrame:
     """Repeat-sale returns. Pairs with a B leg go after pairing, so no hold spans a removed sale."""
     held = F.datediff("sale_date", "prev_sale_date") / F.lit(DAYS_PER_YEAR)
-    pairs = consecutive_pairs(sales, key, hot_rows).where(
+    pairs = consecutive_pairs(sales, key).where(
         not_b(F.col("category")) & not_b(F.col("prev_category")) & (F.col("prev_price") > 0)
     )
     pairs = pairs.withColumn("_held", held).where(F.col("_held") >= 0.25)
@@ -199,10 +199,10 @@ def is_clean_pair() -> Column:
     return is_standard(F.col("first_category")) & is_standard(F.col("last_category"))
 
 
-def resale_pairs(sales: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def resale_pairs(sales: DataFrame) -> DataFrame:
     """Buy-to-sell table. Single hold: the address has exactly two sales."""
     per_address = sales.where(F.col("sale_date").isNotNull()).groupBy("address_key").agg(F.count(F.lit(1)).alias("_sales"))
-    pairs = consecutive_pairs(sales, hot_rows=hot_rows).join(per_address, "address_key")
+    pairs = consecutive_pairs(sales).join(per_address, "address_key")
     return pairs.select(
         "address_key", "postcode", "outcode", "sector", "property_type",
         F.col("prev_sale_date").alias("first_date"), F.col("sale_date").alias("last_date"),
@@ -230,10 +230,10 @@ def cohort_stats(pairs: DataFrame, keys: list[str]) -> DataFrame:
 def cohort_ladder(pairs: DataFrame, subjects: DataFrame, near: DataFrame, least: int = 3) -> DataFrame:
     """Cohort outcome per subject postcode at the narrowest rung with enough pairs at the best tier.
 
-    Rungs: walk radius, sector, outcode. Tiers: clean, market, raw. Each tier of each place is
+    Only single holds count: homes bought and sold once. Rungs: walk radius, sector, outcode. Tiers: clean, market, raw. Each tier of each place is
     summarised once and joined to the subjects; pairs are never repeated per subject.
     """
-    flagged = pairs.withColumn("market", is_market_pair()).withColumn("clean", F.col("market") & is_clean_pair())
+    flagged = pairs.where("is_single_hold = 1").withColumn("market", is_market_pair()).withColumn("clean", F.col("market") & is_clean_pair())
     tiers = F.array(
         F.when(F.col("clean"), 1), F.when(F.col("market"), 2), F.lit(3)
     )

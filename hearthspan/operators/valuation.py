@@ -30,9 +30,9 @@ def ppsf_floor(rows: DataFrame, ratio: float = FLOOR) -> DataFrame:
     return rows.join(mid, ["segment", "span"]).where(F.col("ppsf") >= F.col("_mid") * ratio).drop("_mid", "span")
 
 
-def previous_sale(rows: DataFrame, hot_rows: int = 1_000_000) -> DataFrame:
+def previous_sale(rows: DataFrame) -> DataFrame:
     """Anchor of the sale before: flag, years since (-1 without one), log price and log price per area."""
-    d = with_previous(rows, ["address_key"], SALE_ORDER, ["sale_date", "price"], hot_rows=hot_rows, ordinal="sale_no")
+    d = with_previous(rows, ["address_key"], SALE_ORDER, ["sale_date", "price"], ordinal="sale_no")
     gap = F.datediff("sale_date", "prev_sale_date") / F.lit(DAYS_PER_YEAR)
     return d.withColumn("has_prev", F.col("prev_price").isNotNull().cast("int")).withColumn("years_since_prev", F.coalesce(gap, F.lit(-1.0))).withColumn(
         "prev_log_price", F.log(F.greatest(F.coalesce(F.col("prev_price"), F.lit(0)), F.lit(1)))).withColumn(

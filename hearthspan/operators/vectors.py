@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import islice
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -45,33 +42,35 @@ def sample_queries(vectors: DataFrame, n: int, seed: str) -> DataFrame:
     return vectors.orderBy(F.md5(F.concat(F.lit(seed + "-"), F.col("vec_id").cast("string")))).limit(n)
 
 
-def top_k_exact(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2000) -> DataFrame:
-    """Exact inner-product top k per query.
+def top_k_exact(vectors: DataFrame, queries: DataFrame, k: int, shard_rows: int = 20_000) -> DataFrame:
+    """Exact inner-product top k per query, in one scan of the vectors.
 
-    Queries travel to the tasks in blocks; a task keeps k per query of its own rows (one matrix product
-    per batch), so at most tasks x queries x k rows are shuffled and no query-vector pairs exist as rows.
+    Vectors are dealt into shards of about `shard_rows`; queries, a distributed side of any size, visit every
+    shard and stream past its vectors in one matrix product per batch. At most shards x queries x k rows are
+    shuffled and no query-vector pairs exist as rows.
     """
-    parts, rows = [], queries.select(F.col("vec_id").alias("query_id"), doubles("embedding").alias("q")).toLocalIterator()
-    while chunk := list(islice(rows, block)):
-        ids = np.array([r["query_id"] for r in chunk])
-        matrix = np.array([r["q"] for r in chunk])
-
-        def search(batches, ids=ids, matrix=matrix):
-            best_s = np.full((len(ids), k), -np.inf)
-            best_i = np.full((len(ids), k), np.iinfo(np.int64).max)
-            for pdf in batches:
-                if not len(pdf):
-                    continue
-                scores = matrix @ np.array(pdf["v"].tolist()).T
-                s = np.concatenate([best_s, scores], axis=1)
-                i = np.concatenate([best_i, np.broadcast_to(pdf["vec_id"].to_numpy(), scores.shape)], axis=1)
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            keep = np.isfinite(best_s)
-            yield pd.DataFrame({"query_id": np.repeat(ids, keep.sum(1)), "vec_id": best_i[keep], "score": best_s[keep]})
-
-        parts.append(vectors.select("vec_id", doubles("embedding").alias("v")).mapInPandas(search, "query_id long, vec_id long, score double"))
-    return first_k(reduce(DataFrame.unionByName, parts), ["query_id"], [F.desc("score"), "vec_id"], k)
+    shards = max(1, -(-vectors.count() // shard_rows))
+    held = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.lit(0).alias("asks"), "vec_id", doubles("embedding").alias("v"))
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.lit(1).alias("asks"), "vec_id", doubles("embedding").alias("v"))
+
+    def search(batches):
+        shard, ids, parts, matrix = None, [], [], None
+        for pdf in batches:
+            for (at, asks), own in pdf.groupby(["shard", "asks"], sort=True):
+                if at != shard:
+                    shard, ids, parts, matrix = at, [], [], None
+                if not asks:
+                    ids.append(own["vec_id"].to_numpy())
+                    parts.append(np.array(own["v"].tolist()))
+                elif parts:
+                    if matrix is None:
+                        matrix, names = np.concatenate(parts), np.concatenate(ids)
+                    scores = np.array(own["v"].tolist()) @ matrix.T
+                    order = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
+                    yield pd.DataFrame({"query_id": np.repeat(own["vec_id"].to_numpy(), order.shape[1]), "vec_id": names[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
+
+    rows = held.unionByName(asked).repartition("shard").sortWithinPartitions("shard", "asks")
+    return first_k(rows.mapInPandas(search, "query_id long, vec_id long, score double"), ["query_id"], [F.desc("score"), "vec_id"], k)
 
 
 def ranges(vectors: DataFrame) -> DataFrame:

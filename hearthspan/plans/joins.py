@@ -1,5 +1,6 @@
 """Join queries."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthspan.functions import labels
@@ -197,9 +198,9 @@ def link_certificates(i):
   SELECT id, count(*) AS truth, (SELECT count(*) FROM m WHERE m.id = t.id) AS by_label, (SELECT count(*) FROM u JOIN ut USING (id, room_type) WHERE u.id = t.id) AS by_type FROM t GROUP BY id""", "rooms")
 def _(i):
     # labels of one plan: the groups are the rooms of a home
-    order = ["room_no", "area_sqft", "long_edge_m"]
-    t = first_k(i.rooms.where("room_no % 2 = 0"), ["id", "label"], order, 1_000_000, "q")
-    p = first_k(i.rooms.where("room_no % 2 = 1"), ["id", "label"], order, 1_000_000, "q")
+    number = F.row_number().over(W.partitionBy("id", "label").orderBy("room_no", "area_sqft", "long_edge_m"))
+    t = i.rooms.where("room_no % 2 = 0").withColumn("q", number)
+    p = i.rooms.where("room_no % 2 = 1").withColumn("q", number)
     m = t.join(p.select("id", "label", "q"), ["id", "label", "q"]).select("id", "label", "q")
     lt = t.join(m, ["id", "label", "q"], "left_anti").groupBy("id", "room_type").agg(F.count(F.lit(1)).alias("c"))
     lp = p.join(m, ["id", "label", "q"], "left_anti").groupBy("id", "room_type").agg(F.count(F.lit(1)).alias("c")).where("c = 1")
@@ -229,12 +230,12 @@ def _(i):
     return i.listings.where("delisted_date IS NULL").select("id").join(last.select("id", "room_no", "label"), "id")
 
 
-@query("set_union_evidence", """WITH q AS (SELECT DISTINCT upper(replace(raw_postcode, ' ', '')) AS pc FROM listings UNION SELECT upper(regexp_replace(raw, '\\s+', '', 'g')) FROM mixed_postcodes WHERE k % 6 IN (0, 1, 4, 5)),
+@query("set_union_evidence", """WITH q AS (SELECT DISTINCT upper(replace(raw_postcode, ' ', '')) AS pc FROM listings UNION SELECT upper(regexp_replace(raw, '\\s+', '', 'g')) FROM mixed_postcodes),
   e AS (SELECT replace(spaced, ' ', '') AS pc FROM coords UNION SELECT replace(postcode, ' ', '') FROM sales UNION SELECT upper(replace(raw_postcode, ' ', '')) FROM listings) SELECT pc, CASE WHEN pc IN (SELECT pc FROM e) THEN 1 ELSE 0 END AS known FROM q""", "listings mixed_postcodes coords sales")
 def _(i):
     from hearthspan.functions.postcode import compact
 
-    raw = i.mixed_postcodes.where("k % 6 IN (0, 1, 4, 5)").select(compact(F.col("raw")).alias("pc"))
+    raw = i.mixed_postcodes.select(compact(F.col("raw")).alias("pc"))
     asked = i.listings.select(compact(F.col("raw_postcode")).alias("pc")).unionByName(raw).distinct()
     seen = i.coords.select(compact(F.col("spaced")).alias("pc")).unionByName(i.sales.select(compact(F.col("postcode")).alias("pc"))).unionByName(i.listings.select(compact(F.col("raw_postcode")).alias("pc"))).distinct()
     return asked.join(seen.withColumn("known", F.lit(1)), "pc", "left").select("pc", F.coalesce("known", F.lit(0)).alias("known"))
@@ -256,10 +257,20 @@ def _(i):
     return calls.select("call_id").join(size, "call_id", "left").join(hit, "call_id", "left").fillna(0, ["found", "hit"])
 
 
-@query("filter_degenerate_name", """SELECT doc_id, name FROM (SELECT doc_id, upper(trim(split_part(text, ' of ', 1))) AS name FROM documents WHERE strpos(text, ' of ') > 0) t WHERE strpos(name, ' ') > 0 AND name NOT IN ('THE HOUSE', 'THE BUILDING') AND regexp_matches(name, '\\bTHE\\b') AND NOT regexp_matches(name, '[^\\x00-\\x7F]')""")
+# Names that are no more than a generic word.
+GENERIC_NAMES = ("THE COURT", "THE HOUSE", "THE MANOR", "THE TOWER", "THE BUILDING", "THE MANSIONS", "THE WHARF", "THE LODGE")
+_AZ = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def named_subjects(rows, name, word):
+    """Rows whose name has two words at least, is not generic and holds the asked word where a word begins; only a-z are raised."""
+    n, w = F.col(name), word.upper()
+    return rows.where(F.contains(n, F.lit(" ")) & ~n.isin(*GENERIC_NAMES) & (F.contains(n, F.lit(f" {w}")) | n.startswith(f"{w} ")))
+
+
+@query("filter_degenerate_name", f"""SELECT doc_id, name FROM (SELECT doc_id, translate(trim(split_part(text, ' of ', 1)), '{_AZ[0]}', '{_AZ[1]}') AS name FROM documents WHERE strpos(text, ' of ') > 0) t
+  WHERE strpos(name, ' ') > 0 AND name NOT IN {GENERIC_NAMES} AND (strpos(name, ' THE') > 0 OR starts_with(name, 'THE '))""")
 def _(i):
-    # first segment as the name: two words at least, not generic, the asked word whole
-    name = F.upper(F.trim(F.split("text", " of ", 2)[0]))
-    rows = i.table("documents").where(F.instr("text", " of ") > 0).select("doc_id", name.alias("name"))
-    ok = F.contains("name", F.lit(" ")) & ~F.col("name").isin("THE HOUSE", "THE BUILDING") & F.col("name").rlike(r"\bTHE\b")
-    return rows.where(ok & ~F.col("name").rlike(r"[^\x00-\x7F]"))
+    # the first segment stands for the name
+    name = F.translate(F.trim(F.split("text", " of ", 2)[0]), *_AZ)
+    return named_subjects(i.table("documents").where(F.instr("text", " of ") > 0).select("doc_id", name.alias("name")), "name", "the")

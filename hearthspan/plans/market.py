@@ -7,7 +7,7 @@ from hearthspan.operators import market as op
 from hearthspan.operators import sales as sale_op
 from hearthspan.operators.spatial import within_km
 from hearthspan.plans.base import query
-from hearthspan.plans.sales import AS_OF, GROWTH, MARKET, PAIRS, YEAR
+from hearthspan.plans.sales import AS_OF, GROWTH, HOMES_SQL, PAIRS, YEAR
 
 # The given tables spread sales evenly, so the registered queries use closer thresholds than the
 # operator defaults; otherwise no month would be flagged and nothing would be compared.
@@ -253,14 +253,14 @@ def _(i):
 _ST = "count(*) AS n, median(pct_change) AS mp, count(*) FILTER (WHERE pct_change < 0) AS losers, median(hold_years) AS mh"
 
 
-@query("cohort_ladder", f"""WITH {MARKET}, {NEAR_SQL}, co AS (SELECT * FROM mk WHERE first_date >= DATE '2019-01-01'), ti AS (SELECT *, 3 AS tier FROM co UNION ALL SELECT *, 2 FROM co WHERE market UNION ALL SELECT *, 1 FROM co WHERE market AND aa),
+@query("cohort_ladder", f"""WITH {HOMES_SQL}, {NEAR_SQL}, co AS (SELECT * FROM mk WHERE first_date >= DATE '2019-01-01' AND is_single_hold = 1), ti AS (SELECT *, 3 AS tier FROM co UNION ALL SELECT *, 2 FROM co WHERE market UNION ALL SELECT *, 1 FROM co WHERE market AND aa),
   u AS (SELECT DISTINCT spaced AS postcode FROM coords), v AS (SELECT DISTINCT postcode, sector, outcode FROM sales WHERE postcode IN (SELECT postcode FROM u)),
   g AS (SELECT near.subject, 1 AS rung, tier, {_ST} FROM ti JOIN near ON near.postcode = ti.postcode GROUP BY ALL UNION ALL
     SELECT v.postcode, 2, tier, {_ST} FROM ti JOIN v ON v.sector = ti.sector GROUP BY ALL UNION ALL SELECT v.postcode, 3, tier, {_ST} FROM ti JOIN v ON v.outcode = ti.outcode GROUP BY ALL)
   SELECT subject, rung, tier, n, round(mp, 6) AS median_pct, losers, round(100.0 * losers / n, 6) AS loss_share, round(mh, 6) AS median_hold
-  FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY tier, rung) AS q FROM g WHERE n >= 3 AND subject IN (SELECT postcode FROM v)) WHERE q = 1""", "sales coords")
+  FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY tier, rung) AS q FROM g WHERE n >= 3 AND subject IN (SELECT postcode FROM v)) WHERE q = 1""", "sales home_sales coords")
 def _(i):
-    pairs = sale_op.resale_pairs(i.sales).where(F.col("first_date") >= F.lit("2019-01-01").cast("date"))
+    pairs = sale_op.resale_pairs(i.home_sales).where(F.col("first_date") >= F.lit("2019-01-01").cast("date"))
     subj = i.sales.select("postcode", "sector", "outcode").distinct()
     near = near_postcodes(i).join(subj.select(F.col("postcode").alias("subject")), "subject", "left_semi")
     got = sale_op.cohort_ladder(pairs, subj, near)

@@ -1,5 +1,7 @@
 """Monitoring, telemetry and evaluation queries."""
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -85,10 +87,10 @@ def _(i):
     return op.emission_scores(i.readings)
 
 
-@query("agg_circular_mean", f"""WITH r AS (SELECT property_id, truth FROM readings WHERE reading_id % 10 < 2), w AS (SELECT a.property_id, max(least(abs(a.truth - b.truth), 360 - abs(a.truth - b.truth))) AS wide FROM r a JOIN r b USING (property_id) GROUP BY ALL)
+@query("agg_circular_mean", f"""WITH r AS (SELECT property_id, truth FROM readings), w AS (SELECT a.property_id, max(least(abs(a.truth - b.truth), 360 - abs(a.truth - b.truth))) AS wide FROM r a JOIN r b USING (property_id) GROUP BY ALL)
   SELECT property_id, count(*) AS n, CASE WHEN wide <= 15 THEN round(((degrees(atan2(sum(sin(radians(truth))), sum(cos(radians(truth))))) % 360) + 360) % 360, 4) END AS mean, CASE WHEN wide <= 15 THEN 1 ELSE 0 END AS emitted FROM r JOIN w USING (property_id) GROUP BY property_id, wide""", "readings")
 def _(i):
-    return op.circular_combine(i.readings.where("reading_id % 10 < 2"), "property_id", "truth").withColumn("mean", F.round("mean", 4))
+    return op.circular_combine(i.readings, "property_id", "truth").withColumn("mean", F.round("mean", 4))
 
 
 @query("north_gate", """SELECT CASE WHEN present IS NULL THEN 'detect_failed' WHEN present = 0 THEN 'absent' WHEN presence_prob < 0.4 THEN 'presence' WHEN spread > 10 THEN 'spread' ELSE 'pass' END AS reason, count(*) AS n FROM readings GROUP BY 1""", "readings")
@@ -142,10 +144,10 @@ def _(i):
     return op.capability_gaps(chats(i)).select("msg_id", "label", "severity", "source", "tools_used")
 
 
-@query("agg_gaps_distinct", f"""WITH {_GAP}, k AS (SELECT *, left(sha1(label || '|' || regexp_replace(lower(trim(user_text)), '[\\s，。、？！,.?!；;：:"''「」『』（）()]+', '', 'g')), 12) AS key FROM gaps WHERE label IS NOT NULL AND NOT regexp_matches(user_text, '[^\\x00-\\x7F]'))
+@query("agg_gaps_distinct", f"""WITH {_GAP}, k AS (SELECT *, left(sha1(label || '|' || regexp_replace(lower(trim(user_text)), '[\\s，。、？！,.?!；;：:"''「」『』（）()]+', '', 'g')), 12) AS key FROM gaps WHERE label IS NOT NULL)
   SELECT key, count(*) AS hits, max(msg_id) AS last_msg, arg_min(label, msg_id) AS label FROM k GROUP BY key""", "chats")
 def _(i):
-    gaps = op.capability_gaps(chats(i).where(~F.col("user_text").rlike(r"[^\x00-\x7F]")))
+    gaps = op.capability_gaps(chats(i))
     return op.distinct_gaps(gaps).select("key", "hits", "last_msg", "label")
 
 
@@ -180,8 +182,8 @@ def _(i):
     return op.reconcile(i.runs, rules, op.queue_stats(i.runs, AT), AT, 7200)
 
 
-@query("stale_jobs", f"""WITH l AS (SELECT job, at_s, status FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY at_s DESC, run_id DESC) AS q FROM runs WHERE at_s <= {AT}) WHERE q = 1), b(job, budget_s) AS (VALUES ('view', 60), ('click', 600), ('signup', 86400), ('error', 5), ('purchase', 1), ('ghost', 60))
-  SELECT job, {AT} - at_s AS age_s, CASE WHEN at_s IS NULL THEN 1 WHEN {AT} - at_s <= budget_s OR (status = 'dispatched' AND {AT} - at_s <= 10800) THEN 0 ELSE 1 END AS stale FROM b LEFT JOIN l USING (job)""", "runs")
+@query("stale_jobs", f"""WITH l AS (SELECT job, at_s, status, summary FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY at_s DESC, run_id DESC) AS q FROM runs WHERE at_s <= {AT}) WHERE q = 1), b(job, budget_s) AS (VALUES ('view', 60), ('click', 600), ('signup', 86400), ('error', 5), ('purchase', 1), ('ghost', 60))
+  SELECT job, {AT} - at_s AS age_s, CASE WHEN at_s IS NULL THEN 1 WHEN {AT} - at_s <= budget_s OR (status = 'dispatched' AND {AT} - at_s <= 10800 AND coalesce(json_valid(summary), false) AND CASE WHEN json_valid(summary) THEN json_extract_string(summary, '$.mode') = 'catchup' ELSE false END) THEN 0 ELSE 1 END AS stale FROM b LEFT JOIN l USING (job)""", "runs")
 def _(i):
     budgets = i.spark.sql("SELECT * FROM VALUES ('view', 60L), ('click', 600L), ('signup', 86400L), ('error', 5L), ('purchase', 1L), ('ghost', 60L) AS t(job, budget_s)")
     return op.stale_jobs(i.runs.where(F.col("at_s") <= AT), budgets, AT)
@@ -200,11 +202,11 @@ def _(i):
     return rows.groupBy("job").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("retention_plan", """SELECT 'dim_' || right(postcode, 2) AS table_name, count(*) AS total, count(*) FILTER (WHERE data_version <> 'v2') AS old, CASE WHEN count(*) FILTER (WHERE data_version <> 'v2') * 1.0 / count(*) > 0.58 THEN 1 ELSE 0 END AS refused,
-  CASE WHEN count(*) FILTER (WHERE data_version <> 'v2') * 1.0 / count(*) > 0.58 THEN 0 ELSE count(*) FILTER (WHERE data_version <> 'v2') END AS delete_n FROM score_docs GROUP BY 1""", "score_docs")
+@query("retention_plan", """SELECT 'dim_' || right(postcode, 2) AS table_name, count(*) AS total, count(*) FILTER (WHERE data_version <> 'v2') AS old, CASE WHEN count(*) FILTER (WHERE data_version <> 'v2') * 1.0 / count(*) > 0.5 THEN 1 ELSE 0 END AS refused,
+  CASE WHEN count(*) FILTER (WHERE data_version <> 'v2') * 1.0 / count(*) > 0.5 THEN 0 ELSE count(*) FILTER (WHERE data_version <> 'v2') END AS delete_n FROM score_docs GROUP BY 1""", "score_docs")
 def _(i):
     rows = i.score_docs.withColumn("table_name", F.concat(F.lit("dim_"), F.substring("postcode", -2, 2)))
-    return op.retention_plan(rows, "v2", 0.58)
+    return op.retention_plan(rows, "v2")
 
 
 _PERIODS = "per AS (SELECT queue_no, floor(at_s / 21600)::BIGINT AS period, count(*) FILTER (WHERE error_message = 'database is locked') AS failures FROM runs GROUP BY ALL)"
@@ -234,7 +236,9 @@ def _(i):
 def _(i):
     # hash order is the seeded shuffle; the place in it comes from slab totals, not from sorting a stratum
     h = F.md5(F.concat_ws("-", F.lit("42"), F.col("conv_id").cast("string"), F.col("turn").cast("string")))
-    rows = i.table("conversations").select("conv_id", "turn", "role", h.alias("h")).withColumn("slab", F.substring("h", 1, 2))
+    turns = i.table("conversations")
+    digits = max(2, math.ceil(math.log(max(1, turns.count() / 4096), 16)))  # slabs of a few thousand rows, whatever the table
+    rows = turns.select("conv_id", "turn", "role", h.alias("h")).withColumn("slab", F.substring("h", 1, digits))
     slabs = rows.groupBy("role", "slab").agg(F.count(F.lit(1)).alias("c"))
     across = W.partitionBy("role")
     slabs = slabs.select("role", "slab", F.sum("c").over(across).alias("n"), (F.sum("c").over(across.orderBy("slab")) - F.col("c")).alias("base"))

@@ -90,14 +90,14 @@ def _(i):
     return joined.select("address_key", iso("sale_date"), "tie1", "tie2", "tie3", "price", F.date_format("prev_sale_date", "yyyy-MM-dd").alias("prior_date"))
 
 
-@query("win_sale_rank", """SELECT address_key, tie1, tie2, tie3, price, sale_no, least(held, 240.0) AS held_months FROM (
+@query("win_sale_rank", """SELECT address_key, tie1, tie2, tie3, price, sale_no, CASE WHEN held IS NULL THEN -1.0 ELSE least(held, 60.0) END AS held_months FROM (
   SELECT *, row_number() OVER w AS sale_no, round(date_diff('day', lag(sale_date) OVER w, sale_date) / 30.44, 4) AS held FROM sales
   WINDOW w AS (PARTITION BY address_key ORDER BY sale_date, tie1, tie2, tie3, price)) x""", "sales")
 def _(i):
     rows = rank.with_previous(i.sales, ["address_key"], op.SALE_ORDER, ["sale_date"], ordinal="sale_no")
     held = F.round(F.datediff("sale_date", "prev_sale_date") / F.lit(30.44), 4)
     return rows.select("address_key", "tie1", "tie2", "tie3", "price", F.col("sale_no").cast("bigint").alias("sale_no"),
-                       F.when(held.isNotNull(), F.least(held, F.lit(240.0))).otherwise(F.lit(240.0)).alias("held_months"))
+                       F.when(held.isNotNull(), F.least(held, F.lit(60.0))).otherwise(F.lit(-1.0)).alias("held_months"))
 
 
 @query("agg_geo_cagr", f"WITH {PAIRS} SELECT outcode, {GROWTH} FROM pairs GROUP BY outcode", "sales")
@@ -282,9 +282,13 @@ STATS_SQL = """count(*) AS n, round(median(pct_change), 6) AS median_pct, count(
   round(100.0 * count(*) FILTER (WHERE pct_change < 0) / count(*), 6) AS loss_share, round(median(hold_years), 6) AS median_hold"""
 
 
-@query("agg_cohort_stats", f"WITH {MARKET} SELECT year(first_date)::INT AS buy_year, {STATS_SQL} FROM mk WHERE market AND aa GROUP BY year(first_date) HAVING count(*) >= 3", "sales")
+# homes of their own: most have a handful of sales, many just the two of a single hold
+HOMES_SQL = MARKET.replace("FROM sales", "FROM home_sales")
+
+
+@query("agg_cohort_stats", f"WITH {HOMES_SQL} SELECT year(first_date)::INT AS buy_year, {STATS_SQL} FROM mk WHERE market AND aa AND is_single_hold = 1 GROUP BY year(first_date) HAVING count(*) >= 3", "home_sales")
 def _(i):
-    pairs = op.resale_pairs(i.sales).where(op.is_market_pair() & op.is_clean_pair()).withColumn("buy_year", F.year("first_date"))
+    pairs = op.resale_pairs(i.home_sales).where(op.is_market_pair() & op.is_clean_pair() & (F.col("is_single_hold") == 1)).withColumn("buy_year", F.year("first_date"))
     got = op.cohort_stats(pairs, ["buy_year"]).where("n >= 3")
     return got.select("buy_year", "n", F.round("median_pct", 6).alias("median_pct"), "losers", "gainers", F.round("loss_share", 6).alias("loss_share"), F.round("median_hold", 6).alias("median_hold"))
 

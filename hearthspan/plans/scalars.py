@@ -225,7 +225,7 @@ def _band_sql(bands, p):
     for high, rate in bands:
         terms.append(f"CASE WHEN {p} > {low} THEN (least({p}, {int(high)}) - {low}) * {rate} ELSE 0 END")
         low = int(high)
-    return "round(" + " + ".join(terms) + ")::DOUBLE"
+    return "round_even(" + " + ".join(terms) + ", 0)::DOUBLE"
 
 
 @query("banded_tax", f"""SELECT id, {_band_sql(money.STANDARD, 'p')} AS standard, CASE WHEN p <= 500000 THEN {_band_sql(money.FIRST_TIME, 'p')} ELSE {_band_sql(money.STANDARD, 'p')} END AS first_time, {_band_sql(money.NON_RESIDENTIAL, 'p')} AS non_residential
@@ -254,15 +254,21 @@ def _(i):
     return payments(i).select("id", F.round("monthly", 4).alias("monthly"))
 
 
-@query("ownership_cost", f"""{_PAY} SELECT l.id, round(monthly + coalesce(CASE l.council_tax_band WHEN 'A' THEN band_a WHEN 'D' THEN band_d WHEN 'H' THEN band_h END, 0) / 12 + coalesce(service_charge, 0) / 12 + coalesce(ground_rent, 0) / 12, 4) AS total
-  FROM pay JOIN listings l USING (id) LEFT JOIN boroughs b ON b.outcode = l.outcode LEFT JOIN (SELECT * FROM tax_rates QUALIFY row_number() OVER (PARTITION BY borough ORDER BY tax_year DESC) = 1) t ON t.borough = b.borough""", "listings boroughs tax_rates")
+@query("ownership_cost", f"""{_PAY} SELECT id, round(monthly + coalesce(tax, 0) / 12 + coalesce(service_charge, 0) / 12 + coalesce(ground_rent, 0) / 12, 4) AS total, CASE WHEN tax IS NULL THEN 0 ELSE 1 END AS tax_included FROM (SELECT l.id, monthly, service_charge, ground_rent,
+    CASE l.council_tax_band WHEN 'A' THEN band_a WHEN 'B' THEN band_d * 7 / 9 WHEN 'C' THEN band_d * 8 / 9 WHEN 'D' THEN band_d WHEN 'E' THEN band_d * 11 / 9 WHEN 'F' THEN band_d * 13 / 9 WHEN 'G' THEN band_d * 15 / 9 WHEN 'H' THEN band_h END AS tax
+  FROM pay JOIN listings l USING (id) LEFT JOIN boroughs b ON b.outcode = l.outcode LEFT JOIN (SELECT * FROM tax_rates QUALIFY row_number() OVER (PARTITION BY borough ORDER BY tax_year DESC) = 1) t ON t.borough = b.borough) z""", "listings boroughs tax_rates")
 def _(i):
     from hearthspan.functions.rank import newest
 
     rates = newest(i.tax_rates, ["borough"], ["tax_year"])
     rows = payments(i).join(i.boroughs.select("outcode", "borough"), "outcode", "left").join(rates, "borough", "left")
-    band = F.when(F.col("council_tax_band") == "A", F.col("band_a")).when(F.col("council_tax_band") == "D", F.col("band_d")).when(F.col("council_tax_band") == "H", F.col("band_h"))
-    return rows.select("id", F.round(F.col("monthly") + money.total([band / 12, F.col("service_charge") / 12, F.col("ground_rent") / 12]), 4).alias("total"))
+    # A and H are given; the others are ninths of D
+    own = F.col("council_tax_band")
+    band = F.when(own == "A", F.col("band_a")).when(own == "H", F.col("band_h"))
+    for letter, ninths in money.NINTHS_OF_D.items():
+        band = band.when(own == letter, F.col("band_d") * ninths / 9)
+    total = F.col("monthly") + money.total([band / 12, F.col("service_charge") / 12, F.col("ground_rent") / 12])
+    return rows.select("id", F.round(total, 4).alias("total"), band.isNotNull().cast("int").alias("tax_included"))
 
 
 def _fits(p, first):
@@ -297,14 +303,14 @@ def _(i):
     return rows.join(F.broadcast(med)).select("id", F.coalesce(F.col("ct").cast("double"), "med").alias("band_no"), F.col("ct").isNull().cast("int").alias("missing"))
 
 
-@query("area_fusion", """SELECT id, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (a + b) / 2 ELSE coalesce(a, b) END AS area, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND abs(a - b) / ((a + b) / 2) > 0.15 THEN 1 ELSE 0 END AS disagree
+@query("area_fusion", """SELECT id, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (a + b) / 2 ELSE coalesce(a, b) END AS area, CASE WHEN a IS NOT NULL AND b IS NOT NULL AND abs(a - b) / b > 0.15 THEN 1 ELSE 0 END AS disagree
   FROM (SELECT id, nullif(floor_area_sqft, 0)::DOUBLE AS a, CASE WHEN id % 4 = 0 THEN NULL ELSE floor_area_sqft * (0.7 + (id % 7) / 10.0) END::DOUBLE AS b FROM (SELECT id, nullif(floor_area_sqft, 0) AS floor_area_sqft FROM listings) l) t""", "listings")
 def _(i):
     a = F.nullif(F.col("floor_area_sqft"), F.lit(0)).cast("double")
     b = F.when(F.col("id") % 4 != 0, a * (F.lit(0.7) + F.col("id") % 7 / 10.0))
     mean = (F.col("a") + F.col("b")) / 2
     rows = i.listings.select("id", a.alias("a"), b.alias("b"))
-    return rows.select("id", F.coalesce(mean, "a", "b").alias("area"), F.coalesce((F.abs(F.col("a") - F.col("b")) / mean > 0.15).cast("int"), F.lit(0)).alias("disagree"))
+    return rows.select("id", F.coalesce(mean, "a", "b").alias("area"), F.coalesce((F.abs(F.col("a") - F.col("b")) / F.col("b") > 0.15).cast("int"), F.lit(0)).alias("disagree"))
 
 
 _BIN = "list_extract(['north','north-east','east','south-east','south','south-west','west','north-west'], ((({x}) % 8 + 8) % 8 + 1)::INT)"
@@ -407,9 +413,9 @@ def _(i):
     return text.canonical_names(asked, "raw", hubs, aliases).select("c_custkey", "raw", "canonical")
 
 
-@query("content_hash", """SELECT conv_id, turn, left(sha1(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))), 12) AS h FROM conversations WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')""")
+@query("content_hash", """SELECT conv_id, turn, left(sha1(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))), 12) AS h FROM conversations""")
 def _(i):
-    rows = i.table("conversations").where(~F.col("text").rlike(r"[^\x00-\x7F]"))
+    rows = i.table("conversations")
     return rows.select("conv_id", "turn", text.content_key(F.col("text")).alias("h"))
 
 

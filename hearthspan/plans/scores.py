@@ -246,7 +246,7 @@ def _(i):
 
 
 @query("score_schools", f"""WITH {_NEAR}, n AS (SELECT * EXCLUDE (km), round(km, 3) AS km FROM near WHERE km <= 1.5 AND ofsted IS NOT NULL),
-  g AS (SELECT subject, sum((5 - ofsted) * exp(-0.5 * km)) / sum(exp(-0.5 * km)) AS q, count(*) FILTER (WHERE ofsted = 1 AND km <= 1) AS t, count(*) FILTER (WHERE ofsted <= 2 AND km <= 1) AS gd, bool_or(phase = 'primary') AS pr, bool_or(phase = 'secondary') AS se, count(*) AS rated,
+  g AS (SELECT subject, sum((5 - ofsted) * exp(-0.5 * km)) / sum(exp(-0.5 * km)) AS q, count(*) FILTER (WHERE ofsted = 1 AND km <= 1) AS t, count(*) FILTER (WHERE ofsted <= 2 AND km <= 1) AS gd, bool_or(phase IN ('primary', 'all-through')) AS pr, bool_or(phase IN ('secondary', 'all-through')) AS se, count(*) AS rated,
     count(*) FILTER (WHERE ofsted >= 3) AS poor, count(*) FILTER (WHERE ofsted = 4) AS worst FROM n GROUP BY subject),
   s AS (SELECT subject, rated, 0.4 * (q - 1) / 3 * 100 + 0.3 * least(100, CASE t WHEN 0 THEN 0 WHEN 1 THEN 40 WHEN 2 THEN 65 WHEN 3 THEN 80 ELSE least(100, 80 + t * 5) END + least(20, gd * 3))
     + 0.1 * least(100, pr::INT * 30 + se::INT * 30 + (rated >= 2)::INT * 10 + (rated >= 5)::INT * 10 + (rated >= 10)::INT * 10 + (rated >= 15)::INT * 10)

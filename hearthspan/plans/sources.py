@@ -1,5 +1,7 @@
 """Scan and sink queries, and profiles of small areas."""
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from hearthspan.operators.market import DIMENSIONS
@@ -36,20 +38,20 @@ def _(i):
     return d.select("postcode", "data_version", F.col("doc.score").alias("score"), F.col("no_data").cast("int").alias("no_data"))
 
 
-@query("scan_jsonl_kinds", "SELECT kind, count(*) AS files, sum(repeats) AS repeats FROM (VALUES ('critic', 0), ('critic', 1), ('answers', 0), ('unknown', 0)) t(kind, repeats) GROUP BY kind HAVING (SELECT count(*) FROM labels) > 0")
+@query("scan_jsonl_kinds", "SELECT 'critic' AS kind, 2 * count(*) AS lines, count(*) AS repeated FROM critic UNION ALL SELECT 'answers', count(*), 0 FROM answers UNION ALL SELECT 'unknown', count(*), 0 FROM chats", "critic answers chats")
 def _(i):
     path = scratch(i.spark, "jsonl")
+    whole = {"ignoreNullFields": "false"}
     lines = {
-        "a": i.critic.select(F.to_json(F.struct("case_id", "verdict", "issues")).alias("value"), F.col("case_id").alias("o")),
-        "b": i.critic.select(F.to_json(F.struct("case_id", "verdict", "issues")).alias("value"), F.col("case_id").alias("o")),
-        "c": i.answers.select(F.to_json(F.struct("case_id", "response")).alias("value"), F.col("case_id").alias("o")),
-        "d": i.chats.select(F.to_json(F.struct("msg_id", "session_id")).alias("value"), F.col("msg_id").alias("o")),
+        "a": i.critic.select(F.to_json(F.struct("case_id", "verdict", "issues"), whole).alias("value"), F.col("case_id").alias("o")),
+        "b": i.critic.select(F.to_json(F.struct("case_id", "verdict", "issues"), whole).alias("value"), F.col("case_id").alias("o")),
+        "c": i.answers.select(F.to_json(F.struct("case_id", "response"), whole).alias("value"), F.col("case_id").alias("o")),
+        "d": i.chats.select(F.to_json(F.struct("msg_id", "session_id"), whole).alias("value"), F.col("msg_id").alias("o")),
     }
     for name, df in lines.items():
-        # one file each, as the reader tells files apart
-        df.repartition(1).sortWithinPartitions("o").select("value").write.text(f"{path}/kind={name}")
+        df.repartition(8, "o").sortWithinPartitions("o", "value").select("value").write.text(f"{path}/kind={name}")
     files = readers.jsonl_kinds(i.spark, f"{path}/*")
-    return files.groupBy("kind").agg(F.count(F.lit(1)).alias("files"), F.count("repeats").alias("repeats"))
+    return files.groupBy("kind").agg(F.sum("lines").alias("lines"), F.sum(F.when(F.col("repeats").isNotNull(), F.col("lines")).otherwise(0)).alias("repeated"))
 
 
 _O = "created_on DESC, doc_no DESC, tie2 DESC, tie3 DESC, price DESC"
@@ -115,22 +117,37 @@ def _(i):
     return a.select("postcode", "hit", "partial", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("oldest", "earliest_expiry")])
 
 
-_RENT = "r AS (SELECT o_custkey % 60 AS area, CASE o_orderpriority WHEN '1-URGENT' THEN 'all' WHEN '2-HIGH' THEN 'bed1' WHEN '3-MEDIUM' THEN 'bed2' ELSE 'bed3' END AS size_key, strftime(o_orderdate, '%Y-%m') AS month, o_totalprice, o_orderkey FROM orders)"
+_SIZES = ("bed1", "bed2", "bed3", "bed4plus")
+_RENT = "r AS (SELECT o_custkey % 60 AS area, CASE o_orderpriority WHEN '1-URGENT' THEN 'all' WHEN '2-HIGH' THEN 'bed1' WHEN '3-MEDIUM' THEN 'bed2' WHEN '5-LOW' THEN 'bed4plus' ELSE 'bed3' END AS size_key, date_trunc('month', o_orderdate) AS month, o_totalprice FROM orders)"
 
 
-@query("agg_rent_benchmark", f"""WITH {_RENT}, m AS (SELECT '2001-07' AS month), l AS (SELECT area, size_key, count(*) AS n, max(o_totalprice) AS rent FROM r WHERE month = (SELECT month FROM m) GROUP BY ALL), mk AS (SELECT size_key, max(rent) AS market FROM l GROUP BY size_key)
-  SELECT a.area, b.size_key, coalesce(x.rent, y.rent) AS rent, CASE WHEN x.rent IS NOT NULL THEN 'size' WHEN y.rent IS NOT NULL THEN 'all' END AS basis, mk.market FROM (SELECT DISTINCT area FROM l) a CROSS JOIN (SELECT DISTINCT size_key FROM l WHERE size_key <> 'all') b LEFT JOIN l x ON x.area = a.area AND x.size_key = b.size_key LEFT JOIN l y ON y.area = a.area AND y.size_key = 'all' LEFT JOIN mk ON mk.size_key = b.size_key""")
+@query("agg_rent_benchmark", f"""WITH {_RENT}, m AS (SELECT max(month) AS month FROM r), l AS (SELECT area, size_key, max(o_totalprice) FILTER (WHERE month = (SELECT month FROM m)) AS rent, max(o_totalprice) FILTER (WHERE month = (SELECT month FROM m) - INTERVAL 1 YEAR) AS past FROM r GROUP BY ALL),
+   k AS (SELECT size_key, max(rent) AS market FROM l GROUP BY size_key), a AS (SELECT DISTINCT area FROM l WHERE rent IS NOT NULL), b AS (SELECT unnest({list(_SIZES)}) AS size_key),
+   j AS (SELECT a.area, b.size_key, x.rent AS own, x.past AS own_past, y.rent AS every, y.past AS every_past, market FROM a CROSS JOIN b LEFT JOIN l x ON x.area = a.area AND x.size_key = b.size_key LEFT JOIN l y ON y.area = a.area AND y.size_key = 'all' LEFT JOIN k ON k.size_key = b.size_key)
+  SELECT area, size_key, strftime((SELECT month FROM m), '%Y-%m') AS month, coalesce(own, every) AS rent, CASE WHEN own IS NOT NULL THEN 'size' WHEN every IS NOT NULL THEN 'all' END AS basis,
+   round(CASE WHEN own IS NOT NULL THEN (own - own_past) * 100 / own_past ELSE (every - every_past) * 100 / every_past END, 4) AS yoy_pct, market FROM j""")
 def _(i):
+    orders = i.table("orders")
+    latest = orders.agg(F.max("o_orderdate")).first()[0]  # one value, so that both months are pushed to the scan
+    if latest is None:
+        latest = datetime.date(1970, 1, 1)
+    latest = latest.date() if isinstance(latest, datetime.datetime) else latest
+    month, past = latest.replace(day=1), latest.replace(day=1, year=latest.year - 1)
+    after = lambda d: (d + datetime.timedelta(days=31)).replace(day=1)
+    inside = lambda d: (F.col("o_orderdate") >= F.lit(d)) & (F.col("o_orderdate") < F.lit(after(d)))
     p = F.col("o_orderpriority")
-    size = F.when(p == "1-URGENT", "all").when(p == "2-HIGH", "bed1").when(p == "3-MEDIUM", "bed2").otherwise("bed3")
-    rows = i.table("orders").where(F.date_format("o_orderdate", "yyyy-MM") == "2001-07").select((F.col("o_custkey") % 60).alias("area"), size.alias("size_key"), "o_totalprice")
-    latest = rows.groupBy("area", "size_key").agg(F.max("o_totalprice").alias("rent"))
-    # one row per area with its bands side by side, then back to the three asked sizes
-    wide = latest.groupBy("area").agg(*[F.max(F.when(F.col("size_key") == s, F.col("rent"))).alias(s) for s in ("all", "bed1", "bed2", "bed3")])
-    asked = wide.select("area", "all", F.inline(F.array(*[F.struct(F.lit(s).alias("size_key"), F.col(s).alias("own")) for s in ("bed1", "bed2", "bed3")])))
-    market = latest.groupBy("size_key").agg(F.max("rent").alias("market"))
-    basis = F.when(F.col("own").isNotNull(), "size").when(F.col("all").isNotNull(), "all")
-    return asked.join(market, "size_key", "left").select("area", "size_key", F.coalesce("own", "all").alias("rent"), basis.alias("basis"), "market")
+    size = F.when(p == "1-URGENT", "all").when(p == "2-HIGH", "bed1").when(p == "3-MEDIUM", "bed2").when(p == "5-LOW", "bed4plus").otherwise("bed3")
+    rows = orders.where(inside(month) | inside(past)).select((F.col("o_custkey") % 60).alias("area"), size.alias("size_key"), inside(month).alias("now"), "o_totalprice")
+    known = rows.groupBy("area", "size_key").agg(F.max(F.when(F.col("now"), F.col("o_totalprice"))).alias("rent"), F.max(F.when(~F.col("now"), F.col("o_totalprice"))).alias("past"))
+    # one row per area with its bands side by side, then back to the asked sizes
+    band = lambda s: F.max(F.when(F.col("size_key") == s, F.struct("rent", "past"))).alias(s)
+    wide = known.groupBy("area").agg(F.max("rent").alias("any"), *[band(s) for s in ("all", *_SIZES)]).where("any IS NOT NULL")
+    asked = wide.select("area", "all", F.inline(F.array(*[F.struct(F.lit(s).alias("size_key"), F.col(s).alias("own")) for s in _SIZES])))
+    market = known.groupBy("size_key").agg(F.max("rent").alias("market"))
+    basis = F.when(F.col("own.rent").isNotNull(), "size").when(F.col("all.rent").isNotNull(), "all")
+    used = F.when(F.col("own.rent").isNotNull(), F.col("own")).otherwise(F.col("all"))
+    rows = asked.join(market, "size_key", "left").withColumn("basis", basis).withColumn("used", used)
+    return rows.select("area", "size_key", F.lit(f"{month:%Y-%m}").alias("month"), F.col("used.rent").alias("rent"), "basis", F.round((F.col("used.rent") - F.col("used.past")) * 100 / F.col("used.past"), 4).alias("yoy_pct"), "market")
 
 
 _CATS = ("anti-social-behaviour", "burglary", "drugs", "robbery", "violent-crime", "shoplifting", "other-theft")

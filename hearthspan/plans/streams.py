@@ -11,18 +11,24 @@ LATE = "1 day"
 CUTS = (1704672000, 1705276800, 1705881600)  # 8, 15 and 22 January 2024
 
 
-def arrive(df, path, cuts=CUTS, only=None):
-    """Append the rows to a folder, one time slice after another."""
-    bounds = [-1, *cuts, 1 << 60]
-    for n, (a, b) in enumerate(zip(bounds, bounds[1:])):
-        if only is None or n in only:
-            df.where((F.col("at_s") > a) & (F.col("at_s") <= b)).coalesce(1).write.mode("append").parquet(path)
+FILES = 8
+
+
+def arrive(df, path, slices=range(len(CUTS) + 1)):
+    """One writer a time slice, each appending many files to a folder."""
+    bounds = [-1, *CUTS, 1 << 60]
+
+    def write(n):
+        return lambda: df.where((F.col("at_s") > bounds[n]) & (F.col("at_s") <= bounds[n + 1])).repartition(FILES).write.mode("append").parquet(path)
+
+    return [write(n) for n in slices]
 
 
 def stream(i, df, name="runs"):
+    """The frame over a folder, and the arrivals to come."""
     path = scratch(i.spark, name)
-    arrive(df, path)
-    return jobs.read_folder(i.spark, path, df.schema)
+    df.limit(0).write.parquet(path)
+    return jobs.read_folder(i.spark, path, df.schema), arrive(df, path)
 
 
 def slim(i, *extra):
@@ -35,7 +41,8 @@ def _(i):
     path = scratch(i.spark, "claim")
     counts = []
     for n, slices in ((1, (0, 1)), (2, (2, 3))):
-        arrive(df, f"{path}/in", only=slices)
+        for step in arrive(df, f"{path}/in", slices):
+            step()
         jobs.run(jobs.read_folder(i.spark, f"{path}/in", df.schema), "append", f"{path}/run={n}", f"{path}/checkpoint")
         counts.append(i.spark.read.parquet(f"{path}/run={n}").withColumn("run_no", F.lit(n)))
     return counts[0].unionByName(counts[1]).groupBy("run_no").agg(F.count(F.lit(1)).alias("n"), F.max("run_id").alias("last_run"))
@@ -46,20 +53,22 @@ def _(i):
     # every slice is read again together with its successor's first day
     df = slim(i)
     again = df.where(" OR ".join(f"(at_s > {c - 86400} AND at_s <= {c})" for c in CUTS)).withColumn("at_s", F.col("at_s") + 86400)
-    out = jobs.late_overlap(stream(i, df.unionByName(again)), ["run_id"], "3 days")
-    return jobs.run_and_read(out, "append").groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.sum("run_id").alias("id_sum"))
+    rows, steps = stream(i, df.unionByName(again))
+    return jobs.run_and_read(jobs.late_overlap(rows, ["run_id"], "3 days"), "append", arrivals=steps).groupBy("job").agg(F.count(F.lit(1)).alias("n"), F.sum("run_id").alias("id_sum"))
 
 
 @query("stream_throughput_tumbling", "SELECT strftime(time_bucket(INTERVAL 1 MINUTE, started_at), '%Y-%m-%d %H:%M') AS start, job, count(*) AS n FROM runs GROUP BY ALL", "runs")
 def _(i):
-    out = jobs.tumbling(stream(i, slim(i)), "1 minute", "job", LATE)
-    return jobs.run_and_read(out, "update", ["start", "job"]).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+    rows, steps = stream(i, slim(i))
+    out = jobs.tumbling(rows, "1 minute", "job", LATE)
+    return jobs.run_and_read(out, "update", ["start", "job"], steps).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
 @query("stream_throughput_sliding", "SELECT strftime(time_bucket(INTERVAL 1 MINUTE, started_at) - to_minutes(k), '%Y-%m-%d %H:%M') AS start, job, count(*) AS n FROM runs, (SELECT unnest(range(10)) AS k) g GROUP BY ALL", "runs")
 def _(i):
-    out = jobs.sliding(stream(i, slim(i)), "10 minutes", "1 minute", "job", LATE)
-    return jobs.run_and_read(out, "update", ["start", "job"]).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+    rows, steps = stream(i, slim(i))
+    out = jobs.sliding(rows, "10 minutes", "1 minute", "job", LATE)
+    return jobs.run_and_read(out, "update", ["start", "job"], steps).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
 
 
 @query("stream_sessions", """WITH g AS (SELECT user_id, at_s, CASE WHEN at_s - lag(at_s) OVER w < 7200 THEN 0 ELSE 1 END AS is_new FROM runs WINDOW w AS (PARTITION BY user_id ORDER BY at_s)), s AS (SELECT *, sum(is_new) OVER (PARTITION BY user_id ORDER BY at_s ROWS UNBOUNDED PRECEDING) AS k FROM g)
@@ -68,19 +77,20 @@ def _(i):
     # whole seconds on both sides; a row far ahead closes the last sessions and is not a session itself
     df = slim(i).withColumn("started_at", F.timestamp_seconds("at_s"))
     flush = df.limit(1).withColumn("user_id", F.lit(-1).cast("bigint")).withColumn("at_s", F.lit(4102444800).cast("bigint")).withColumn("started_at", F.timestamp_seconds(F.lit(4102444800)))
-    out = jobs.sessions(stream(i, df.unionByName(flush)), "2 hours", "user_id", LATE)
-    return jobs.run_and_read(out, "append").where("user_id >= 0").select("user_id", F.unix_seconds("start").alias("start_s"), "n")
+    rows, steps = stream(i, df.unionByName(flush))
+    return jobs.run_and_read(jobs.sessions(rows, "2 hours", "user_id", LATE), "append", arrivals=steps).where("user_id >= 0").select("user_id", F.unix_seconds("start").alias("start_s"), "n")
 
 
 @query("stream_latest_snapshot", "SELECT user_id, run_id, job, status FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_s DESC, run_id DESC) AS q FROM runs) WHERE q = 1", "runs")
 def _(i):
-    return jobs.snapshot(stream(i, slim(i)), ["user_id"], ["at_s", "run_id"]).select("user_id", "run_id", "job", "status")
+    rows, steps = stream(i, slim(i))
+    return jobs.snapshot(rows, ["user_id"], ["at_s", "run_id"], steps).select("user_id", "run_id", "job", "status")
 
 
 @query("stream_heartbeat", "SELECT user_id, count(*) AS ups FROM (SELECT user_id, at_s - lag(at_s) OVER (PARTITION BY user_id ORDER BY at_s) AS gap FROM runs) g WHERE gap > 43200 GROUP BY user_id", "runs")
 def _(i):
-    out = jobs.heartbeat(stream(i, slim(i)), "user_id", 43200, "0 seconds")
-    return jobs.run_and_read(out, "append").where("state = 'up'").groupBy("user_id").agg(F.count(F.lit(1)).alias("ups"))
+    rows, steps = stream(i, slim(i))
+    return jobs.run_and_read(jobs.heartbeat(rows, "user_id", 43200, "0 seconds"), "append", arrivals=steps).where("state = 'up'").groupBy("user_id").agg(F.count(F.lit(1)).alias("ups"))
 
 
 _PER = "per AS (SELECT queue_no, at_s // 21600 AS period, count(*) FILTER (WHERE error_message = 'database is locked') AS failures FROM runs GROUP BY ALL), cl AS (SELECT * FROM per WHERE period < (SELECT max(period) FROM per x WHERE x.queue_no = per.queue_no))"
@@ -90,7 +100,8 @@ _PER = "per AS (SELECT queue_no, at_s // 21600 AS period, count(*) FILTER (WHERE
   p AS (SELECT *, failures >= 8 OR streak >= 3 AS problem FROM s) SELECT queue_no, period, failures, streak, CASE WHEN problem AND NOT coalesce(lag(problem) OVER w, false) THEN 'onset' WHEN NOT problem AND lag(problem) OVER w THEN 'clear' END AS edge FROM p WINDOW w AS (PARTITION BY queue_no ORDER BY period)""", "runs")
 def _(i):
     df = i.runs.select("queue_no", "at_s", F.coalesce((F.col("error_message") == "database is locked").cast("long"), F.lit(0).cast("long")).alias("failed"))
-    return jobs.run_and_read(jobs.alert_state(stream(i, df), "queue_no", 21600, 8, 3), "append")
+    rows, steps = stream(i, df)
+    return jobs.run_and_read(jobs.alert_state(rows, "queue_no", 21600, 8, 3), "append", arrivals=steps)
 
 
 @query("stream_stall_counter")
@@ -99,15 +110,17 @@ def _(i):
     day = F.floor(F.col("at_s") / 3600)
     t = i.runs.groupBy("queue_no", day.alias("h")).agg(F.max("run_id").alias("size_n"), (F.floor(F.max("run_id") / 300)).alias("done_n"))
     ticks = t.select("queue_no", (F.col("h") * 3600).alias("at_s"), "size_n", "done_n")
-    return jobs.run_and_read(jobs.stall_counter(stream(i, ticks), "queue_no", 10), "append")
+    rows, steps = stream(i, ticks)
+    return jobs.run_and_read(jobs.stall_counter(rows, "queue_no", 10), "append", arrivals=steps)
 
 
 @query("stream_spend_bucket", "WITH d AS (SELECT strftime(started_at, '%Y-%m-%d') AS day, floor(sum(round(latency * 100)::BIGINT) / 100 / 3000)::BIGINT AS top FROM runs GROUP BY 1) SELECT day, unnest(generate_series(1, top)) AS bucket FROM d WHERE top >= 1", "runs")
 def _(i):
     day = F.date_trunc("day", "started_at")
     cents = F.sum(F.round(F.col("latency") * 100).cast("bigint"))
-    out = stream(i, slim(i)).withWatermark("started_at", LATE).groupBy(day.alias("day")).agg(cents.alias("cents"))
-    last = jobs.run_and_read(out, "update", ["day"]).withColumn("top", F.floor(F.col("cents") / 100 / 3000)).where("top >= 1")
+    rows, steps = stream(i, slim(i))
+    out = rows.withWatermark("started_at", LATE).groupBy(day.alias("day")).agg(cents.alias("cents"))
+    last = jobs.run_and_read(out, "update", ["day"], steps).withColumn("top", F.floor(F.col("cents") / 100 / 3000)).where("top >= 1")
     return last.select(F.date_format("day", "yyyy-MM-dd").alias("day"), F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("top"))).alias("bucket"))
 
 
@@ -115,7 +128,8 @@ def _(i):
 def _(i):
     # rows only: a fold; the tests replay it in plain Python
     df = i.runs.where("status = 'failed'").select("queue_no", "at_s")
-    return jobs.run_and_read(jobs.fix_budget(stream(i, df), "queue_no", 1800, 1), "append")
+    rows, steps = stream(i, df)
+    return jobs.run_and_read(jobs.fix_budget(rows, "queue_no", 1800, 1), "append", arrivals=steps)
 
 
 @query("stream_backoff_claim", f"""SELECT property_id, image_no, tie3 FROM images i WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.run_id = i.property_id AND (r.status = 'completed' OR (r.status = 'failed' AND r.at_s > {AT} - 2160000)))""", "images runs")
@@ -123,4 +137,5 @@ def _(i):
     items = i.images.select("property_id", "image_no", "tie3", (F.col("image_no") * 0 + F.col("tie3") * 8640 + 1704067200).alias("at_s"))
     ok = F.when(F.col("status") == "completed", 1).when(F.col("status") == "failed", 0)
     results = i.runs.select(F.col("run_id").alias("property_id"), ok.alias("ok"), F.col("at_s").alias("done_s")).where("ok IS NOT NULL")
-    return jobs.backoff_claim(stream(i, items, "items"), results, AT, 2160000).select("property_id", "image_no", "tie3")
+    rows, steps = stream(i, items, "items")
+    return jobs.backoff_claim(rows, results, AT, 2160000, arrivals=steps).select("property_id", "image_no", "tie3")

@@ -40,6 +40,11 @@ FROM (SELECT l.*, p.p_size, l.l_partkey AS k, @day(l_shipdate) AS d
       FROM {{lineitem}} l JOIN {{part}} p ON l.l_partkey = p.p_partkey) x
 """
 
+# The same ledger by home: an address of the ledger split into homes with few sales each.
+DEFS["home_sales"] = """
+SELECT address_key * 16 + tie1 % 16 AS address_key, sale_date, price, outcode, sector, postcode, property_type, category, bedrooms, tie1, tie2, tie3 FROM sales
+"""
+
 # Listing snapshot: one row per part.
 DEFS["listings"] = f"""
 SELECT k AS id, {_AREA},
@@ -177,7 +182,7 @@ SELECT s_suppkey AS place_id, 'Place ' || CAST(s_suppkey % 60 AS STRING) AS name
   CASE WHEN s_suppkey % 9 = 0 THEN NULL ELSE 3.0 + CAST((s_suppkey * 7) % 20 AS DOUBLE) / 10 END AS rating,
   (s_suppkey * 13) % 400 AS reviews,
   CASE s_suppkey % 5 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 ELSE NULL END AS ofsted,
-  CASE s_suppkey % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' WHEN 2 THEN 'nursery' ELSE 'sixth form' END AS phase,
+  CASE WHEN s_suppkey % 7 = 3 THEN 'all-through' ELSE CASE s_suppkey % 4 WHEN 0 THEN 'primary' WHEN 1 THEN 'secondary' WHEN 2 THEN 'nursery' ELSE 'sixth form' END END AS phase,
   s_acctbal AS weight
 FROM {supplier}
 """
@@ -212,7 +217,8 @@ SELECT event_id AS run_id, CAST(ts AS TIMESTAMP) AS started_at, @secs(ts) AS at_
   value AS latency, CAST(user_id % 8 AS BIGINT) AS queue_no,
   CASE WHEN event_id % 11 = 0 THEN 'daily_limit_reached for today' WHEN event_id % 17 = 0 THEN 'database is locked'
        WHEN event_type = 'error' THEN 'timeout' ELSE NULL END AS error_message,
-  CASE WHEN user_id % 10 = 0 THEN 'test-' || CAST(user_id AS STRING) WHEN event_id % 41 = 0 THEN NULL ELSE 's' || CAST(user_id * 100 + event_id % 7 AS STRING) END AS session_id
+  CASE WHEN user_id % 10 = 0 THEN 'test-' || CAST(user_id AS STRING) WHEN event_id % 41 = 0 THEN NULL ELSE 's' || CAST(user_id * 100 + event_id % 7 AS STRING) END AS session_id,
+  CASE WHEN event_id % 26 = 0 THEN '{{"mode": "catchup"}}' WHEN event_id % 13 = 0 THEN '{{"mode": "daily"}}' WHEN event_id % 5 = 0 THEN 'not json' END AS summary
 FROM {events}
 """
 
@@ -302,7 +308,7 @@ SELECT l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS reading_id, l_pa
 FROM {lineitem}
 """
 
-_DEPS = {"certificates": ("sales",), "scores": ("sales",), "score_docs": ("sales",)}
+_DEPS = {"home_sales": ("sales",), "certificates": ("sales",), "scores": ("sales",), "score_docs": ("sales",)}
 
 
 def _closure(names) -> list[str]:
@@ -341,8 +347,8 @@ def with_clause(names, body: str) -> str:
     body = body.strip()
     if not parts:
         return body
-    if body.upper().startswith("WITH RECURSIVE"):
-        raise ValueError("recursive bodies are not used")
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
     if body.upper().startswith("WITH "):
         return "WITH " + ", ".join(parts) + ", " + body[5:]
     return "WITH " + ", ".join(parts) + " " + body

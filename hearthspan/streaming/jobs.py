@@ -6,7 +6,7 @@ read back as the newest row per key. Nothing is held in the driver.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,9 +17,9 @@ from hearthspan.functions.rank import newest
 from hearthspan.session import scratch
 
 
-def read_folder(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
-    """New files of a folder in the order they arrived."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def read_folder(spark: SparkSession, folder: str, schema) -> DataFrame:
+    """All files that arrived since the last run."""
+    return spark.readStream.schema(schema).parquet(folder)
 
 
 def run(out: DataFrame, mode: str, path: str, checkpoint: str, sink: Callable | None = None) -> None:
@@ -32,11 +32,13 @@ def run(out: DataFrame, mode: str, path: str, checkpoint: str, sink: Callable |
     q.awaitTermination()
 
 
-def run_and_read(out: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
-    """Run to the end of the input; with keys, the newest row per key over the epochs."""
+def run_and_read(out: DataFrame, mode: str, keys: list[str] | None = None, arrivals: Iterable[Callable] = (lambda: None,)) -> DataFrame:
+    """Run once after every arrival, going on from the checkpoint; with keys, the newest row per key over the epochs."""
     spark = out.sparkSession
     path = scratch(spark, "stream")
-    run(out, mode, f"{path}/rows", f"{path}/checkpoint")
+    for arrive in arrivals:
+        arrive()
+        run(out, mode, f"{path}/rows", f"{path}/checkpoint")
     rows = spark.read.schema(out.schema.add("epoch", "long")).parquet(f"{path}/rows")
     return newest(rows, keys, ["epoch"]).drop("epoch") if keys else rows.drop("epoch")
 
@@ -62,7 +64,7 @@ def late_overlap(events: DataFrame, keys: list[str], late: str) -> DataFrame:
     return events.withWatermark("started_at", late).dropDuplicatesWithinWatermark(keys)
 
 
-def snapshot(out: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def snapshot(out: DataFrame, keys: list[str], order: list[str], arrivals: Iterable[Callable] = (lambda: None,)) -> DataFrame:
     """Latest row per key. Each batch is cut to one row per key before it is written."""
     spark = out.sparkSession
     path = scratch(spark, "snapshot")
@@ -70,11 +72,13 @@ def snapshot(out: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     def sink(batch: DataFrame, epoch: int) -> None:
         newest(batch, keys, order).write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
 
-    run(out, "append", path, f"{path}/checkpoint", sink)
+    for arrive in arrivals:
+        arrive()
+        run(out, "append", path, f"{path}/checkpoint", sink)
     return newest(spark.read.parquet(f"{path}/rows").drop("epoch"), keys, order)
 
 
-def backoff_claim(items: DataFrame, results: DataFrame, at_s: int, wait_s: int, key: str = "property_id") -> DataFrame:
+def backoff_claim(items: DataFrame, results: DataFrame, at_s: int, wait_s: int, key: str = "property_id", arrivals: Iterable[Callable] = (lambda: None,)) -> DataFrame:
     """Items without a success at any version and without a failure inside the back-off time."""
     spark = items.sparkSession
     path = scratch(spark, "claim")
@@ -83,7 +87,9 @@ def backoff_claim(items: DataFrame, results: DataFrame, at_s: int, wait_s: int,
         blocked = results.where((F.col("ok") == 1) | ((F.col("ok") == 0) & (F.col("done_s") > at_s - wait_s)))
         batch.join(blocked.select(key), key, "left_anti").write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
 
-    run(items, "append", path, f"{path}/checkpoint", sink)
+    for arrive in arrivals:
+        arrive()
+        run(items, "append", path, f"{path}/checkpoint", sink)
     return spark.read.parquet(f"{path}/rows").drop("epoch")
 
 
@@ -120,27 +126,30 @@ def heartbeat(events: DataFrame, key: str, budget_s: int, late: str) -> DataFram
 def alert_state(events: DataFrame, key: str, period_s: int, burst: int, runs: int) -> DataFrame:
     """Edges of the failure state per period; a period is judged once a later one has begun.
 
-    events(key, at_s, failed). State: counts of open periods, streak, problem.
+    events(key, at_s, failed). State: counts of open periods, streak, problem, last period judged; a late
+    row of a judged period changes nothing any more.
     """
     out = f"{key} long, period long, failures long, streak long, edge string"
 
     def fold(k, batches: Iterator[pd.DataFrame], state: GroupState):
-        opened, streak, problem = (dict(state.get[0]), state.get[1], state.get[2]) if state.exists else ({}, 0, False)
+        opened, streak, problem, judged = (dict(state.get[0]), *state.get[1:]) if state.exists else ({}, 0, False, -1)
         for b in batches:
             for p, n in b.groupby(b["at_s"] // period_s)["failed"].sum().items():
-                opened[int(p)] = opened.get(int(p), 0) + int(n)
-        rows, newest_p = [], max(opened)
+                if p > judged:
+                    opened[int(p)] = opened.get(int(p), 0) + int(n)
+        rows, newest_p = [], max(opened, default=judged)
         for p in sorted(x for x in opened if x < newest_p):
             n = opened.pop(p)
             streak = streak + 1 if n > 0 else 0
             now = n >= burst or streak >= runs
             edge = "onset" if now and not problem else "clear" if problem and not now else None
             problem = now
+            judged = p
             rows.append((k[0], p, n, streak, edge))
-        state.update((opened, streak, problem))
+        state.update((opened, streak, problem, judged))
         yield pd.DataFrame(rows, columns=[key, "period", "failures", "streak", "edge"])
 
-    return events.select(key, "at_s", "failed").groupBy(key).applyInPandasWithState(fold, out, "opened map<long,long>, streak long, problem boolean", "append", GroupStateTimeout.NoTimeout)
+    return events.select(key, "at_s", "failed").groupBy(key).applyInPandasWithState(fold, out, "opened map<long,long>, streak long, problem boolean, judged long", "append", GroupStateTimeout.NoTimeout)
 
 
 def stall_counter(ticks: DataFrame, key: str, grew: int) -> DataFrame:

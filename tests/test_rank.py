@@ -48,7 +48,7 @@ def test_previous_row_is_the_same_however_hot_the_key(spark):
     data = [(rng.choice("aaab"), day + dt.timedelta(days=rng.randrange(40)), i) for i in range(400)]
     df = spark.createDataFrame(data, "k string, d date, i int")
     plain = rank.with_previous(df, ["k"], ["d", "i"], ["i"], ordinal="no")
-    cut = rank.with_previous(df, ["k"], ["d", "i"], ["i"], ordinal="no", hot_rows=3)
+    cut = rank.with_previous(df, ["k"], ["d", "i"], ["i"], ordinal="no")
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, cut.collect()))
     rows = sorted(r for r in data if r[0] == "a")
     got = {r["i"]: (r["prev_i"], r["no"]) for r in cut.where("k = 'a'").collect()}
@@ -78,3 +78,11 @@ def test_newest_and_first_k(spark):
     assert {r["k"]: r["v"] for r in rank.newest(df, ["k"], ["t"]).collect()} == {"a": "y", "b": "z"}
     assert {r["k"]: r["v"] for r in rank.newest(df, ["k"], ["t"], oldest=True).collect()} == {"a": "x", "b": "z"}
     assert rank.first_k(df, ["k"], [F.desc("t")], 1).count() == 2
+
+
+def test_slabs_of_fractions_stay_narrow(spark):
+    d = spark.range(200_000).select((F.pmod(F.xxhash64("id"), F.lit(1_000_000)) / 20_000_000).alias("v"))
+    slabs = d.select(rank.value_slab(F.col("v")).alias("s")).groupBy("s").count()
+    assert slabs.agg(F.max("count")).first()[0] < 0.05 * 200_000
+    order = spark.createDataFrame([(-5.0,), (-0.5,), (-1e-20,), (0.0,), (1e-20,), (1e-9,), (0.3,), (7.0,), (1e12,)], "v double").select(rank.value_slab(F.col("v"))).collect()
+    assert [r[0] for r in order] == sorted(r[0] for r in order)

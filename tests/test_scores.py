@@ -140,7 +140,7 @@ def test_hashed_search_finds_most_of_the_exact_neighbours(spark, root):
 
     e = spark.read.parquet(f"{root}/embeddings.parquet")
     q = vectors.sample_queries(e, 30, "t")
-    exact = vectors.top_k_exact(e, q, 5, block=7)
+    exact = vectors.top_k_exact(e, q, 5, shard_rows=70)
     m = np.array([r["embedding"] for r in e.orderBy("vec_id").collect()], dtype=float)
     ids = [r["vec_id"] for r in e.orderBy("vec_id").collect()]
     for r in q.collect():
@@ -149,3 +149,47 @@ def test_hashed_search_finds_most_of_the_exact_neighbours(spark, root):
         assert {x["vec_id"] for x in exact.where(F.col("query_id") == r["vec_id"]).collect()} == want
         break
     assert vectors.recall_at_k(exact, vectors.top_k_hashed(e, q, 5), 5).collect()[0]["mean"] > 0.6
+
+
+def test_own_address_does_not_hide_the_next_place(spark):
+    """Two own sales under each of two bedroom counts; the neighbours are in another place 111 m away."""
+    import datetime
+
+    day = datetime.date(2020, 1, 1)
+    own = [(1, "A", 51.5, 0.0, "flat", b, day, 100 + n, 50, n, 0, 0) for b in (2, 3) for n in (1, 2)]
+    other = [(2, "B", 51.501, 0.0, "flat", 2, day, 200 + n, 50, n, 0, 0) for n in (1, 2, 3)]
+    pool = spark.createDataFrame(own + other, "address_key long, place string, r_lat double, r_lon double, segment string, beds long, sale_date date, price long, area long, tie1 long, tie2 long, tie3 long")
+    subject = spark.createDataFrame([(7, "A", 51.5, 0.0, "flat", 2, 1)], "subject long, place string, lat double, lon double, segment string, beds long, address_key long")
+    got = nearest.knn_sales(subject, pool, 2, own=True).collect()
+    assert len(got) == 2 and {r["c_place"] for r in got} == {"B"}
+
+
+def test_purchase_tax_rounds_half_to_even(spark):
+    from hearthspan.functions import money
+
+    p = spark.createDataFrame([(125025,), (125075,), (250000,)], "p long")
+    assert [r[0] for r in p.select(money.banded(F.col("p"), money.STANDARD)).collect()] == [0.0, 2.0, 2500.0]
+
+
+def test_generic_names_go_and_others_stay(spark):
+    from hearthspan.plans.joins import named_subjects
+
+    names = ["THE HOUSE", "THE LODGE", "THE OLD HOUSE", "HOUSE", "SHIPBUILDING WAY", "COURT OF THE ÉTOILE", "BATHE ROAD"]
+    rows = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r[0] for r in named_subjects(rows, "name", "the").collect()] == ["THE OLD HOUSE", "COURT OF THE ÉTOILE"]
+
+
+def test_all_through_schools_count_for_both_stages(spark):
+    points = spark.createDataFrame([("p", 51.5, 0.0)], "subject string, lat double, lon double")
+    school = lambda phase: spark.createDataFrame([(51.5001, 0.0, 2, phase)], "r_lat double, r_lon double, ofsted int, phase string")
+    got = {p: scores.school_score(points, school(p)).first()["score"] for p in ("primary", "all-through", "nursery")}
+    assert round(got["all-through"] - got["primary"], 6) == 3.0 and round(got["primary"] - got["nursery"], 6) == 3.0
+
+
+def test_only_a_running_catch_up_is_exempt(spark):
+    from hearthspan.operators import monitor
+
+    runs = spark.createDataFrame([("a", 100, "dispatched", 1, '{"mode": "catchup"}'), ("b", 100, "dispatched", 2, '{"mode": "daily"}'), ("c", 100, "completed", 3, '{"mode": "catchup"}'), ("d", 100, "dispatched", 4, "no json")],
+                                 "job string, at_s long, status string, run_id long, summary string")
+    budgets = spark.createDataFrame([(j, 60) for j in "abcd"], "job string, budget_s long")
+    assert {r["job"]: r["stale"] for r in monitor.stale_jobs(runs, budgets, 1000).collect()} == {"a": 0, "b": 1, "c": 1, "d": 1}

@@ -28,21 +28,24 @@ def test_stall_counter(spark, root):
         last = (s, d)
         want.append((at, n))
     df = spark.createDataFrame(rows, "q long, at_s long, size_n long, done_n long")
-    got = jobs.run_and_read(jobs.stall_counter(stream(Inputs(spark, root), df), "q", 10), "append").collect()
+    rows_in, steps = stream(Inputs(spark, root), df)
+    got = jobs.run_and_read(jobs.stall_counter(rows_in, "q", 10), "append", arrivals=steps).collect()
     assert sorted((r["at_s"], r["stalled"]) for r in got) == want and max(x for _, x in want) >= 2
 
 
 def test_fix_budget_escalates_once(spark, root):
     times = [BASE + t for t in (0, 100, 200, 300, 5000, 5100)]
     df = spark.createDataFrame([(1, t) for t in times], "q long, at_s long")
-    got = jobs.run_and_read(jobs.fix_budget(stream(Inputs(spark, root), df), "q", 1800, 1), "append").collect()
+    rows_in, steps = stream(Inputs(spark, root), df)
+    got = jobs.run_and_read(jobs.fix_budget(rows_in, "q", 1800, 1), "append", arrivals=steps).collect()
     assert sorted((r["at_s"] - BASE, r["verdict"]) for r in got) == [(0, "fix"), (100, "escalate"), (5000, "fix"), (5100, "escalate")]
 
 
 def test_heartbeat_edges(spark, root):
     times = [BASE, BASE + 10, BASE + 5000, BASE + 5010]
     df = spark.createDataFrame([(1, t) for t in times], "h long, at_s long").withColumn("started_at", F.timestamp_seconds("at_s"))
-    got = jobs.run_and_read(jobs.heartbeat(stream(Inputs(spark, root), df), "h", 600, "0 seconds"), "append").collect()
+    rows_in, steps = stream(Inputs(spark, root), df)
+    got = jobs.run_and_read(jobs.heartbeat(rows_in, "h", 600, "0 seconds"), "append", arrivals=steps).collect()
     seen = sorted((r["at_s"] - BASE, r["state"]) for r in got)
     assert seen[:2] == [(610, "down"), (5000, "up")]
 
