@@ -85,6 +85,17 @@ def noise_score(db: Column) -> Column:
     return 5.0 + 90.0 / (1.0 + F.exp(0.18 * (db - 63.0)))
 
 
+# Upper bound and name of each noise level; louder is extremely noisy.
+NOISE_LEVELS = ((50, "quiet"), (55, "fairly_quiet"), (60, "moderate"), (65, "noisy"), (70, "very_noisy"))
+
+
+def noise_level(db: Column) -> Column:
+    level = F
+    for below, name in NOISE_LEVELS:
+        level = level.when(db < below, name)
+    return level.otherwise("extremely_noisy")
+
+
 def air_quality(no2: Column, pm25: Column, pm10: Column) -> Column:
     """Mean ratio to the guideline over the pollutants present, through a sigmoid."""
     ratios = F.filter(

@@ -102,12 +102,20 @@ def outdoor_kind(room_type: Column, label: Column) -> Column:
     return F.when(room_type.isin(*OUTDOOR_TYPES), room_type).when(untyped & outdoors, read)
 
 
+# Rooms named after a garden, and shared gardens.
+GARDEN_ROOM = r"\bgardens?\s+(room|office|studio|store|shed|house|cabin|bar|gym)\b"
+GARDEN_SHARED = r"\b(communal|shared|residents|winter|roof)\s+gardens?\b"
+# How room labels print areas and sides, and words for irregular rooms.
+PRINTED_M2 = r"(?i)(\d+(?:\.\d+)?)\s*(?:m\s*²|m2|sq\s*m|sqm)"
+IRREGULAR = r"(?i)\b(max|maximum|into\s*bay|into\s*recess|excluding|irregular)\b"
+METRIC_SIDE = r"(?<![\d.])(\d+\.\d{1,2})(?![\d.])"
+FEET_SIDE = "(\\d+\\s*['′]\\s*\\d*)\\s*[\"″]?"
+
+
 def garden_label(label: Column) -> Column:
     """The home's own garden, not a garden room or a shared one."""
     t = F.lower(label)
-    room = t.rlike(r"\bgardens?\s+(room|office|studio|store|shed|house|cabin|bar|gym)\b")
-    shared = t.rlike(r"\b(communal|shared|residents|winter|roof)\s+gardens?\b")
-    return F.coalesce(t.rlike(r"\bgardens?\b") & ~room & ~shared, F.lit(False))
+    return F.coalesce(t.rlike(r"\bgardens?\b") & ~t.rlike(GARDEN_ROOM) & ~t.rlike(GARDEN_SHARED), F.lit(False))
 
 
 def room_area(label: Column) -> Column:
@@ -116,11 +124,11 @@ def room_area(label: Column) -> Column:
     Printed square metres first, then metric sides, then feet and inches; irregular rooms count 0.82.
     """
     t = F.trim(label)
-    printed = F.regexp_extract(t, r"(?i)(\d+(?:\.\d+)?)\s*(?:m\s*²|m2|sq\s*m|sqm)", 1).try_cast("double")
-    bent = t.rlike(r"(?i)\b(max|maximum|into\s*bay|into\s*recess|excluding|irregular)\b")
+    printed = F.regexp_extract(t, PRINTED_M2, 1).try_cast("double")
+    bent = t.rlike(IRREGULAR)
     factor = F.when(bent, 0.82).otherwise(1.0)
-    metric = F.transform(F.regexp_extract_all(t, F.lit(r"(?<![\d.])(\d+\.\d{1,2})(?![\d.])"), 1), lambda x: x.cast("double"))
-    feet_text = F.regexp_extract_all(t, F.lit("(\\d+\\s*['′]\\s*\\d*)\\s*[\"″]?"), 1)
+    metric = F.transform(F.regexp_extract_all(t, F.lit(METRIC_SIDE), 1), lambda x: x.cast("double"))
+    feet_text = F.regexp_extract_all(t, F.lit(FEET_SIDE), 1)
     feet = F.transform(
         feet_text,
         lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("double")
@@ -146,7 +154,10 @@ def room_area(label: Column) -> Column:
     )
 
 
-# Endings of building and street names.
+# Unit words, leading numbers, endings of building and street names.
+UNIT = r"(?:FLAT|UNIT|APARTMENT|APT)\s*(\d+[A-Z]?)"
+UNIT_LED = r"^(?:FLAT|UNIT|APARTMENT|APT)\s*\d+"
+LED_NUMBER = r"^(\d+[A-Z]?)\s*[,\s]\s*[A-Z]"
 BUILDING = r"([A-Z][A-Z\s]+(?:TOWER|APARTMENTS|HOUSE|COURT|MANSIONS|LODGE|HALL|BUILDING|POINT|HEIGHTS))"
 BUILDING_WIDE = r"([A-Z][A-Z\s]+(?:SQUARE|GARDENS|TERRACE|MEWS|RISE|VIEW|WALK)S?)\b"
 STREET = r"([A-Z][A-Z\s]+(?:ROAD|STREET|LANE|AVENUE|WAY|DRIVE|CLOSE|CRESCENT|GROVE|PLACE|HILL))\b"
@@ -169,15 +180,15 @@ def with_address_features(df: DataFrame, address: str, out: str) -> DataFrame:
     building = F.coalesce(_or_null(F.regexp_extract(a, BUILDING, 1)), _or_null(F.regexp_extract(a, BUILDING_WIDE, 1)))
     d = d.withColumn("_segs", F.transform(F.split(a, ","), lambda s: F.trim(s))).withColumn("_b", F.trim(F.regexp_replace(building, r"\s+", " ")))
     segs, b = F.col("_segs"), F.col("_b")
-    d = d.withColumn("_named", _or_null(F.regexp_extract(a, r"(?:FLAT|UNIT|APARTMENT|APT)\s*(\d+[A-Z]?)", 1)))
-    d = d.withColumn("_lead", _or_null(F.regexp_extract(a, r"^(\d+[A-Z]?)\s*[,\s]\s*[A-Z]", 1)))
+    d = d.withColumn("_named", _or_null(F.regexp_extract(a, UNIT, 1)))
+    d = d.withColumn("_lead", _or_null(F.regexp_extract(a, LED_NUMBER, 1)))
     d = d.withColumn("_gap", F.regexp_extract(a, r"^\d+[A-Z]?(\s*[,\s]\s*)", 1))
     ahead = F.when(F.instr(a, b) == F.length("_lead") + F.length("_gap") + 1, F.col("_lead"))
     at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(segs) - 1, F.lit(1))), lambda i: F.try_element_at(segs, i).rlike(r"^\d+[A-Z]?$") & F.contains(F.try_element_at(segs, i + 1), b))
     d = d.withColumn("_before", F.when(b.isNotNull() & F.col("_named").isNull(), F.try_element_at(segs, F.try_element_at(at, F.lit(1)))))
     d = d.withColumn("_unit", F.coalesce("_named", ahead, "_before"))
     unit = F.col("_unit")
-    d = d.withColumn("_rest", F.filter(segs, lambda s: ~s.rlike(r"^(?:FLAT|UNIT|APARTMENT|APT)\s*\d+") & (unit.isNull() | (s != unit)) & (b.isNull() | ~F.contains(s, b))))
+    d = d.withColumn("_rest", F.filter(segs, lambda s: ~s.rlike(UNIT_LED) & (unit.isNull() | (s != unit)) & (b.isNull() | ~F.contains(s, b))))
     d = d.withColumn("_first", F.try_element_at(F.filter("_rest", lambda s: s.rlike(r"^\d+[A-Z]?\s+" + STREET)), F.lit(1)))
     d = d.withColumn("_any", F.try_element_at(F.filter("_rest", lambda s: s.rlike(r"\b" + STREET)), F.lit(1)))
     d = d.withColumn("_name", F.coalesce(_or_null(F.regexp_extract("_first", r"^\d+[A-Z]?\s+" + STREET, 1)), _or_null(F.regexp_extract("_any", r"\b" + STREET, 1))))

@@ -25,6 +25,7 @@ def normalise(pc: Column) -> Column:
 
 def extract(text: Column) -> Column:
     """First postcode in free text, normalised; NULL when there is none."""
+    # fixed value: the shape of a unit postcode in running text
     hit = F.regexp_extract(F.upper(text), r"\b([A-Z]{1,2}[0-9][0-9A-Z]?\s*[0-9][A-Z]{2})\b", 1)
     return F.when(hit != "", normalise(hit))
 
@@ -32,6 +33,7 @@ def extract(text: Column) -> Column:
 def scope(raw: Column) -> Column:
     """unit, sector or outcode. The inner space decides: 'N19' is an outcode, 'N1 9' a sector."""
     t = F.trim(F.regexp_replace(F.upper(raw), r"\s+", " "))
+    # fixed values: the shapes of unit, sector and unspaced unit
     return F.when(t.rlike(r"^\S+ \d[A-Z]{2}$"), "unit").when(t.rlike(r"^\S+ \d$"), "sector").when(
         ~t.contains(" ") & t.rlike(r"^[A-Z]{1,2}\d{1,2}[A-Z]?\d[A-Z]{2}$"), "unit"
     ).otherwise("outcode")
@@ -41,6 +43,7 @@ def parts(pc: Column) -> Column:
     """Struct of outcode, sector and inward digit; NULL fields when not a full unit."""
     c = compact(pc)
     shape = r"^([A-Z]{1,2}\d[A-Z\d]?)(\d)([A-Z]{2})$"
+    # fixed value: `shape` is the outward code and the sector digit
     out, digit = F.regexp_extract(c, shape, 1), F.regexp_extract(c, shape, 2)
     ok = out != ""
     return F.struct(

@@ -135,6 +135,7 @@ def first_gap(text: Column) -> Column:
 
     The guard reads the clause with the one before it. All of it stays inside the row.
     """
+    # fixed value: marks cut from the ends of a clause
     clean = F.transform(F.split(F.coalesce(text, F.lit("")), CLAUSE), lambda c: F.regexp_replace(F.trim(c), r"^[#*>\-\s|]+|[\s|*]+$", ""))
     clauses = F.filter(clean, lambda c: c != "")
     label = lambda c: reduce(lambda acc, p: acc.when(c.rlike(p[1]), p[0]), GAP_PATTERNS, F).otherwise(F.lit(None).cast("string"))
@@ -160,6 +161,7 @@ def capability_gaps(chats: DataFrame) -> DataFrame:
     label = F.when(F.col("_gap").isNotNull(), F.col("_gap.label")).when(skipped, "search_not_run")
     found = rows.withColumn("label", label).where("label IS NOT NULL")
     # the key leaves out spaces and punctuation, so re-asking the same thing is the same gap
+    # fixed value: characters that do not count in a question's key
     question = F.regexp_replace(F.lower(asked), r"[\s，。、？！,.?!；;：:\"'「」『』（）()]+", "")
     return found.select(
         "msg_id", F.substring(F.sha1(F.concat_ws("|", "label", question)), 1, 12).alias("key"), "label", F.when(F.col("tools_used") == 0, "hard").otherwise("partial").alias("severity"),

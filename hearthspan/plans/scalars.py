@@ -188,11 +188,12 @@ def _(i):
     return i.commute.select("sector", "hub", curves.commute_percentile(F.col("minutes")).alias("beats"))
 
 
-@query("noise_combine", """SELECT l_partkey, round(10 * log10(sum(pow(10, (40 + l_quantity / 2) / 10))), 4) AS db, round(5 + 90 / (1 + exp(0.18 * (10 * log10(sum(pow(10, (40 + l_quantity / 2) / 10))) - 63))), 4) AS score FROM lineitem GROUP BY l_partkey""")
+@query("noise_combine", """SELECT l_partkey, db, round(5 + 90 / (1 + exp(0.18 * (db - 63))), 1) AS score, CASE WHEN db < 50 THEN 'quiet' WHEN db < 55 THEN 'fairly_quiet' WHEN db < 60 THEN 'moderate' WHEN db < 65 THEN 'noisy' WHEN db < 70 THEN 'very_noisy' ELSE 'extremely_noisy' END AS level
+  FROM (SELECT l_partkey, round(10 * log10(sum(pow(10, (40 + l_quantity / 2) / 10))), 1) AS db FROM lineitem GROUP BY l_partkey) t""")
 def _(i):
     power = F.sum(F.pow(F.lit(10.0), (F.lit(40.0) + F.col("l_quantity") / 2) / 10))
-    out = i.table("lineitem").groupBy("l_partkey").agg((10 * F.log10(power)).alias("d"))
-    return out.select("l_partkey", F.round("d", 4).alias("db"), F.round(curves.noise_score(F.col("d")), 4).alias("score"))
+    out = i.table("lineitem").groupBy("l_partkey").agg(F.round(10 * F.log10(power), 1).alias("db"))
+    return out.select("l_partkey", "db", F.round(curves.noise_score(F.col("db")), 1).alias("score"), curves.noise_level(F.col("db")).alias("level"))
 
 
 @query("risk_max", """WITH r(o, name, score) AS (VALUES (1, 'very_low', 100), (2, 'low', 75), (3, 'medium', 50), (4, 'high', 20)), t AS (SELECT id, coalesce(id % 4 + 1, 1) AS a, CASE WHEN id % 5 = 4 THEN 1 ELSE id % 5 + 1 END AS b FROM listings)
@@ -205,11 +206,13 @@ def _(i):
     return i.listings.select("id", risk.alias("risk")).withColumn("score", score)
 
 
-@query("air_quality_score", """SELECT s_suppkey, CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(100, floor(5 + 95 / (1 + exp(1.5 * (t / n - 2)))))) END::BIGINT AS score FROM (SELECT s_suppkey, (CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN b IS NULL THEN 0 ELSE 1 END + CASE WHEN c IS NULL THEN 0 ELSE 1 END) AS n,
+@query("air_quality_score", """SELECT s_suppkey, CASE WHEN n = 0 THEN 0 ELSE greatest(0, least(100, floor(5 + 95 / (1 + exp(1.5 * (t / n - 2)))))) END::BIGINT AS score, CASE WHEN n = 0 THEN 'moderate' WHEN score >= 80 THEN 'excellent' WHEN score >= 60 THEN 'good' WHEN score >= 40 THEN 'moderate' ELSE 'poor' END AS level FROM (SELECT s_suppkey, (CASE WHEN a IS NULL THEN 0 ELSE 1 END + CASE WHEN b IS NULL THEN 0 ELSE 1 END + CASE WHEN c IS NULL THEN 0 ELSE 1 END) AS n,
    coalesce(a / 10.0, 0) + coalesce(b / 5.0, 0) + coalesce(c / 15.0, 0) AS t FROM (SELECT s_suppkey, nullif(s_suppkey % 40, 0) AS a, nullif(s_suppkey % 13, 0) AS b, nullif(s_suppkey % 30, 0) AS c FROM supplier) x) y""")
 def _(i):
     k = F.col("s_suppkey")
-    return i.table("supplier").select("s_suppkey", curves.air_quality(k % 40, k % 13, k % 30).cast("bigint").alias("score"))
+    none = (k % 40 == 0) & (k % 13 == 0) & (k % 30 == 0)
+    scored = i.table("supplier").select("s_suppkey", curves.air_quality(k % 40, k % 13, k % 30).cast("bigint").alias("score"))
+    return scored.withColumn("level", curves.air_level(F.col("score"), none))
 
 
 @query("decile_score", """SELECT c_custkey, round(""" + " + ".join(f"{w} * CASE WHEN d{j} BETWEEN 1 AND 10 THEN 22 + d{j} * 7.8 ELSE 50 END" for j, w in enumerate((0.30, 0.15, 0.15, 0.15, 0.15, 0.10))) + """, 6)::DOUBLE AS score
