@@ -210,7 +210,7 @@ def _(i):
     return a.join(b, keys, "left").fillna({"repeat_count": 0})
 
 
-@query("target_price_position", f"""WITH {SUMMARY_BASE}, t AS (SELECT postcode, asking_price FROM listings WHERE asking_price IS NOT NULL AND id % 2 = 0),
+@query("target_price_position", f"""WITH {SUMMARY_BASE}, t AS (SELECT postcode, asking_price FROM listings WHERE asking_price IS NOT NULL),
   o AS (SELECT *, row_number() OVER (PARTITION BY postcode ORDER BY price) AS k, count(*) OVER (PARTITION BY postcode) AS nn FROM r),
   m AS (SELECT postcode, avg(price) AS mean, max(CASE WHEN k = nn // 2 + 1 THEN price END) AS med, count(*) AS n FROM o GROUP BY postcode),
   f AS (SELECT t.postcode, t.asking_price, count(*) FILTER (WHERE r.price <= t.asking_price) AS below FROM (SELECT DISTINCT * FROM t) t JOIN r USING (postcode) GROUP BY ALL)
@@ -219,7 +219,7 @@ def _(i):
      WHEN asking_price / mean > 1.15 AND asking_price > med * 1.15 THEN 'well above' WHEN asking_price / mean > 1.05 AND asking_price > med * 1.05 THEN 'slightly above' ELSE 'close' END AS verdict
   FROM f JOIN m USING (postcode)""", "sales listings")
 def _(i):
-    targets = i.listings.where("asking_price IS NOT NULL AND id % 2 = 0").select("postcode", "asking_price").distinct()
+    targets = i.listings.where("asking_price IS NOT NULL").select("postcode", "asking_price").distinct()
     inside = op.pick_window(i.sales, ["postcode"], AS_OF, ladder=(1, 5, 10), least=12)
     mids = rank.group_quantiles(inside, ["postcode"], "price", {"mean": "mean", "med": "upper"})
     # targets join the market as rows of weight zero; the running count below each price is the percentile

@@ -203,13 +203,13 @@ def _(i):
     return hub_minutes(i).select("sector", F.round("hub_minutes", 6).alias("hub_minutes"), F.round("mean_minutes", 6).alias("mean_minutes"))
 
 
-_COMMUTE_SCORE = f"""{_CDF}, hm AS (SELECT sector, sum(minutes * {_HUBW}) / sum({_HUBW}) AS hub_minutes FROM commute WHERE minutes IS NOT NULL AND hub <> 'Heathrow' AND sector NOT LIKE '% 4' GROUP BY sector),
+_COMMUTE_SCORE = f"""{_CDF}, hm AS (SELECT sector, sum(minutes * {_HUBW}) / sum({_HUBW}) AS hub_minutes FROM commute WHERE minutes IS NOT NULL GROUP BY sector),
  cs AS (SELECT s.postcode, CASE WHEN hub_minutes IS NULL THEN {_BEATS.format(m='(15 + community / 2)')} ELSE 0.4 * {_BEATS.format(m='(15 + community / 2)')} + 0.6 * {_BEATS.format(m='hub_minutes')} END AS commute_score, s.environment AS transit_score FROM scores s LEFT JOIN hm USING (sector))"""
 
 
 def commute_scores(i):
     w = F.when(F.col("hub").isin(*HUB_WEIGHTS[3]), 3).when(F.col("hub").isin(*HUB_WEIGHTS[2]), 2).otherwise(1)
-    known = i.commute.where("minutes IS NOT NULL AND hub <> 'Heathrow' AND sector NOT LIKE '% 4'")
+    known = i.commute.where("minutes IS NOT NULL")
     hm = known.groupBy("sector").agg((F.sum(F.col("minutes") * w) / F.sum(w)).alias("hub_minutes"))
     direct, hub = curves.commute_percentile(F.col("community") / 2 + 15), curves.commute_percentile(F.col("hub_minutes"))
     mixed = F.when(F.col("hub_minutes").isNull(), direct).otherwise(direct * 0.4 + hub * 0.6)
