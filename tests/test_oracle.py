@@ -30,7 +30,10 @@ def test_derived_inputs_are_equal(spark, root, con, name):
 @pytest.mark.parametrize("key", sorted(TWINS) if os.environ.get("ALL_TWINS") else CORE)
 def test_twin(spark, root, con, key):
     said = difference(entry.queries()[key](spark, root), con, TWINS[key])
-    assert said is None or said.startswith("EMPTY")
+    if said and said.startswith("EMPTY"):  # too little at this size: a result without rows checks nothing
+        larger = root.replace("sf0.001", "sf0.01")
+        said = difference(entry.queries()[key](spark, larger), connect(larger), TWINS[key])
+    assert said is None
 
 
 def test_every_twin_has_a_query():
