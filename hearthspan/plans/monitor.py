@@ -295,18 +295,27 @@ def _(i):
     return j.select("id", "room_no", "label", area.alias("area"))
 
 
-@query("room_counts", """SELECT id, count(*) FILTER (WHERE room_type = 'bedroom') AS bedrooms, count(*) FILTER (WHERE room_type IN ('living', 'reception')) AS receptions, count(*) FILTER (WHERE room_type IN ('bedroom', 'living', 'reception', 'kitchen')) AS rooms, count(*) FILTER (WHERE label IN ('Bedroom 1', 'Master Bedroom', 'Bed 2')) AS audited FROM rooms GROUP BY id""", "rooms")
+# Which types make up each count; words in a label that rule a bedroom out.
+COUNTED = {
+    "bathrooms": ("bathroom", "shower_room"), "receptions": ("living", "dining", "reception"),
+    "rooms": ("bedroom", "bathroom", "shower_room", "wc", "kitchen", "living", "dining", "reception", "study", "utility", "storage"),
+}
+NOT_BEDROOM = r"\b(living|lounge|sitting|reception|study|office|kitchen|dining|hall|bath|shower|wc|utility|storage|garage|garden)\b"
+
+
+@query("room_counts", "SELECT id, count(*) FILTER (WHERE room_type = 'bedroom' AND label IN ('Bedroom 1', 'Master Bedroom', 'Bed 2')) AS bedrooms, " + ", ".join(f"count(*) FILTER (WHERE room_type IN {types}) AS {name}" for name, types in COUNTED.items()) + " FROM plan_rooms GROUP BY id", "plan_rooms")
 def _(i):
     # counts come as a JSON document per listing, either plain numbers or {count: n}
-    per = i.rooms.groupBy("id", "room_type").agg(F.count(F.lit(1)).alias("c"))
+    per = i.plan_rooms.groupBy("id", "room_type").agg(F.count(F.lit(1)).alias("c"))
     doc = per.groupBy("id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("room_type", F.when(F.col("c") % 2 == 0, F.to_json(F.struct(F.col("c").alias("count")))).otherwise(F.col("c").cast("string")))))).alias("counts"))
     raw = F.from_json("counts", "map<string,string>")
     n = lambda t: F.coalesce(F.get_json_object(F.try_element_at(raw, F.lit(t)), "$.count").cast("bigint"), F.try_element_at(raw, F.lit(t)).try_cast("bigint"), F.lit(0))
-    label = F.lower("label")
-    not_bed = label.rlike(r"\b(living|lounge|sitting|reception|study|office|kitchen|dining|hall|bath|shower|wc|utility|storage|garage|garden)\b")
-    audited = i.rooms.groupBy("id").agg(F.count_if((F.col("room_type") == "bedroom") & ~not_bed).alias("audited"))
-    total = n("bedroom") + n("living") + n("reception") + n("kitchen")
-    return doc.join(audited, "id").select("id", n("bedroom").alias("bedrooms"), (n("living") + n("reception")).alias("receptions"), total.alias("rooms"), "audited")
+    # bedrooms are counted by their labels where a plan has labels, else taken from the document
+    bed = F.col("room_type") == "bedroom"
+    audited = i.plan_rooms.groupBy("id").agg(F.count("label").alias("labels"), F.count_if(bed & ~F.coalesce(F.lower("label").rlike(NOT_BEDROOM), F.lit(False))).alias("audited"))
+    bedrooms = F.when(F.col("labels") > 0, F.col("audited")).otherwise(n("bedroom"))
+    sums = [sum((n(t) for t in types[1:]), n(types[0])).alias(name) for name, types in COUNTED.items()]
+    return doc.join(audited, "id").select("id", bedrooms.alias("bedrooms"), *sums)
 
 
 @query("udtf_room_labels", "SELECT room_type, count(*) AS n, min(pos) AS first_pos FROM (SELECT id, room_type, row_number() OVER (PARTITION BY id ORDER BY room_type) - 1 AS pos FROM (SELECT DISTINCT id, room_type FROM rooms)) t GROUP BY room_type", "rooms")

@@ -152,11 +152,15 @@ def _(i):
 
 _CATS = ("anti-social-behaviour", "burglary", "drugs", "robbery", "violent-crime", "shoplifting", "other-theft")
 
+# Categories counted one by one; all others count as other.
+CRIME_TARGETS = ("anti-social-behaviour", "burglary", "violent-crime", "robbery", "theft-from-the-person", "drugs", "possession-of-weapons")
+
 
 @query("agg_crime_profile", f"""WITH c(k, cat) AS (VALUES {', '.join(f"({n}, '{c}')" for n, c in enumerate(_CATS))}), x AS (SELECT c_custkey AS area, cat, (c_custkey * (k + 3)) % 97 AS n FROM customer CROSS JOIN c), r AS (SELECT *, row_number() OVER (PARTITION BY area ORDER BY n DESC, cat) AS q FROM x),
   a AS (SELECT c_custkey AS area, c_custkey % 997 AS t, c_custkey % 500 AS p, c_custkey % 13 * 100 AS pop FROM customer), b AS (SELECT *, t * 1000.0 / nullif(pop, 0) AS rate FROM a)
   SELECT b.area, CASE WHEN p > 0 THEN round((t - p) * 100.0 / p, 4) END AS trend_pct, round(rate, 4) AS per_1000, CASE WHEN rate IS NOT NULL THEN round((SELECT count(*) FROM b z WHERE z.rate < b.rate) * 100.0 / ((SELECT count(rate) FROM b) - 1), 4) END AS pctile,
-   (SELECT string_agg(cat || ':' || n, ';' ORDER BY q) FROM r WHERE r.area = b.area AND q <= 5) AS top FROM b""")
+   (SELECT string_agg(cat || ':' || n, ';' ORDER BY q) FROM r WHERE r.area = b.area AND q <= 5) AS top, o.burglary, o.other, o.total FROM b
+   JOIN (SELECT area, sum(n) FILTER (WHERE cat = 'burglary')::BIGINT AS burglary, sum(n) FILTER (WHERE cat NOT IN {CRIME_TARGETS})::BIGINT AS other, sum(n)::BIGINT AS total FROM x GROUP BY area) o ON o.area = b.area""")
 def _(i):
     from hearthspan.functions.rank import tally_before
 
@@ -167,18 +171,42 @@ def _(i):
     entries = F.map_entries(F.from_json("doc", "map<string,bigint>"))
     top = F.slice(F.array_sort(F.transform(entries, lambda e: F.struct((-e["value"]).alias("n"), e["key"].alias("c")))), 1, 5)
     top = F.array_join(F.transform(top, lambda e: F.concat(e["c"], F.lit(":"), (-e["n"]).cast("string"))), ";")
+    known = F.from_json("doc", "map<string,bigint>")
+    summed = lambda keep: F.aggregate(F.filter(entries, keep), F.lit(0).cast("bigint"), lambda n, e: n + e["value"])
+    counts = {c: F.coalesce(F.try_element_at(known, F.lit(c)), F.lit(0).cast("bigint")) for c in CRIME_TARGETS}
+    counts |= {"other": summed(lambda e: ~e["key"].isin(*CRIME_TARGETS)), "total": summed(lambda e: F.lit(True))}
     place = tally_before(a, [], "rate").select("rate", (F.col("below") * 100.0 / (F.col("total") - 1)).alias("pctile"))
     j = a.join(place, "rate", "left")
     trend = F.when(F.col("p") > 0, F.round((F.col("t") - F.col("p")) * 100.0 / F.when(F.col("p") > 0, F.col("p")), 4))
-    return j.select("area", trend.alias("trend_pct"), F.round("rate", 4).alias("per_1000"), F.round("pctile", 4).alias("pctile"), top.alias("top"))
+    return j.select("area", trend.alias("trend_pct"), F.round("rate", 4).alias("per_1000"), F.round("pctile", 4).alias("pctile"), top.alias("top"), *[counts[c].alias(c) for c in ("burglary", "other", "total")])
+
+
+# Shares of a census profile, the columns they add up and the total they are taken of.
+CENSUS_SHARES = {
+    "owned": (("own_outright", "own_mortgage"), "hh_total"), "private_rented": (("private_rented",), "hh_total"), "social_rented": (("social_rented",), "hh_total"),
+    "shared_ownership": (("shared_ownership",), "hh_total"),
+    "age_0_14": (("age_0_14",), "age_total"), "age_15_24": (("age_15_24",), "age_total"), "age_25_34": (("age_25_34",), "age_total"), "age_35_49": (("age_35_49",), "age_total"),
+    "age_50_64": (("age_50_64",), "age_total"), "age_65plus": (("age_65plus",), "age_total"),
+    "one_person": (("hc_one_person",), "hc_total"), "couple_no_children": (("hc_couple_no_children",), "hc_total"), "dependent_children": (("hc_dep_children",), "hc_total"),
+    "higher_professional": (("nssec_higher_prof",), "nssec_total"), "lower_professional": (("nssec_lower_prof",), "nssec_total"), "intermediate": (("nssec_intermediate",), "nssec_total"),
+    "routine": (("nssec_routine",), "nssec_total"), "students": (("nssec_students",), "nssec_total"),
+}
+_COUNTS = [c for parts, _ in CENSUS_SHARES.values() for c in parts]
+_TOTALS = list(dict.fromkeys(whole for _, whole in CENSUS_SHARES.values()))
+
+
+def census_shares(digits=1):
+    """Percentages; a missing part or an empty total gives NULL, never a zero."""
+    share = lambda parts, whole: F.try_divide(sum((F.col(c) for c in parts[1:]), F.col(parts[0])) * 100.0, F.nullif(F.col(whole), F.lit(0)))
+    return [F.round(share(parts, whole), digits).alias(f"{name}_pct") for name, (parts, whole) in CENSUS_SHARES.items()]
 
 
-_PARTS = ("owned", "private_rented", "social_rented", "shared")
+_CENSUS = "c AS (SELECT c_custkey, " + ", ".join([f"CASE WHEN c_custkey % {9 + n} = 0 THEN NULL ELSE (c_custkey * {n + 2}) % 400 END AS {c}" for n, c in enumerate(_COUNTS)] + [f"c_custkey % {8 - n} * 100 AS {t}" for n, t in enumerate(_TOTALS)]) + " FROM customer)"
 
 
-@query("agg_census_shares", "SELECT c_custkey, " + ", ".join(f"CASE WHEN c_custkey % {9 + n} = 0 THEN NULL ELSE round((c_custkey * {n + 2}) % 400 * 100.0 / nullif(c_custkey % 8 * 100, 0), 4) END AS {p}_pct" for n, p in enumerate(_PARTS)) + " FROM customer")
+@query("agg_census_shares", f"WITH {_CENSUS} SELECT c_custkey, " + ", ".join(f"round(({' + '.join(parts)}) * 100.0 / nullif({whole}, 0), 4) AS {name}_pct" for name, (parts, whole) in CENSUS_SHARES.items()) + " FROM c")
 def _(i):
     k = F.col("c_custkey")
-    base = i.table("customer").select("c_custkey", (k % 8 * 100).alias("households"), *[F.when(k % (9 + n) != 0, k * (n + 2) % 400).alias(p) for n, p in enumerate(_PARTS)])
-    # missing part or empty base gives NULL, never a zero
-    return base.select("c_custkey", *[F.round(F.try_divide(F.col(p) * 100.0, F.nullif(F.col("households"), F.lit(0))), 4).alias(f"{p}_pct") for p in _PARTS])
+    counts = [F.when(k % (9 + n) != 0, k * (n + 2) % 400).alias(c) for n, c in enumerate(_COUNTS)]
+    profile = i.table("customer").select("c_custkey", *counts, *[(k % (8 - n) * 100).alias(t) for n, t in enumerate(_TOTALS)])
+    return profile.select("c_custkey", *census_shares(4))

@@ -141,6 +141,13 @@ SELECT l_partkey AS id, l_orderkey * 10 + l_linenumber AS room_no,
 FROM {lineitem}
 """
 
+# The rooms of a plan under all its types: outdoor rooms stand for wet rooms and the rarer ones.
+DEFS["plan_rooms"] = """
+SELECT id, room_no, label, CASE WHEN room_type = 'balcony' THEN CASE room_no % 3 WHEN 0 THEN 'bathroom' WHEN 1 THEN 'shower_room' ELSE 'wc' END
+  WHEN room_type = 'garden' THEN CASE room_no % 3 WHEN 0 THEN 'dining' WHEN 1 THEN 'study' ELSE 'utility' END
+  WHEN room_type = 'terrace' THEN CASE room_no % 2 WHEN 0 THEN 'storage' ELSE 'cloakroom' END ELSE room_type END AS room_type FROM rooms
+"""
+
 DEFS["price_history"] = """
 SELECT o_custkey AS property_id, CAST(o_orderdate AS DATE) AS price_date, CAST(round(o_totalprice) AS BIGINT) AS asking_price, o_orderkey AS tie1
 FROM {orders}
@@ -308,7 +315,7 @@ SELECT l_orderkey * 100 + l_linenumber * 10 + l_suppkey % 10 AS reading_id, l_pa
 FROM {lineitem}
 """
 
-_DEPS = {"home_sales": ("sales",), "certificates": ("sales",), "scores": ("sales",), "score_docs": ("sales",)}
+_DEPS = {"plan_rooms": ("rooms",), "home_sales": ("sales",), "certificates": ("sales",), "scores": ("sales",), "score_docs": ("sales",)}
 
 
 def _closure(names) -> list[str]:
