@@ -29,7 +29,7 @@ def op4_ball_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_components(table(spark, sf_dir, "documents"), k=3, percent=85, m=256)
+    return near_dedup.near_components(table(spark, sf_dir, "documents"), k=3, percent=85, bands=32)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
