@@ -61,7 +61,7 @@ def near_rows(odd_rows):
 
 
 def test_near_components_are_exact(docs_of, near_rows):
-    out = near_dedup.near_components(docs_of(near_rows), k=3, percent=85, m=256, block=16).collect()
+    out = near_dedup.near_components(docs_of(near_rows), k=3, percent=85, bands=32, block=16).collect()
     want = brute(near_rows, 3, 85)
     assert len(out) == len(near_rows)
     for r in out:
@@ -182,3 +182,19 @@ def test_cutting_leaves_one_copy(docs_of, span_rows):
 def test_no_spans_in_empty_tables(docs_of):
     assert span_dedup.repeated(docs_of([])).count() == 0
     assert span_dedup.repeated(docs_of([(1, None), (2, "")])).count() == 0
+
+
+def test_very_long_texts_are_hashed_whole():
+    import pyarrow as pa
+
+    from hearthspan.llm import shingles, toxicity
+
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400_000))
+    data = np.frombuffer(text.encode(), np.uint8)
+    assert len(data) > 2 * shingles.STEP
+    hashes, counts, starts, ends = shingles.texts_words(pa.array([text]))
+    want = shingles.word_hashes(data, np.array([0, len(data)]))
+    assert counts.tolist() == [400_000] and (hashes == want[0]).all() and (starts == want[2]).all() and (ends == want[3]).all()
+    letters = " ".join("".join(rng.choice("abcdefg") for _ in range(6)) for _ in range(400_000))
+    assert toxicity.hashed_words(pa.array([letters]))[2].tolist() == [400_000]
