@@ -23,6 +23,7 @@ CAP = 2
 BLOCK = 256
 SEED = 20
 ROUNDS = 4
+SALTS = 32
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -68,8 +69,13 @@ def slot_of(index: Column, n: str, rounds: Column) -> Column:
     return F.aggregate(rounds, index.cast("long"), back)
 
 
+def salted(totals: DataFrame) -> DataFrame:
+    """Each source's row once for every salt, so that a join spreads the documents of a large source."""
+    return totals.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
+
+
 def placed(docs: DataFrame, totals: DataFrame, rows: int, carry: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text", source: str = "source", bucket_rows: int = 1024) -> DataFrame:
-    """Each document's place in its source's stream: (s, doc_id, size, start, *carry as _c0, _c1, ...).
+    """Each document's place in its source's stream: (s, salt, doc_id, size, start, *carry as _c0, _c1, ...).
 
     Documents of a source are ordered by hashed bucket, id and content; sums run inside a bucket, and over buckets, so a
     source of any size is split.
@@ -78,7 +84,9 @@ def placed(docs: DataFrame, totals: DataFrame, rows: int, carry: tuple[str, ...]
         F.col(source).alias("source"), F.col(doc_id).alias("doc_id"), F.regexp_count(plain(text), F.lit(WORD)).cast("long").alias("size"), F.xxhash64(F.col(text)).alias("mark"),
         *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)],
     )
-    d = d.join(totals.select(F.col("source").alias("_source"), "s"), F.col("source").eqNullSafe(F.col("_source"))).drop("source", "_source")
+    d = d.withColumn("salt", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(SALTS)))
+    names = salted(totals).select(F.col("source").alias("_source"), "s", F.col("salt").alias("_salt"))
+    d = d.join(names, F.col("source").eqNullSafe(F.col("_source")) & (F.col("salt") == F.col("_salt"))).drop("source", "_source", "_salt")
     d = d.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(rows // bucket_rows + 1)))
     sums = d.groupBy("s", "bucket").agg(F.sum("size").alias("held"))
     base = Window.partitionBy("s").orderBy("bucket")
@@ -110,7 +118,10 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), doc_id: str = "doc_id", te
     """
     totals = source_totals(docs, weights, share, cap, block, text, source, seed)
     rows = docs.count()
-    d = placed(docs, totals, rows, carry, doc_id, text, source).join(totals.drop("source"), "s")
+    d = placed(docs, totals, rows, carry, doc_id, text, source)
+    if not carry:  # small rows, read three times
+        d = checkpointed(d)
+    d = d.join(salted(totals.drop("source")), ["s", "salt"]).drop("salt")
     p = d.where("size > 0").select(
         "s", "start", "size", "words", "target", "blocks", "turns", "short_at",
         F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("index"),
