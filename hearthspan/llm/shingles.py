@@ -7,9 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from hearthspan.llm.chunks import SLICE, slices
+from hearthspan.llm.chunks import slices
 from hearthspan.llm.common import mixed, strings
 
+STEP = 1 << 20  # bytes hashed at once: small arrays, for the worker's memory and its caches
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.isin(np.arange(256), [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
@@ -55,14 +56,14 @@ def texts_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     """The same for a column; a text above the slice size is hashed piece by piece, cut at spaces."""
     data, offsets = strings(column)
     data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
-    if len(column) != 1 or len(data) <= 2 * SLICE:
+    if len(column) != 1 or len(data) <= 2 * STEP:
         return word_hashes(data, offsets)
     parts, at = [], 0
     while at < len(data):
-        end = min(len(data), at + SLICE)
+        end = min(len(data), at + STEP)
         while end < len(data):
-            gap = np.flatnonzero(SPACE[data[end : end + SLICE]])
-            end += int(gap[0]) if len(gap) else len(data[end : end + SLICE])
+            gap = np.flatnonzero(SPACE[data[end : end + STEP]])
+            end += int(gap[0]) if len(gap) else len(data[end : end + STEP])
             if len(gap):
                 break
         h, _, starts, ends = word_hashes(data[at:end], np.array([0, end - at]))
@@ -74,7 +75,7 @@ def texts_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct shingle hashes) of every row. Fewer than k words are one shingle, no words none."""
-    for i, j in slices(column):
+    for i, j in slices(column, STEP):
         words, counts, _, _ = texts_words(column.slice(i, j - i))
         ends = np.cumsum(counts)
         if len(words) >= k:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from hearthspan.llm.chunks import slices
 from hearthspan.llm.common import mixed, strings, take
-from hearthspan.llm.shingles import powers, texts_words
+from hearthspan.llm.shingles import STEP, powers, texts_words
 from hearthspan.session import checkpointed
 
 STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -30,7 +30,7 @@ def sentences(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
     """(row, words before each sentence and after the last, first byte, end byte, the two hashes of every word) of each text.
 
     A sentence ends after a word that ends in . ! or ?, and before a line feed or carriage return."""
-    for i, j in slices(column):
+    for i, j in slices(column, STEP):
         part = column.slice(i, j - i)
         hashes, counts, starts, ends = texts_words(part)
         data, offsets = strings(part)
