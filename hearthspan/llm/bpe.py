@@ -22,6 +22,8 @@ from hearthspan.llm.chunks import Chunks, slices
 from hearthspan.llm.common import take
 
 LONG = 256
+CHUNKS = 150_000  # kept by a worker, whose memory other stages share
+SLICE = 2 << 20
 NONE = np.iinfo(np.int64).max
 
 
@@ -145,7 +147,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.ranks = Ranks(path)
         self.pattern = regex.compile(pattern)
-        self.chunks = Chunks(self.encode)
+        self.chunks = Chunks(self.encode, CHUNKS)
 
     def words(self, words: list[bytes]) -> list[np.ndarray]:
         out: list = [None] * len(words)
@@ -207,7 +209,7 @@ def encoded(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", vocabul
         code = encoder(path, pattern)
         for batch in batches:
             texts = batch.column("text")
-            for i, j in slices(texts):
+            for i, j in slices(texts, SLICE):
                 ids, counts = code.chunks.texts(texts.slice(i, j - i))
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 each = [ids[a:b] for a, b in zip(ends, ends[1:])]
