@@ -1,8 +1,9 @@
-"""Repeated passages by sliding sentence spans.
+"""Repeated passages by sliding sentence spans and sliding windows of words.
 
-Every run of consecutive sentences is hashed (128 bits over its words), runs are joined globally, and sentences that lie in a
-run which is not the first of its kind are covered. Stretches of covered sentences go if they are long enough; so two short
-sentences that happen to follow one another elsewhere stay.
+Runs of consecutive sentences and windows of words at every position are hashed (128 bits over the words), equal ones meet
+globally, and words that lie in one which is not the first of its kind are covered. Stretches of covered words go if they are
+long enough; so two short sentences that happen to follow one another elsewhere stay. Windows are opened only around seeds (a
+few words in a hundred begin one) that occur twice: every window that occurs twice holds such a seed, so none is lost.
 """
 
 from __future__ import annotations
@@ -23,11 +24,10 @@ STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 RUN = 2
 LONG = 50
 LEAST = 25
-SALTS = 16
 
 
-def sentences(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-    """(row, words before each sentence and after the last, first byte, end byte, the two hashes of every word) of each text.
+def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(row, words before each sentence and after the last, first and end byte and the two hashes of every word) of each text.
 
     A sentence ends after a word that ends in . ! or ?, and before a line feed or carriage return."""
     for i, j in slices(column, STEP):
@@ -46,79 +46,112 @@ def sentences(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, n
             if b > a and (not len(ends_here) or ends_here[-1] != b - a):
                 ends_here = np.append(ends_here, b - a)
             edge = np.concatenate([[0], ends_here]).astype(np.int64)
-            yield row, edge, starts[a + edge[:-1]] - at, ends[a + edge[1:] - 1] - at, [h[a:b] for h in both]
+            yield row, edge, starts[a:b] - at, ends[a:b] - at, [h[a:b] for h in both]
 
 
-def runs(edge: np.ndarray, words: list[np.ndarray], run: int, long: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(first sentence, sentences, two hashes) of every run of `run` sentences and of every single one of `long` words or more."""
-    n = len(edge) - 1
-    several = np.arange(max(0, n - run + 1))
-    single = np.flatnonzero(np.diff(edge) >= long)
-    first = np.concatenate([several, single])
-    size = np.concatenate([np.full(len(several), run), np.ones(len(single), np.int64)]).astype(np.int64)
+def hashes_of(words: list[np.ndarray], lo: np.ndarray, hi: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the words lo..hi of a text, one array for each kind of word hash."""
     out = []
-    up, down = powers(int(edge[-1]) + 1)
+    up, down = powers(len(words[0]) + 1)
     for w in words:
         sums = np.zeros(len(w) + 1, np.uint64)
         np.cumsum(w * up[: len(w)], out=sums[1:])
-        lo, hi = edge[first], edge[first + size]
         out.append(mixed((sums[hi] - sums[lo]) * down[lo] + (hi - lo).astype(np.uint64)).astype(np.int64))
-    return first, size, out
+    return out
+
+
+def seeds(word: np.ndarray, long: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(first words, hashes, words of each) of a text's seeds: of the stretches of long / 2 words in any `long` words the one with
+    the least hash. Equal passages of `long` words have an equal seed at the same place."""
+    size = (long + 1) // 2
+    if len(word) < long:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), size
+    at = np.arange(len(word) - size + 1)
+    (h,) = hashes_of([word], at, at + size)
+    least = np.lib.stride_tricks.sliding_window_view(h, long - size + 1).argmin(axis=1)
+    first = np.unique(least + np.arange(len(least)))
+    return first, h[first], size
 
 
 def repeated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", run: int = RUN, long: int = LONG, least: int = LEAST) -> DataFrame:
-    """One row per stretch to remove: doc_id, begin and end (bytes of the UTF-8 text), first_sentence, n_sentences, n_words,
-    first_doc_id (the document that has the stretch's first run first).
+    """One row per stretch to remove: doc_id, begin and end (bytes of the UTF-8 text), first_sentence, n_sentences (all that it
+    touches), n_words, first_doc_id (the document that has the stretch's first run or window first).
 
-    Runs count in the order of (doc_id, sentence); the first of a kind stays wherever it is, later ones go, in the same
-    document as well as in others. Stretches under `least` words stay. Letters A-Z count as a-z and white space does not
-    count. Null and empty texts have no runs; rows without an id take no part; rows with one id count as one document. An
-    empty table gives an empty result; other columns are ignored.
+    Runs of `run` whole sentences and windows of `long` words, wherever they begin, count in the order of (doc_id, word); the
+    first of a kind stays wherever it is, later ones go, in the same document as well as in others. Stretches under `least`
+    words stay. Letters A-Z count as a-z and white space does not count. Null and empty texts have no runs; rows without an id
+    take no part; rows with one id count as one document. An empty table gives an empty result; other columns are ignored.
     """
     kind = dict(docs.dtypes)[doc_id]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, edge, begin, end, words in sentences(batch.column("text")):
-                first, size, (h, g) = runs(edge, words, run, long)
-                if len(first):
+            for row, edge, _, _, words in texts(batch.column("text")):
+                n = max(0, len(edge) - run)
+                h = np.concatenate([hashes_of(words[:1], edge[:n], edge[run:])[0], seeds(words[0], long)[1]])
+                if len(h):
+                    yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(row, 1), "h": [h]})
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs that are repeated, and every window around a repeated seed."""
+        for batch in batches:
+            for row, edge, begin, end, words in texts(batch.column("text")):
+                again = batch.column("again").slice(row, 1).flatten().to_numpy()
+                n = max(0, len(edge) - run)
+                whole = np.flatnonzero(np.isin(hashes_of(words[:1], edge[:n], edge[run:])[0], again))
+                first, h, size = seeds(words[0], long)
+                first = first[np.isin(h, again)]
+                near = np.zeros(len(words[0]) + 1, np.int64)
+                np.add.at(near, np.maximum(0, first + size - long), 1)
+                np.add.at(near, first + 1, -1)
+                at = np.flatnonzero(np.cumsum(near)[: max(0, len(words[0]) - long + 1)] > 0)
+                lo, hi = np.concatenate([edge[whole], at]), np.concatenate([edge[whole + run], at + long])
+                if len(lo):
+                    h, g = hashes_of(words, lo, hi)
+                    inside = np.searchsorted(edge, lo, "right") - 1, np.searchsorted(edge, hi - 1, "right")
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": batch.column("doc_id").slice(row, 1), "words": [np.diff(edge).astype(np.int32)], "begin": [begin], "end": [end],
-                        "first": [first], "size": [size.astype(np.int32)], "h": [h], "g": [g],
+                        "doc_id": batch.column("doc_id").slice(row, 1), "h": [h], "g": [g],
+                        **{k: [v.astype(np.int32)] for k, v in (("first", lo), ("size", hi - lo), ("begin", begin[lo]), ("end", end[hi - 1]), ("sentence", inside[0]), ("stop", inside[1]))},
                     })
 
     rows = take(docs, doc_id, text).where("doc_id IS NOT NULL AND text <> ''")
-    known = checkpointed(rows.mapInArrow(hashed, f"doc_id {kind}, words array<int>, begin array<long>, end array<long>, first array<long>, size array<int>, h array<long>, g array<long>"))
+    some = checkpointed(rows.mapInArrow(hashed, f"doc_id {kind}, h array<long>")).select("doc_id", F.explode("h").alias("h"))
+    twice = some.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h")
+    again = some.join(twice, "h").groupBy("doc_id").agg(F.collect_set("h").alias("again"))
+    ints = ", ".join(f"{k} array<int>" for k in ("first", "size", "begin", "end", "sentence", "stop"))
+    known = checkpointed(rows.join(again.hint("shuffle_hash"), "doc_id").mapInArrow(opened, f"doc_id {kind}, h array<long>, g array<long>, {ints}"))
     each = known.select("doc_id", F.explode(F.arrays_zip("first", "size", "h", "g")).alias("r")).select("doc_id", "r.*")
     firsts = each.groupBy("h", "g").agg(F.min(F.struct("doc_id", "first")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "g", "lead")
-    # a run that thousands of documents share meets its first one in many tasks
-    firsts = firsts.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
-    each = each.withColumn("salt", F.pmod(F.xxhash64("doc_id", "first"), F.lit(SALTS)))
-    later = each.join(firsts, ["h", "g", "salt"]).where("doc_id <> lead.doc_id OR first <> lead.first")
+    later = each.join(firsts, ["h", "g"]).where("doc_id <> lead.doc_id OR first <> lead.first")
     later = later.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("first", "size", F.col("lead.doc_id").alias("of")))).alias("hits"))
 
     def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                words, begin, end = (batch.column(c).slice(r, 1).flatten().to_numpy() for c in ("words", "begin", "end"))
+                own = {c: batch.column(c).slice(r, 1).flatten().to_numpy() for c in ("first", "size", "begin", "end", "sentence", "stop")}
                 hits = batch.column("hits").slice(r, 1).flatten()
-                first, size = hits.field("first").to_numpy(), hits.field("size").to_numpy()
-                covered = np.zeros(len(words) + 1, np.int64)
-                np.add.at(covered, first, 1)
-                np.add.at(covered, first + size, -1)
-                on = np.concatenate([[False], np.cumsum(covered)[:-1] > 0, [False]])
-                lo, hi = np.flatnonzero(~on[:-1] & on[1:]), np.flatnonzero(on[:-1] & ~on[1:])
-                sums = np.concatenate([[0], np.cumsum(words)])
-                n = sums[hi] - sums[lo]
+                key = lambda x: x["first"].astype(np.int64) << 32 | x["size"]
+                place = np.argsort(key(own), kind="stable")
+                want = key({c: hits.field(c).to_numpy() for c in ("first", "size")})
+                at = np.minimum(np.searchsorted(key(own)[place], want), len(place) - 1)
+                found = np.flatnonzero(key(own)[place][at] == want)
+                if not len(found):
+                    continue
+                own = {c: v[place[at[found]]] for c, v in own.items()}  # in the order of their first words
+                reach = np.maximum.accumulate(own["first"].astype(np.int64) + own["size"])
+                lo = np.flatnonzero(np.concatenate([[True], own["first"][1:] > reach[:-1]]))
+                hi = np.append(lo[1:], len(reach)) - 1
+                n = reach[hi] - own["first"][lo]
                 lo, hi, n = lo[n >= least], hi[n >= least], n[n >= least]
                 if len(lo):
+                    end, stop = np.maximum.accumulate(own["end"])[hi], np.maximum.accumulate(own["stop"])[hi]
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": batch.column("doc_id").take(pa.array(np.full(len(lo), r))), "begin": pa.array(begin[lo]), "end": pa.array(end[hi - 1]),
-                        "first_sentence": pa.array(lo, pa.int64()), "n_sentences": pa.array(hi - lo, pa.int64()), "n_words": pa.array(n, pa.int64()),
-                        "first_doc_id": hits.field("of").take(pa.array(np.searchsorted(first, lo))),
+                        "doc_id": batch.column("doc_id").take(pa.array(np.full(len(lo), r))), "begin": pa.array(own["begin"][lo], pa.int64()), "end": pa.array(end, pa.int64()),
+                        "first_sentence": pa.array(own["sentence"][lo], pa.int64()), "n_sentences": pa.array(stop - own["sentence"][lo], pa.int64()), "n_words": pa.array(n, pa.int64()),
+                        "first_doc_id": hits.field("of").take(pa.array(found[lo])),
                     })
 
-    spans = known.groupBy("doc_id").agg(F.min(F.struct("words", "begin", "end")).alias("k")).select("doc_id", "k.*").join(later, "doc_id")
+    spans = known.groupBy("doc_id").agg(F.min(F.struct("first", "size", "begin", "end", "sentence", "stop")).alias("k")).select("doc_id", "k.*").join(later, "doc_id")
     return spans.mapInArrow(stretches, f"doc_id {kind}, begin long, end long, first_sentence long, n_sentences long, n_words long, first_doc_id {kind}")
 
 

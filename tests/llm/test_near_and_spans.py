@@ -179,6 +179,30 @@ def test_cutting_leaves_one_copy(docs_of, span_rows):
     assert all(r.text == text[r.doc_id] for r in out.collect() if r.doc_id not in touched)
 
 
+def test_windows_within_sentences_are_found(docs_of):
+    """Passages that neither begin nor end at a sentence's end, against every window of 50 words."""
+    rng = random.Random(12)
+    some = lambda n: [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+    docs, shared = {}, some(90)
+    for i in range(40):
+        part = shared[rng.randrange(45) :][: rng.randrange(40, 90)]
+        if i % 5 == 0:
+            part = part[:20] + [f"edit{i}."] + part[21:]
+        docs[i] = some(rng.randrange(30)) + part + some(rng.randrange(30)) + (part if i % 7 == 0 else [])
+    first, on = {}, {i: set() for i in docs}
+    for i, w in docs.items():
+        for a in range(len(w) - span_dedup.LONG + 1):
+            if first.setdefault(tuple(w[a : a + span_dedup.LONG]), (i, a)) != (i, a):
+                on[i].update(range(a, a + span_dedup.LONG))
+    got = {i: set() for i in docs}
+    for r in span_dedup.repeated(docs_of([(i, " ".join(w)) for i, w in docs.items()])).collect():
+        text = " ".join(docs[r.doc_id])
+        a = len(text[: r.begin].split())
+        assert text[r.begin : r.end].split() == docs[r.doc_id][a : a + r.n_words]
+        got[r.doc_id].update(range(a, a + r.n_words))
+    assert got == on and sum(map(bool, on.values())) > 15
+
+
 def test_no_spans_in_empty_tables(docs_of):
     assert span_dedup.repeated(docs_of([])).count() == 0
     assert span_dedup.repeated(docs_of([(1, None), (2, "")])).count() == 0
