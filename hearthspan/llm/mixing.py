@@ -1,7 +1,8 @@
 """Mixing sources to target weights, in whole blocks of words.
 
 Each source is one stream of words, cut into blocks of fixed length. A source gets as many slots as its target needs; its
-slots fall on the output shards by a seeded hash, which is a multinomial draw of source counts for every shard. A slot takes
+slots fall on the output shards, as many as the whole mix needs, by a seeded hash, which is a multinomial draw of source
+counts for every shard. A slot takes
 the block that the source's pseudorandom permutation of block numbers gives it, with another permutation for each pass over
 the source. The permutation is a bijection that can be turned round in closed form, so that blocks meet their slots on the
 index where they are: no table of slots is made or shuffled.
@@ -21,6 +22,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2
 BLOCK = 256
+SHARD_SLOTS = 1 << 16
 SEED = 20
 ROUNDS = 4
 SALTS = 32
@@ -96,17 +98,18 @@ def placed(docs: DataFrame, totals: DataFrame, rows: int, carry: tuple[str, ...]
     return d.join(sums, ["s", "bucket"]).withColumn("start", F.col("start") + F.col("base")).drop("base", "bucket", "mark")
 
 
-def source_totals(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
-    """One row per source: words, target, blocks, the permutations' rounds, and for each pass the slot that holds the last, shorter block."""
+def source_totals(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, text: str = "text", source: str = "source", seed: int = SEED, shard_slots: int = SHARD_SLOTS) -> DataFrame:
+    """One row per source: words, target, blocks, the shards of the whole mix, the permutations' rounds, and for each pass the slot that holds the last, shorter block."""
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(F.regexp_count(plain(text), F.lit(WORD))).cast("long").alias("words"))
     t = targets(sizes, weights, share, cap).withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("words") / block)).cast("long"))
+    t = t.withColumn("shards", F.greatest(F.lit(1), F.ceil(F.sum("target").over(Window.partitionBy()) / block / shard_slots)).cast("long"))
     passes = math.ceil(cap)
     t = t.withColumn("turns", turns("blocks", passes, seed))
     last = [slot_of(F.col("blocks") - 1, "blocks", F.col("turns")[e]) + e * F.col("blocks") for e in range(passes)]
     return checkpointed(t.withColumn("short_at", F.array(*last)))
 
 
-def mix(docs: DataFrame, carry: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, shard_slots: int = 1 << 20, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, carry: tuple[str, ...] = (), doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS, share: float = SHARE, cap: float = CAP, block: int = BLOCK, shard_slots: int = SHARD_SLOTS, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """(documents with their place, pieces): what the mix takes.
 
     Documents: s, words and target of the source, doc_id, size, start in the source's stream, carried columns.
@@ -116,14 +119,14 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), doc_id: str = "doc_id", te
     Null text counts as empty and has no pieces; a null source is a source; ids may be null or repeated, and repeated rows
     are documents of their own. An empty table gives empty results.
     """
-    totals = source_totals(docs, weights, share, cap, block, text, source, seed)
+    totals = source_totals(docs, weights, share, cap, block, text, source, seed, shard_slots)
     rows = docs.count()
     d = placed(docs, totals, rows, carry, doc_id, text, source)
     if not carry:  # small rows, read three times
         d = checkpointed(d)
     d = d.join(salted(totals.drop("source")), ["s", "salt"]).drop("salt")
     p = d.where("size > 0").select(
-        "s", "start", "size", "words", "target", "blocks", "turns", "short_at",
+        "s", "start", "size", "words", "target", "blocks", "shards", "turns", "short_at",
         F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("index"),
     )
     p = p.withColumn("pass", F.explode(F.array(*[F.lit(e) for e in range(math.ceil(cap))])))
@@ -133,10 +136,9 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), doc_id: str = "doc_id", te
     room = F.round("target").cast("long") - (F.col("slot") * block - short * earlier)
     lo = F.greatest(F.lit(0), F.col("start") - F.col("index") * block)
     hi = F.least(F.lit(block), F.col("start") + F.col("size") - F.col("index") * block, room)
-    shards = F.greatest(F.lit(1), F.ceil(F.col("target") / block / shard_slots)).cast("long")
     p = p.withColumn("lo", lo).withColumn("hi", hi).where("hi > lo")
     offset = F.col("index") * block - F.col("start")
-    return d, p.select("s", "start", "pass", "index", "slot", F.pmod(F.xxhash64(F.lit(seed), "s", "slot"), shards).alias("shard"), (F.col("lo") + offset).alias("lo"), (F.col("hi") + offset).alias("hi"))
+    return d, p.select("s", "start", "pass", "index", "slot", F.pmod(F.xxhash64(F.lit(seed), "s", "slot"), "shards").alias("shard"), (F.col("lo") + offset).alias("lo"), (F.col("hi") + offset).alias("hi"))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
@@ -164,3 +166,26 @@ def mixed_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     d = d.where("size > 0").select("s", "start", "size", *[f"_c{i}" for i in range(len(names))]).join(runs, ["s", "start"])
     d = d.withColumn(body, F.when(F.col("got") == F.col("size"), F.col(body)).otherwise(part))
     return d.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(names)])
+
+
+def mixed_blocks(docs: DataFrame, text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix as blocks, one row per slot: shard, source, slot, n_words, text (the slot's words in order, with single spaces).
+
+    A slot has `block` words, but for the last block of a source and the last slot, which is cut at the target.
+    """
+    d, pieces = mix(docs, (text, source), text=text, source=source, **options)
+    runs = pieces.groupBy("s", "start").agg(F.collect_list(F.struct("shard", "slot", "lo", "hi")).alias("runs"))
+    words = F.regexp_extract_all(F.col("_c0"), F.lit(WORD), F.lit(0))
+    part = lambda w, r: F.array_join(F.slice(w, (r["lo"] + 1).cast("int"), (r["hi"] - r["lo"]).cast("int")), " ")
+    piece = lambda w: F.transform("runs", lambda r: F.struct(r["shard"].alias("shard"), r["slot"].alias("slot"), (r["hi"] - r["lo"]).alias("n"), part(w, r).alias("part")))
+    once = F.transform(F.array(words), piece)[0]  # a text is cut into words once, not for each piece
+    parts = d.where("size > 0").select("s", "start", "_c0", "_c1").join(runs, ["s", "start"]).select("s", F.col("_c1").alias("source"), "start", F.explode(once).alias("p"))
+    whole = parts.groupBy("p.shard", "s", "p.slot").agg(F.first("source").alias("source"), F.sum("p.n").alias("n_words"), F.sort_array(F.collect_list(F.struct("start", "p.part"))).alias("parts"))
+    return whole.select("shard", "source", "slot", "n_words", F.array_join(F.transform("parts", lambda x: x["part"]), " ").alias("text"))
+
+
+def write_shards(docs: DataFrame, path: str, seed: int = SEED, **options) -> None:
+    """The blocks as Parquet files, a folder shard=N for each shard; in a shard blocks of all sources stand in seeded order."""
+    turn = F.xxhash64(F.lit(seed), F.lit("turn"), "source", "slot")
+    blocks = mixed_blocks(docs, seed=seed, **options).withColumn("turn", turn)
+    blocks.repartitionByRange("shard", "turn").sortWithinPartitions("shard", "turn").drop("turn").write.partitionBy("shard").parquet(path)

@@ -102,6 +102,32 @@ def test_mixed_documents_hold_what_is_taken(docs_of, odd_rows):
     assert mixing.mixed_documents(docs_of(odd_rows), block=16).columns == docs.columns
 
 
+def test_every_shard_has_the_mix(spark, docs_of, tmp_path):
+    rows = [(i, " ".join(f"{s}{i}_{j}" for j in range(n)), "en", s) for i, (s, n) in enumerate([("a", 90)] * 150 + [("b", 200)] * 150 + [(None, 40)] * 100)]
+    sizes = Counter()
+    for _, t, _, s in rows:
+        sizes[s] += len(words(t))
+    want = brute_targets(sizes)
+    mixing.write_shards(docs_of(rows), str(tmp_path / "m"), block=16, shard_slots=500)
+    out = spark.read.parquet(str(tmp_path / "m")).collect()
+    slots, got, used = defaultdict(Counter), Counter(), Counter()
+    for r in out:
+        own = r.text.split(" ")
+        assert len(own) == r.n_words <= 16 and {w[0] for w in own} == {str(r.source)[0]}
+        slots[r.shard][r.source] += 1
+        got[r.source] += r.n_words
+        used.update(own)
+    assert len({(r.source, r.slot) for r in out}) == len(out) and max(used.values()) <= 2
+    assert all(abs(got[s] - want[s]) <= 0.5 for s in sizes)
+    n = -int(-sum(want.values()) // (16 * 500))
+    assert sorted(slots) == list(range(n)) and n > 3
+    for s in sizes:
+        mean = want[s] / 16 / n
+        assert all(abs(c[s] - mean) < 5 * mean**0.5 for c in slots.values())
+    order = [r.source for r in out if r.shard == 0]
+    assert sum(x != y for x, y in zip(order, order[1:])) > 50
+
+
 def test_sharding_by_key(docs_of, odd_rows, tmp_path):
     rows = odd_rows + [(1000 + i, f"text {i} " * (i % 50)) for i in range(400)]
     out = sharding.shuffled(docs_of(rows), bucket_bytes=2000, path=str(tmp_path / "x")).withColumn("grown", sharding.shard_of(9)).collect()
