@@ -67,3 +67,23 @@ def test_folds_never_share_a_property(spark, monkeypatch):
     got = valuation.group_folds(df, 1)
     assert got.count() == 200 and len(pairs) == 5
     assert all(a.join(b, "address_key", "left_semi").count() == 0 for a, b in pairs)
+
+
+def test_registered_fits_are_whole(spark, root, monkeypatch):
+    from hearthspan.plans import load
+    from hearthspan.plans import valuation as plans
+
+    found, _ = load()
+    trees, seen = [], []
+    df = spark.createDataFrame([(n, y, "2020-01-01", 0, 0, 0, 1.0, 1.0) for n in range(100) for y in range(2010, 2023)], "address_key long, year_sold int, sale_date string, tie1 int, tie2 int, tie3 int, price double, pred double")
+    monkeypatch.setattr(plans, "training", lambda i, groups=tuple(valuation.GROUPS): seen.append(tuple(groups)) or df)
+    monkeypatch.setattr(valuation, "fit_predict", lambda train, test, n: trees.append(n) or test)
+    monkeypatch.setattr(valuation, "contributions", lambda rows, train, n, neutral: trees.append(n) or rows.selectExpr("'x' AS variant", "0 AS delta"))
+    for key in ("valuation_gbt", "eval_group_kfold", "eval_walk_forward", "counterfactual_contrib"):
+        found[key](Inputs(spark, root))
+    seen.clear()
+    labels = {r.variant for r in found["eval_ablation"](Inputs(spark, root)).select("variant").collect()}
+    names = tuple(valuation.GROUPS)
+    want = {names, ("base",)} | {("base", g) for g in names[1:]} | {tuple(x for x in names if x != g) for g in names}
+    assert set(seen) == want and len(seen) == len(labels) == len(want)
+    assert len(trees) == 1 + 5 + 7 + 1 + len(want) and set(trees) == {400}
