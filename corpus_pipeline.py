@@ -21,10 +21,11 @@ def no_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by 0.8 of their five-word shingles the one with the smallest id; one row of it if it is repeated.
+    """Of documents linked by 0.8 of their five-word shingles the one with the smallest id; one row for each text of it, if rows of one id differ.
     Documents without words link with nothing and stay; so do rows without an id."""
     kept = near_dedup.near_components(docs, k=5, percent=80).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    rows = docs.join(kept, "doc_id", "left_semi").withColumn(mark := "_" + max(docs.columns, key=len), F.sha2(F.col("text"), 256))
+    return rows.dropDuplicates(["doc_id", mark]).unionByName(docs.where("doc_id IS NULL"), allowMissingColumns=True).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

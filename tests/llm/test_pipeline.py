@@ -54,3 +54,10 @@ def test_stages_of_an_empty_table(spark, docs_of, folder):
     docs = docs_of([])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, folder).count() == 0
+
+
+def test_rows_that_share_an_id_keep_their_texts(spark, docs_of):
+    rows = [(1, "one text of a few words here"), (1, "and another one with the same id"), (1, "one text of a few words here"), (1, None), (2, "something else that nobody else says"), (None, "no id")]
+    out = corpus_pipeline.no_near_copies(spark, docs_of(rows), "")
+    assert out.columns == docs_of(rows).columns
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter(set(rows))
