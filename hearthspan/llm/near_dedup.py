@@ -28,7 +28,7 @@ BASE = 1.2
 RATE = 20.0
 TOP = 127
 BAND = 8
-DEVIATIONS = 3.5
+DEVIATIONS = 5
 BROADCAST_IDS = 500_000
 BROADCAST_BYTES = 32 << 20
 

@@ -96,6 +96,12 @@ def test_likelihood_finds_the_similarity():
         assert abs(np.mean(got) - j) < 0.02 and np.std(got) < 0.045
 
 
+def test_estimates_lose_less_than_bands():
+    from math import erfc, sqrt
+
+    assert erfc(near_dedup.DEVIATIONS / sqrt(2)) / 2 < 1e-5  # what the bands lose at the threshold
+
+
 def test_registers_merge():
     rng = np.random.default_rng(3)
     a, b = rng.integers(0, 1 << 63, 300, dtype=np.uint64), rng.integers(0, 1 << 63, 500, dtype=np.uint64)
