@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthspan.llm import bpe, exact_dedup, langid, mixing, near_dedup, packed, sharding, span_dedup, topk, toxicity, vector_dedup, whitening
+from hearthspan.llm import bpe, exact_dedup, langid, mixing, near_dedup, packed, phrases, sharding, span_dedup, topk, toxicity, vector_dedup, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", sharding.shard_of(9).cast("int").alias("grown_shard"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -64,5 +68,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_packed_ids, op3_span_dedup, op4_ball_tree, op5_near_dedup, op6_langid, op7_toxicity, op8_mixing, op9_exact_dedup, op10_sharding, op12_vector_dedup, op13_whitening)}
-SQL = {"op4_ball_tree": topk.SQL, "op5_near_dedup": near_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL, "op12_vector_dedup": vector_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_packed_ids, op3_span_dedup, op4_ball_tree, op5_near_dedup, op6_langid, op7_toxicity, op8_mixing, op9_exact_dedup, op10_sharding, op11_phrases, op12_vector_dedup, op13_whitening)}
+SQL = {"op4_ball_tree": topk.SQL, "op5_near_dedup": near_dedup.SQL, "op9_exact_dedup": exact_dedup.SQL, "op11_phrases": phrases.SQL, "op12_vector_dedup": vector_dedup.SQL}
