@@ -168,34 +168,45 @@ def with_previous(
     *,
     prefix: str = "prev_",
     ordinal: str | None = None,
+    most: int = 1_000_000,
 ) -> DataFrame:
     """Attach the preceding row's `carry` columns per key (and, if named, the row's ordinal).
 
-    Every key is cut by the first ordering column (a date), so no task sorts the rows of a whole
-    key; the cuts are stitched through their last rows, one small row a date. The first ordering
-    column must not be null.
+    Keys of at most `most` rows are sorted as they are, which a table bucketed by the key does without a shuffle. Larger ones
+    are cut by quarter of the first ordering column (a date, not null), so that no task sorts a whole key; the cuts are
+    stitched through their last rows, one a quarter. Sizes are counted first, map-side; keys above the limit are few.
     """
     keys = list(keys)
-    cut = order[0]
-    d = df.withColumn("_cut", F.col(cut))
-    w = W.partitionBy(*keys, "_cut").orderBy(*order)
+    large = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > most)
+    names = {k: f"_k_{k}" for k in keys}
+    large = large.select(*[F.col(k).alias(n) for k, n in names.items()])
+    if large.isEmpty():
+        return _previous(df, keys, order, carry, prefix, ordinal, None)
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+    small = _previous(df.join(large, match, "left_anti"), keys, order, carry, prefix, ordinal, None)
+    return small.unionByName(_previous(df.join(large, match, "left_semi"), keys, order, carry, prefix, ordinal, F.date_trunc("quarter", order[0])))
+
+
+def _previous(df: DataFrame, keys: list[str], order: list[str], carry: list[str], prefix: str, ordinal: str | None, cut: Column | None) -> DataFrame:
+    """The pairing of `with_previous`, over whole keys or over keys cut by `cut`."""
+    d = df if cut is None else df.withColumn("_cut", cut)
+    by = keys if cut is None else [*keys, "_cut"]
+    w = W.partitionBy(*by).orderBy(*order)
     d = d.withColumn("_prev", F.lag(F.struct(*carry)).over(w))
     if ordinal:
         d = d.withColumn("_ord", F.row_number().over(w))
-    edges = d.groupBy(*keys, "_cut").agg(
-        F.max_by(F.struct(*carry), F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_cn")
-    )
-    across = W.partitionBy(*keys).orderBy("_cut")
-    edges = edges.select(
-        *keys,
-        "_cut",
-        F.lag("_last").over(across).alias("_in"),
-        (F.sum("_cn").over(across) - F.col("_cn")).alias("_ahead"),
-    )
-    d = d.join(edges, [*keys, "_cut"], "left").withColumn("_prev", F.coalesce("_prev", "_in"))
+    if cut is not None:
+        edges = d.groupBy(*by).agg(F.max_by(F.struct(*carry), F.struct(*order)).alias("_last"), F.count(F.lit(1)).alias("_cn"))
+        across = W.partitionBy(*keys).orderBy("_cut")
+        edges = edges.select(
+            *[F.col(c).alias(f"_e_{c}") for c in by],
+            F.lag("_last").over(across).alias("_in"),
+            (F.sum("_cn").over(across) - F.col("_cn")).alias("_ahead"),
+        )
+        d = d.join(edges, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_e_{c}")) for c in by])).withColumn("_prev", F.coalesce("_prev", "_in"))
     outs = [F.col(f"_prev.{c}").alias(f"{prefix}{c}") for c in carry]
     if ordinal:
-        outs.append((F.col("_ord") + F.coalesce("_ahead", F.lit(0))).alias(ordinal))
+        outs.append((F.col("_ord") + (F.col("_ahead") if cut is not None else F.lit(0))).alias(ordinal))
     return d.select(*df.columns, *outs)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from hearthspan.functions.rank import group_quantiles, newest
-from hearthspan.operators.sales import day, growth_columns, growth_parts, is_standard, repeat_sales
+from hearthspan.operators.sales import day, growth_columns, growth_parts, is_standard, repeat_sales, since
 from hearthspan.session import checkpointed
 
 # Named months.
@@ -212,7 +212,7 @@ def flood_share(listings: DataFrame, area: str, least: int = 20) -> DataFrame:
 
 def recent_sales_by_outcode(sales: DataFrame, as_of: str) -> DataFrame:
     """Twelve months of standard sales per outcode with the count of B sales left out; an all-B area keeps its row."""
-    rows = sales.where((F.col("sale_date") >= F.add_months(day(as_of), -12)) & (F.col("price") > 0))
+    rows = since(sales, F.add_months(day(as_of), -12)).where(F.col("price") > 0)
     counts = rows.groupBy("outcode").agg(F.count_if(is_standard(F.col("category"))).alias("n"), F.count_if(F.upper(F.trim("category")) == "B").alias("excluded_b"))
     mids = group_quantiles(rows.where(is_standard(F.col("category"))), ["outcode"], "price", {"mid": "median", "low": "min", "high": "max"}, count=None)
     return counts.join(mids, "outcode", "left").where((F.col("n") > 0) | (F.col("excluded_b") > 0)).select(

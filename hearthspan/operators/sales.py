@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthspan.functions.rank import first_k, group_quantiles, newest, with_previous
 from hearthspan.operators.nearest import neighbourhood_median
 from hearthspan.session import checkpointed
+from hearthspan.sources.tables import has_column
 
 SALE_ORDER = ["sale_date", "tie1", "tie2", "tie3", "price"]
 RESIDENTIAL = ("D", "S", "T", "F")
@@ -30,9 +31,15 @@ def not_b(category: Column) -> Column:
     return F.coalesce(category != "B", F.lit(True))
 
 
+def since(sales: DataFrame, cut: Column) -> DataFrame:
+    """Sales from the date `cut` on; a ledger that is partitioned by year reads only the years that can hold them."""
+    rows = sales.where(F.col("sale_date") >= cut)
+    return rows.where(F.col("sale_year") >= F.year(cut)) if has_column(sales, "sale_year") else rows
+
+
 def in_years(sales: DataFrame, as_of: str, years: int) -> DataFrame:
     """Rows no older than `years` x 365 days before `as_of`."""
-    return sales.where(F.col("sale_date") >= F.date_sub(day(as_of), years * 365))
+    return since(sales, F.date_sub(day(as_of), years * 365))
 
 
 def scan_sales(sales: DataFrame, as_of: str, years: int, types=RESIDENTIAL) -> DataFrame:
@@ -269,49 +276,63 @@ def cohort_ladder(pairs: DataFrame, subjects: DataFrame, near: DataFrame, least:
 TYPE_NAMES = {"F": "Flat", "T": "Terraced", "S": "Semi-detached", "D": "Detached", "O": "Other"}
 
 
-def comparables(sales: DataFrame, subjects: DataFrame, as_of: str, k: int = 10) -> DataFrame:
-    """k newest standard same-outcode sales per subject, same postcode first, filtered before the cut.
+NEWEST_FIRST = ["sale_date", "price", "tie1", "tie2", "tie3"]
 
-    subjects: subject_id, postcode, outcode, type_codes (array or NULL = any type). Candidates are
-    cut to k per (outcode, type) and per (postcode, type) before they meet the subjects, so a hot
-    outcode contributes a bounded number of rows per subject.
+
+def nearby_sales(sales: DataFrame, subjects: DataFrame, as_of: str, k: int, category: str) -> DataFrame:
+    """Sales of a category in a subject's outcode over three years: far (0 in its own postcode), hit (of its types) and the sale.
+
+    subjects: subject_id, postcode, outcode, type_codes (array or NULL = any type). Candidates are cut to k per (postcode, type)
+    and 2k per (outcode, type) before they meet the subjects, so a hot outcode contributes a bounded number of rows to each.
     """
-    recent = sales.where(F.col("sale_date") >= F.add_months(day(as_of), -36)).where(F.col("category") == "A")
-    newest_first = [F.desc("sale_date"), "price", "tie1", "tie2", "tie3"]
-    cols = ["price", "sale_date", "property_type", "outcode", "postcode", "tie1", "tie2", "tie3"]
-    by_unit = first_k(recent.select(*cols), ["postcode", "property_type"], newest_first, k, "_r").drop("_r")
+    recent = since(sales, F.add_months(day(as_of), -36)).where(F.col("category") == category)
+    order = [F.desc("sale_date"), *NEWEST_FIRST[1:]]
+    by_unit = checkpointed(first_k(recent.select(*NEWEST_FIRST, "property_type", "outcode", "postcode"), ["postcode", "property_type"], order, k, "_r").drop("_r"))
     # Each unit holds at most k rows here, so leaving out one unit from the 2k newest of an
     # outcode still leaves its k newest.
-    by_area = first_k(by_unit, ["outcode", "property_type"], newest_first, 2 * k, "_r").drop("_r")
-    pool = by_unit.withColumn("own", F.lit(1)).unionByName(by_area.withColumn("own", F.lit(0)))
+    by_area = first_k(by_unit, ["outcode", "property_type"], order, 2 * k, "_r").drop("_r")
     s = subjects.select("subject_id", F.col("postcode").alias("s_postcode"), F.col("outcode").alias("s_outcode"), "type_codes")
-    near = pool.where("own = 1").join(s, F.col("postcode") == F.col("s_postcode")).withColumn("far", F.lit(0))
-    wide = pool.where("own = 0").join(s, (F.col("outcode") == F.col("s_outcode")) & (F.col("postcode") != F.col("s_postcode"))).withColumn("far", F.lit(1))
-    both = near.unionByName(wide)
+    near = by_unit.join(s, F.col("postcode") == F.col("s_postcode")).withColumn("far", F.lit(0))
+    wide = by_area.join(s, (F.col("outcode") == F.col("s_outcode")) & (F.col("postcode") != F.col("s_postcode"))).withColumn("far", F.lit(1))
     wanted = F.col("type_codes").isNull() | F.array_contains("type_codes", F.col("property_type"))
-    both = both.withColumn("hit", wanted.cast("int"))
-    any_hit = both.groupBy("subject_id").agg(F.max("hit").alias("any_hit"))
-    both = both.join(any_hit, "subject_id").where(F.col("hit") == F.col("any_hit"))
-    return first_k(both, ["subject_id"], ["far", *newest_first], k)
+    return near.unionByName(wide).withColumn("hit", wanted.cast("int"))
+
 
+def comparables(sales: DataFrame, subjects: DataFrame, as_of: str, k: int = 10) -> DataFrame:
+    """k newest standard same-outcode sales per subject, same postcode first, filtered before the cut; all types where none of its own sold."""
+    both = nearby_sales(sales, subjects, as_of, k, "A")
+    # a subject meets a bounded number of sales, so a window over them is one too
+    both = both.withColumn("any_hit", F.max("hit").over(Window.partitionBy("subject_id"))).where(F.col("hit") == F.col("any_hit"))
+    return first_k(both, ["subject_id"], ["far", F.desc("sale_date"), *NEWEST_FIRST[1:]], k)
+
+
+def comparable_report(sales: DataFrame, subjects: DataFrame, as_of: str, k: int = 10, examples: int = 3) -> DataFrame:
+    """Count, median and range of each subject's comparables; B sales of the same scope are counted and named, never in the figures.
 
-def comparable_report(sales: DataFrame, subjects: DataFrame, as_of: str, k: int = 10) -> DataFrame:
-    """Count, median and range of each subject's comparables, and the B sales left out."""
+    scope: `typed`, `widened` (no standard sale of its types) or `all`; basis: `standard`, `only_b` (B sales alone: no median) or `none`.
+    """
     comps = comparables(sales, subjects, as_of, k)
     # at most k rows per subject, so the built-in median holds a bounded group
-    stats = comps.groupBy("subject_id").agg(
+    stats = checkpointed(comps.groupBy("subject_id").agg(
         F.count(F.lit(1)).alias("n"), F.floor(F.median("price")).alias("median_price"),
         F.min("price").alias("low"), F.max("price").alias("high"), F.max("any_hit").alias("typed"),
-    )
-    recent_b = sales.where((F.col("sale_date") >= F.add_months(day(as_of), -36)) & (F.col("category") == "B"))
+    ))
+    typed = F.coalesce("typed", F.lit(0))
+    b = nearby_sales(sales, subjects, as_of, examples, "B").join(stats.select("subject_id", "typed"), "subject_id", "left").where(F.col("hit") >= typed)
+    b = first_k(b, ["subject_id"], ["far", F.desc("sale_date"), *NEWEST_FIRST[1:]], examples)
+    named = F.concat(F.col("price").cast("string"), F.lit("@"), F.date_format("sale_date", "yyyy-MM-dd"))
+    b = b.groupBy("subject_id").agg(F.sort_array(F.collect_list(F.struct("rank", named.alias("text")))).alias("_b"))
+    b = b.select("subject_id", F.array_join(F.transform("_b", lambda x: x["text"]), "|").alias("b_examples"))
+    recent_b = since(sales, F.add_months(day(as_of), -36)).where(F.col("category") == "B")
     b_counts = recent_b.groupBy("outcode", "property_type").agg(F.count(F.lit(1)).alias("b_n"))
     s = subjects.join(stats, "subject_id", "left").join(b_counts, "outcode", "left")
-    used = F.col("type_codes").isNull() | (F.coalesce("typed", F.lit(0)) == 0) | F.array_contains("type_codes", F.col("property_type"))
-    out = s.groupBy("subject_id", "asking_price", "n", "median_price", "low", "high", "typed").agg(
+    used = F.col("type_codes").isNull() | (typed == 0) | F.array_contains("type_codes", F.col("property_type"))
+    scope = F.when(F.col("type_codes").isNull(), "all").when(typed == 1, "typed").otherwise("widened")
+    out = s.groupBy("subject_id", "asking_price", scope.alias("scope"), F.coalesce("n", F.lit(0)).alias("n"), "median_price", "low", "high").agg(
         F.coalesce(F.sum(F.when(used, F.col("b_n"))), F.lit(0)).alias("b_count")
     )
-    return out.select(
-        "subject_id", F.coalesce("n", F.lit(0)).alias("n"), "median_price", "low", "high", "b_count",
+    return out.join(b, "subject_id", "left").select(
+        "subject_id", "scope", F.when(F.col("n") > 0, "standard").when(F.col("b_count") > 0, "only_b").otherwise("none").alias("basis"), "n", "median_price", "low", "high", "b_count", "b_examples",
         F.round((F.col("asking_price") - F.col("median_price")) / F.col("median_price") * 100, 4).alias("asking_vs_median_pct"),
     )
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.ml import Pipeline
+from pyspark import inheritable_thread_target
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from hearthspan.functions.rank import group_quantiles, with_previous
 from hearthspan.operators.nearest import weighted_quantiles
 from hearthspan.operators.sales import DAYS_PER_YEAR, SALE_ORDER, not_b
+from hearthspan.session import checkpointed
+
+ROWS_PER_PART, FITS_AT_ONCE = 50_000, 8
 
 # Hard caps of area (sq ft) and price, and the floor against the group median.
 AREA_CAPS, PRICE_CAPS, FLOOR = (160, 10_764), (20_000, 10_000_000), 0.5
@@ -63,39 +67,82 @@ GROUPS = {
 }
 
 
-def features(rows: DataFrame, groups=tuple(GROUPS)) -> DataFrame:
-    """One-hot segment, interactions and the vector of the enabled groups."""
+def feature_columns(rows: DataFrame) -> DataFrame:
+    """One-hot segment, interactions and the label: every column that a group may ask for."""
     flat = (F.col("segment") == "flat").cast("int")
     d = rows.withColumn("is_flat", flat).withColumn("is_house", 1 - F.col("is_flat"))
-    d = d.withColumn("beds_flat", F.col("bedrooms") * F.col("is_flat")).withColumn("beds_house", F.col("bedrooms") * F.col("is_house"))
-    cols = [c for g in groups for c in GROUPS[g]]
-    return VectorAssembler(inputCols=cols, outputCol="features").transform(d.withColumn("label", F.log("price")))
+    return d.withColumn("beds_flat", F.col("bedrooms") * F.col("is_flat")).withColumn("beds_house", F.col("bedrooms") * F.col("is_house")).withColumn("label", F.log("price"))
+
+
+def assembled(rows: DataFrame, groups=tuple(GROUPS)) -> DataFrame:
+    """The vector of the enabled groups."""
+    return VectorAssembler(inputCols=[c for g in groups for c in GROUPS[g]], outputCol="features").transform(rows.drop("features"))
+
+
+def features(rows: DataFrame, groups=tuple(GROUPS)) -> DataFrame:
+    """Feature columns and the vector of the enabled groups."""
+    return assembled(feature_columns(rows), groups)
+
+
+def training_rows(sales: DataFrame, per_part: int = ROWS_PER_PART) -> DataFrame:
+    """Feature columns of the pool, written once: every fit, fold and variant reads them again.
+
+    Parts follow the rows. A boosted model runs a few short jobs a tree, so small data in many parts would only wait.
+    """
+    rows = checkpointed(feature_columns(pool(sales)))
+    parts = -(-rows.count() // per_part)
+    return checkpointed(rows.repartition(parts)) if parts < rows.rdd.getNumPartitions() else rows
 
 
 def booster(trees: int = 400, depth: int = 4, seed: int = 42) -> GBTRegressor:
     return GBTRegressor(maxIter=trees, maxDepth=depth, stepSize=0.05, subsamplingRate=0.8, seed=seed)
 
 
+def predicted(model, rows: DataFrame) -> DataFrame:
+    return model.transform(rows).withColumn("pred", F.exp("prediction"))
+
+
 def fit_predict(train: DataFrame, test: DataFrame, trees: int) -> DataFrame:
-    model = Pipeline(stages=[booster(trees)]).fit(train)
-    return model.transform(test).withColumn("pred", F.exp("prediction"))
+    return predicted(booster(trees).fit(train), test)
+
+
+def fit_all(pairs: list[tuple[DataFrame, DataFrame]], trees: int, at_once: int = FITS_AT_ONCE) -> list[DataFrame]:
+    """(train, test) pairs -> predictions of the tests, `at_once` models being fitted at the same time.
+
+    Trees of one model come one after the other and leave most executors idle between their jobs; models do not wait for each
+    other, so folds and variants share the cluster from as many threads of the driver, which only hands out jobs.
+    """
+    if not pairs:
+        return []
+    one = inheritable_thread_target(pairs[0][0].sparkSession)(lambda pair: fit_predict(*pair, trees))
+    with ThreadPool(min(at_once, len(pairs))) as threads:
+        return threads.map(one, pairs, chunksize=1)
 
 
 def group_folds(rows: DataFrame, trees: int, folds: int = 5, test_year: int = 2020) -> DataFrame:
     """Folds by property: a property's sales never train and test together; tests are sales from `test_year` on."""
     d = rows.withColumn("fold", F.pmod(F.xxhash64("address_key"), F.lit(folds)))
-    outs = [fit_predict(d.where(F.col("fold") != f), d.where((F.col("fold") == f) & (F.col("year_sold") >= test_year)), trees) for f in range(folds)]
-    return reduce(DataFrame.unionByName, outs)
+    pairs = [(d.where(F.col("fold") != f), d.where((F.col("fold") == f) & (F.col("year_sold") >= test_year))) for f in range(folds)]
+    return reduce(DataFrame.unionByName, fit_all(pairs, trees))
 
 
 def walk_forward(rows: DataFrame, years: list[int], trees: int, least_test: int = 20, least_train: int = 500) -> DataFrame:
-    """For each year train on what was sold before it and test on it; thin years are left out by counts."""
+    """For each year train on what was sold before it and test on it; thin years are left out by counts. Without a year left, no rows."""
     counts = {r["year_sold"]: r["count"] for r in rows.groupBy("year_sold").count().collect()}
-    outs = []
-    for y in years:
-        if counts.get(y, 0) >= least_test and sum(c for z, c in counts.items() if z < y) >= least_train:
-            outs.append(fit_predict(rows.where(F.col("year_sold") < y), rows.where(F.col("year_sold") == y), trees))
-    return reduce(DataFrame.unionByName, outs)
+    fit = [y for y in years if counts.get(y, 0) >= least_test and sum(c for z, c in counts.items() if z < y) >= least_train]
+    outs = fit_all([(rows.where(F.col("year_sold") < y), rows.where(F.col("year_sold") == y)) for y in fit], trees)
+    return reduce(DataFrame.unionByName, outs) if outs else rows.where("false").withColumn("prediction", F.lit(0.0)).withColumn("pred", F.lit(0.0))
+
+
+def ablation(rows: DataFrame, trees: int, test_year: int = 2021, base: str = "base") -> DataFrame:
+    """Errors of the model with all groups, the base alone, the base and each group, and all without each group; a row a variant."""
+    more = [g for g in GROUPS if g != base]
+    variants = {"all": tuple(GROUPS), base: (base,)} | {f"{base} and {g}": (base, g) for g in more} | {f"without {g}": tuple(x for x in GROUPS if x != g) for g in GROUPS}
+    early, late = F.col("year_sold") < test_year, F.col("year_sold") >= test_year
+    own = [assembled(rows, groups) for groups in variants.values()]
+    found = fit_all([(d.where(early), d.where(late)) for d in own], trees)
+    preds = reduce(DataFrame.unionByName, [p.select("price", "pred", F.lit(v).alias("variant")) for v, p in zip(variants, found)])
+    return error_metrics(preds, ["variant"])
 
 
 def error_metrics(preds: DataFrame, keys: list[str], actual: str = "price", pred: str = "pred") -> DataFrame:
@@ -117,7 +164,7 @@ def bias_corrected(preds: DataFrame, actual: str = "price", pred: str = "pred")
 
 def contributions(rows: DataFrame, train: DataFrame, trees: int, neutral: dict[str, dict[str, float]]) -> DataFrame:
     """Change of the prediction when one feature group is set to neutral values; all variants scored in one pass."""
-    model = Pipeline(stages=[booster(trees)]).fit(train)
+    model = booster(trees).fit(train)
     plain = rows.drop("features", "label")
     variants = plain.withColumn("variant", F.explode(F.array(F.lit("none"), *[F.lit(v) for v in neutral])))
     for name, values in neutral.items():

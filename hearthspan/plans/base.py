@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hearthspan.sources import derived
+from hearthspan.sources import derived, written
 from hearthspan.sources.tables import table
 
 
@@ -24,7 +24,10 @@ class Inputs:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return derived.build(self.spark, self.root, name)
+        if name in written.LAYOUT:
+            return written.written(self.spark, self.root, name)
+        held = {n: written.written(self.spark, self.root, n) for n in derived.needs(name) if n in written.LAYOUT}
+        return derived.build(self.spark, self.root, name, held)
 
 
 PLANS: dict[str, Callable[[Inputs], DataFrame]] = {}

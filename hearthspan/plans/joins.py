@@ -97,7 +97,7 @@ def _(i):
 
 def pool(i, since="2019-01-01"):
     spot = i.coords.select(F.col("spaced").alias("postcode"), F.col("latitude").alias("r_lat"), F.col("longitude").alias("r_lon"))
-    rows = i.sales.where((F.col("sale_date") >= F.lit(since).cast("date")) & sale_op.not_b(F.col("category")) & (F.col("property_type") != "O"))
+    rows = sale_op.since(i.sales, F.lit(since).cast("date")).where(sale_op.not_b(F.col("category")) & (F.col("property_type") != "O"))
     seg = F.when(F.col("property_type") == "F", "flat").otherwise("house")
     return rows.join(spot, "postcode").select("address_key", F.col("postcode").alias("place"), "r_lat", "r_lon", seg.alias("segment"), F.col("bedrooms").alias("beds"), "sale_date", "price",
                                               F.col("floor_area_sqft").alias("area"), "tie1", "tie2", "tie3")
@@ -152,7 +152,7 @@ def _(i):
     # year-long buckets make the range an equi-join: 730 days touch at most three
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1990-01-01").cast("date")) / 365)
     days = i.sales.select("street", "outcode", F.col("sale_date").alias("p_date")).distinct().withColumn("b", bucket("p_date"))
-    asked = i.sales.where("sale_date >= DATE'2021-06-01'").select("street", "outcode", "sale_date").distinct()
+    asked = sale_op.since(i.sales, sale_op.day("2021-06-01")).select("street", "outcode", "sale_date").distinct()
     a = asked.withColumn("b", F.explode(F.sequence(bucket(F.date_sub("sale_date", 730)), bucket("sale_date"))))
     j = a.join(days, ["street", "outcode", "b"]).where((F.col("p_date") < F.col("sale_date")) & (F.col("p_date") >= F.date_sub("sale_date", 730)))
     near = j.select(day("sale_date").alias("subject"), day("p_date").alias("place"))

@@ -319,8 +319,10 @@ def subjects(i):
   f AS (SELECT *, coalesce(max(CASE WHEN category = 'A' THEN hit END) OVER (PARTITION BY subject_id), 0) AS any_hit FROM c),
   r AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY far, sale_date DESC, price, tie1, tie2, tie3) AS rank FROM f WHERE hit >= any_hit AND category = 'A'),
   st AS (SELECT subject_id, count(*) AS n, floor(median(price))::BIGINT AS median_price, min(price) AS low, max(price) AS high FROM r WHERE rank <= 10 GROUP BY subject_id),
-  b AS (SELECT subject_id, count(*) AS b_count FROM f WHERE category = 'B' AND hit >= any_hit GROUP BY subject_id)
-  SELECT j.subject_id, coalesce(n, 0) AS n, median_price, low, high, coalesce(b_count, 0) AS b_count, round((asking_price - median_price) * 1.0 / median_price * 100, 4) AS asking_vs_median_pct
+  x AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY far, sale_date DESC, price, tie1, tie2, tie3) AS rank FROM f WHERE hit >= any_hit AND category = 'B'),
+  b AS (SELECT subject_id, count(*) AS b_count, string_agg(price || '@' || strftime(sale_date, '%Y-%m-%d'), '|' ORDER BY rank) FILTER (WHERE rank <= 3) AS b_examples FROM x GROUP BY subject_id)
+  SELECT j.subject_id, CASE WHEN codes IS NULL THEN 'all' WHEN coalesce((SELECT max(any_hit) FROM r WHERE r.subject_id = j.subject_id), 0) = 1 THEN 'typed' ELSE 'widened' END AS scope,
+   CASE WHEN n > 0 THEN 'standard' WHEN b_count > 0 THEN 'only_b' ELSE 'none' END AS basis, coalesce(n, 0) AS n, median_price, low, high, coalesce(b_count, 0) AS b_count, b_examples, round((asking_price - median_price) * 1.0 / median_price * 100, 4) AS asking_vs_median_pct
   FROM subj j LEFT JOIN st USING (subject_id) LEFT JOIN b USING (subject_id)""", "sales listings")
 def _(i):
     return op.comparable_report(i.sales, subjects(i), AS_OF, 10)

@@ -1,10 +1,7 @@
 """Valuation and vector queries."""
 
-from functools import reduce
-
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthspan.functions.rank import group_quantiles
@@ -13,7 +10,6 @@ from hearthspan.operators import vectors as vec
 from hearthspan.plans.base import query
 from hearthspan.plans.joins import KM_SQL, POOL_SQL, knn_sql, listing_subjects, pool
 from hearthspan.plans.sales import iso
-from hearthspan.session import checkpointed
 
 TREES = 400  # as the reference
 
@@ -73,43 +69,31 @@ def _(i):
     return g
 
 
-def training(i, groups=tuple(op.GROUPS)):
-    """Training rows, written once because every fit and every fold reads them again."""
-    return checkpointed(op.features(op.pool(i.sales), groups))
-
-
 @query("valuation_gbt")
 def _(i):
     # rows only: fitted trees
-    d = training(i)
+    d = op.assembled(op.training_rows(i.sales))
     return op.fit_predict(d.where("year_sold < 2021"), d.where("year_sold >= 2021"), TREES).select("address_key", "price", F.round("pred", 2).alias("pred"))
 
 
 @query("eval_group_kfold")
 def _(i):
-    return op.error_metrics(op.group_folds(training(i), TREES), ["fold"])
+    return op.error_metrics(op.group_folds(op.assembled(op.training_rows(i.sales)), TREES), ["fold"])
 
 
 @query("eval_walk_forward")
 def _(i):
-    return op.error_metrics(op.walk_forward(training(i), list(range(2016, 2023)), TREES), ["year_sold"])
+    return op.error_metrics(op.walk_forward(op.assembled(op.training_rows(i.sales)), list(range(2016, 2023)), TREES), ["year_sold"])
 
 
 @query("eval_ablation")
 def _(i):
-    more = [g for g in op.GROUPS if g != "base"]
-    variants = {"all": tuple(op.GROUPS), "base": ("base",)}
-    variants |= {f"base and {g}": ("base", g) for g in more} | {f"without {g}": tuple(x for x in op.GROUPS if x != g) for g in op.GROUPS}
-    outs = []
-    for label, groups in variants.items():
-        d = training(i, groups)
-        outs.append(op.error_metrics(op.fit_predict(d.where("year_sold < 2021"), d.where("year_sold >= 2021"), TREES), []).withColumn("variant", F.lit(label)))
-    return reduce(DataFrame.unionByName, outs)
+    return op.ablation(op.training_rows(i.sales), TREES)
 
 
 @query("counterfactual_contrib")
 def _(i):
-    d = training(i)
+    d = op.assembled(op.training_rows(i.sales))
     neutral = {"tenure": {"is_leasehold": 0, "new": 0}, "repeat": {"has_prev": 0, "prev_log_price": 0.0, "years_since_prev": -1.0, "prev_log_ppsf": 0.0}}
     return op.contributions(d.where("year_sold >= 2022"), d.where("year_sold < 2022"), TREES, neutral).groupBy("variant").agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean_delta"))
 

@@ -35,7 +35,8 @@ SELECT k AS address_key, DATE '1995-01-01' + CAST(4 * d AS INT) AS sale_date,
   CASE k % 6 WHEN 0 THEN 'ELM ROAD' WHEN 1 THEN 'MILL LANE' WHEN 2 THEN 'HIGH STREET' WHEN 3 THEN 'PARK AVENUE'
        WHEN 4 THEN 'STATION WAY' ELSE 'QUEENS DRIVE' END AS street,
   CAST(400 + (k * 37) % 1400 AS BIGINT) AS floor_area_sqft, CAST(p_size % 5 + 1 AS BIGINT) AS bedrooms,
-  l_orderkey AS tie1, CAST(l_linenumber AS BIGINT) AS tie2, l_suppkey AS tie3
+  l_orderkey AS tie1, CAST(l_linenumber AS BIGINT) AS tie2, l_suppkey AS tie3,
+  CAST(year(DATE '1995-01-01' + CAST(4 * d AS INT)) AS INT) AS sale_year
 FROM (SELECT l.*, p.p_size, l.l_partkey AS k, @day(l_shipdate) AS d
       FROM {{lineitem}} l JOIN {{part}} p ON l.l_partkey = p.p_partkey) x
 """
@@ -339,13 +340,24 @@ def _duck_text(name: str) -> str:
     return re.sub(r"@secs\((\w+)\)", r"CAST(floor(epoch(\1)) AS BIGINT)", text)
 
 
-def build(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """One derived input as a lazy DataFrame."""
+def build(spark: SparkSession, root: str, name: str, held: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One derived input as a lazy DataFrame; `held` has inputs that are there already."""
     if name not in DEFS:
         raise AttributeError(name)
+    held = held or {}
     *needs, last = _closure([name])
-    head = ", ".join(f"{n} AS ({_spark_text(n, root)})" for n in needs)
-    return spark.sql((f"WITH {head} " if head else "") + _spark_text(last, root))
+    head = ", ".join(f"{n} AS (SELECT * FROM {{{n}}})" if n in held else f"{n} AS ({_escaped(_spark_text(n, root))})" for n in needs)
+    return spark.sql((f"WITH {head} " if head else "") + _escaped(_spark_text(last, root)), **{n: held[n] for n in needs if n in held})
+
+
+def needs(name: str) -> tuple[str, ...]:
+    """The other inputs that an input is made from."""
+    return tuple(_closure([name])[:-1]) if name in DEFS else ()
+
+
+def _escaped(text: str) -> str:
+    """Braces doubled: spark.sql fills in what stands between single ones."""
+    return text.replace("{", "{{").replace("}", "}}")
 
 
 def with_clause(names, body: str) -> str:
