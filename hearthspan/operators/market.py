@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hearthspan.functions.rank import group_quantiles, newest
+from hearthspan.functions.rank import group_quantiles, newest, value_slab
 from hearthspan.operators.sales import day, growth_columns, growth_parts, is_standard, repeat_sales, since
 from hearthspan.session import checkpointed
 
@@ -256,3 +256,39 @@ def yield_by_bed(sales: DataFrame, rents: DataFrame, costs: float = 0.25) -> Dat
     return price.join(rent, ["outcode", "bedrooms"]).select(
         "outcode", "bedrooms", F.round("rent", 4).alias("rent"), F.round(gross, 4).alias("gross_pct"), F.round(gross * (1 - costs), 4).alias("net_pct"), "rent_n"
     )
+
+
+def dominated_counts(calls: DataFrame, stock: DataFrame) -> DataFrame:
+    """(call_id, found): how many rows of the stock a call's outcode has at or under its price_max and with its beds_min or more.
+
+    calls(call_id, outcode, price_max, beds_min); stock(outcode, asking_price, bedrooms). For each floor that is asked for, stock
+    and calls stand in one line by price and a running sum gives every call its number; the line is cut into price slabs, so
+    the work is that of the calls and the stock, and no outcode is ordered in one task.
+    """
+    asked = calls.agg(F.collect_set("beds_min").alias("floors"))  # one row, as many numbers as there are different floors
+    tally = stock.where("asking_price IS NOT NULL").groupBy("outcode", "asking_price", "bedrooms").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(asked))
+    held = tally.select("outcode", F.explode(F.filter("floors", lambda f: f <= F.col("bedrooms"))).alias("floor"), F.col("asking_price").alias("price"), "n", F.lit(0).alias("asks"), F.lit(None).cast(dict(calls.dtypes)["call_id"]).alias("call_id"))
+    line = held.unionByName(calls.select("outcode", F.col("beds_min").alias("floor"), F.col("price_max").alias("price"), F.lit(0).cast("long").alias("n"), F.lit(1).alias("asks"), "call_id"))
+    line = line.withColumn("slab", value_slab(F.col("price")))
+    keys = ["outcode", "floor"]
+    slabs = line.groupBy(*keys, "slab").agg(F.sum("n").alias("held"))
+    slabs = slabs.select(*keys, "slab", (F.sum("held").over(W.partitionBy(*keys).orderBy("slab")) - F.col("held")).alias("base"))
+    inside = F.sum("n").over(W.partitionBy(*keys, "slab").orderBy("price", "asks"))
+    return line.withColumn("inside", inside).where("asks = 1").join(slabs, [*keys, "slab"]).select("call_id", (F.col("base") + F.col("inside")).alias("found"))
+
+
+def tag_supersets(needs: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(query, anchor) pairs whose anchor holds all tags of one of the query's requirement sets; no pair twice.
+
+    needs(query, req array<string>); anchors(anchor, tags array<string>). Equal requirement sets are searched once, their
+    candidates are the anchors of their rarest tag, and the other tags are only checked: a tag that half of all anchors carry
+    brings up candidates only where nothing rarer is asked for. A set without tags is met by none.
+    """
+    needs = needs.select("query", F.array_sort(F.array_distinct("req")).alias("req")).where(F.size("req") > 0)
+    tagged = anchors.select("anchor", F.array_distinct("tags").alias("tags"), F.explode(F.array_distinct("tags")).alias("tag"))
+    often = tagged.groupBy("tag").agg(F.count(F.lit(1)).alias("often"))
+    sets = needs.select("req").distinct()
+    # a tag that no anchor has is the rarest of all: the join leaves its set without candidates
+    rarest = sets.select("req", F.explode("req").alias("tag")).join(often, "tag", "left").groupBy("req").agg(F.min_by("tag", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "tag")).alias("tag"))
+    met = rarest.join(tagged, "tag").where(F.size(F.array_except("req", "tags")) == 0).select("req", "anchor")
+    return needs.join(met, "req").select("query", "anchor").distinct()

@@ -228,17 +228,20 @@ def north_gate(present: Column, spread: Column, prob: Column, tau: float = 10.0,
 
 
 def circular_combine(readings: DataFrame, key: str, angle: str, tol: float = 15.0) -> DataFrame:
-    """Circular mean per property, only when all readings lie within `tol` of each other.
+    """Circular mean per property, only when all readings lie within `tol` degrees (1 at least) of each other.
 
-    The widest pair follows from the readings on whole degrees, of which there are at most 360: if the
-    largest gap between neighbours on the circle is at least 360 - tol, all lie in one arc of tol.
+    Readings are tallied by whole degree, with the least and greatest of each: at most 360 rows a property, however many
+    different angles it has. If the largest gap between filled degrees is at least 360 - tol, all lie in one arc of tol.
     """
     a = F.pmod(F.col(angle), F.lit(360.0))
-    rows = readings.groupBy(key, a.alias("_a")).agg(F.count(F.lit(1)).alias("_c"))
-    g = rows.groupBy(key).agg(F.sum("_c").alias("n"), F.sum(F.sin(F.radians("_a")) * F.col("_c")).alias("s"), F.sum(F.cos(F.radians("_a")) * F.col("_c")).alias("c"), F.array_sort(F.collect_set("_a")).alias("at"))
+    cells = readings.where(F.col(angle).isNotNull()).groupBy(key, F.floor(a).alias("_cell")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min(a).alias("lo"), F.max(a).alias("hi"), F.sum(F.sin(F.radians(a))).alias("_s"), F.sum(F.cos(F.radians(a))).alias("_o"))
+    g = cells.groupBy(key).agg(F.sum("_c").alias("n"), F.sum("_s").alias("s"), F.sum("_o").alias("c"), F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("at"))
     k = F.size("at")
-    gaps = F.transform(F.sequence(F.lit(1), k), lambda i: F.when(i < k, F.element_at("at", F.least(i + 1, k)) - F.element_at("at", i)).otherwise(F.element_at("at", 1) + 360 - F.element_at("at", k)))
-    tight = F.when(k == 1, True).otherwise(F.array_max(gaps) >= 360 - tol)
+    over = lambda i: F.element_at("at", F.least(i + 1, k))["lo"] - F.element_at("at", i)["hi"]
+    around = F.element_at("at", 1)["lo"] + 360 - F.element_at("at", k)["hi"]
+    gap = F.array_max(F.transform(F.sequence(F.lit(1), k), lambda i: F.when(i < k, over(i)).otherwise(around)))
+    tight = (k == 1) | (gap >= 360 - tol)
     mean = F.pmod(F.degrees(F.atan2("s", "c")), F.lit(360.0))
     return g.select(key, "n", F.when(tight, mean).alias("mean"), tight.cast("int").alias("emitted"))
 

@@ -177,25 +177,25 @@ def contributions(rows: DataFrame, train: DataFrame, trees: int, neutral: dict[s
     return scored.where("variant <> 'none'").join(base, key).select(*key, "variant", (F.col("base") - F.col("pred")).alias("delta"))
 
 
-def knn_estimate(neighbours: DataFrame, rates: DataFrame | None, as_of, k: int = 20, local: int = 50, tau: float = 4.0, floor: float = FLOOR) -> DataFrame:
-    """Weighted quarter, half and three-quarter points of time-adjusted price per area of k nearest sales.
+def knn_estimate(neighbours: DataFrame, rates: DataFrame, as_of, k: int = 20, local: int = 50, tau: float = 4.0, floor: float = FLOOR, least: int = 5) -> DataFrame:
+    """Weighted quarter, half and three-quarter points of time-adjusted price per area of the k nearest sales.
 
-    neighbours: knn_sales rows with subject, s_area, rank, km, c_price, c_area, c_date and the reference date
-    in `as_of`. The `local` nearest give the median under half of which a comparable is dropped.
+    neighbours: knn_sales rows with subject, place, area, rank, km, c_price, c_area, c_date and the reference date in `as_of`.
+    rates(place, rate): yearly growth in percent around the subject's place; without one a price stays as it was. The `local`
+    nearest give the median, as sold, under half of which a comparable is dropped. A subject with fewer than `least` neighbours
+    has their number and no estimate; one of which all were dropped has none used.
     """
-    n = neighbours.withColumn("raw", F.col("c_price") / F.col("c_area"))
-    mid = group_quantiles(n.where(F.col("rank") <= local), ["subject"], "raw", {"m": "upper"}, count="m_n")
-    n = n.where(F.col("rank") <= k).join(mid, "subject")
-    if rates is not None:
-        n = n.join(rates, "place", "left")
-    else:
-        n = n.withColumn("rate", F.lit(None).cast("double"))
-    years = F.greatest(F.lit(0.0), F.datediff(as_of, "c_date") / F.lit(DAYS_PER_YEAR))
-    n = n.withColumn("ppsf", F.col("raw") * F.pow(1 + F.coalesce("rate", F.lit(0.0)) / 100, F.datediff(as_of, "c_date") / F.lit(DAYS_PER_YEAR)))
+    raw = neighbours.withColumn("raw", F.col("c_price") / F.col("c_area"))
+    mid = group_quantiles(raw.where(F.col("rank") <= local), ["subject"], "raw", {"m": "upper"}, count="m_n")
+    n = raw.where(F.col("rank") <= k).join(mid, "subject").join(rates, "place", "left")
+    years = F.datediff(as_of, "c_date") / F.lit(DAYS_PER_YEAR)
+    n = n.withColumn("ppsf", F.col("raw") * F.pow(1 + F.coalesce("rate", F.lit(0.0)) / 100, years))
     low = F.when(F.col("m_n") >= 10, F.col("m") * floor).otherwise(0.0)
     n = n.where((F.col("ppsf") > 0) & (F.col("ppsf") <= 50000) & (F.col("ppsf") >= low))
-    n = n.withColumn("w", 1 / (F.col("km") / 1.609344 + 0.05) * F.exp(-years / tau))
-    q = weighted_quantiles(n, "subject", "ppsf", "w")
-    sizes = n.groupBy("subject").agg(F.max("area").alias("area"), F.count(F.lit(1)).alias("used"))
-    est = lambda c: F.floor(F.col(c) * F.col("area"))
-    return q.join(sizes, "subject").select("subject", "used", est("q25").alias("low"), est("q50").alias("mid"), est("q75").alias("high"))
+    n = n.withColumn("w", 1 / (F.col("km") / 1.609344 + 0.05) * F.exp(-F.greatest(F.lit(0.0), years) / tau))
+    q = weighted_quantiles(n, "subject", "ppsf", "w").join(n.groupBy("subject").agg(F.count(F.lit(1)).alias("used")), "subject")
+    found = neighbours.groupBy("subject").agg(F.count(F.lit(1)).alias("found"), F.max("area").alias("area"))
+    enough = F.col("found") >= least
+    est = lambda c: F.when(enough, F.floor(F.col(c) * F.col("area")))
+    used = F.when(enough, F.coalesce("used", F.lit(0))).otherwise(F.col("found")).cast("long")
+    return found.join(q, "subject", "left").select("subject", used.alias("used"), est("q25").alias("low"), est("q50").alias("mid"), est("q75").alias("high"))

@@ -7,6 +7,7 @@ from hearthspan.functions import labels
 from hearthspan.functions.rank import first_k, newest
 from hearthspan.operators import nearest as op
 from hearthspan.operators import sales as sale_op
+from hearthspan.operators.market import active_canonical, dominated_counts, tag_supersets
 from hearthspan.operators.spatial import within_box
 from hearthspan.plans.base import query
 from hearthspan.plans.sales import RESALE
@@ -80,7 +81,7 @@ def pair_rates(i):
 
 
 _BOX = 0.4 / 69.0
-_RADIUS_SQL = f"""rate AS (SELECT postcode, v FROM (SELECT postcode, (pow(last_price * 1.0 / first_price, 1 / hold_years) - 1) * 100 AS v FROM rp WHERE last_date > DATE '2018-12-31' AND hold_years >= 0.5) x WHERE v > -20 AND v < 30),
+RADIUS_SQL = f"""rate AS (SELECT postcode, v FROM (SELECT postcode, (pow(last_price * 1.0 / first_price, 1 / hold_years) - 1) * 100 AS v FROM rp WHERE last_date > DATE '2018-12-31' AND hold_years >= 0.5) x WHERE v > -20 AND v < 30),
  rc AS (SELECT s.spaced AS subject, r.v, row_number() OVER (PARTITION BY s.spaced ORDER BY r.v) AS k, count(*) OVER (PARTITION BY s.spaced) AS n FROM coords s JOIN coords c ON abs(s.latitude - c.latitude) <= {_BOX} AND abs(s.longitude - c.longitude) <= {_BOX * 1.6} JOIN rate r ON r.postcode = c.spaced)"""
 
 
@@ -90,7 +91,7 @@ def area_rates(i):
     return op.neighbourhood_upper_median(pair_rates(i), near, 30)
 
 
-@query("join_radius_pairs", f"WITH {RESALE}, {_RADIUS_SQL} SELECT subject, max(n) AS n, CASE WHEN max(n) >= 30 THEN round(max(v) FILTER (WHERE k = n // 2 + 1), 6) END AS rate FROM rc GROUP BY subject", "sales coords")
+@query("join_radius_pairs", f"WITH {RESALE}, {RADIUS_SQL} SELECT subject, max(n) AS n, CASE WHEN max(n) >= 30 THEN round(max(v) FILTER (WHERE k = n // 2 + 1), 6) END AS rate FROM rc GROUP BY subject", "sales coords")
 def _(i):
     return area_rates(i).select("subject", "n", F.round("mid", 6).alias("rate"))
 
@@ -120,7 +121,7 @@ KM_SQL = "km AS (SELECT a.spaced AS s_place, b.spaced AS p_place, 2 * 6371 * asi
 
 
 def knn_sql(k, extra=""):
-    return f"""nn AS (SELECT * FROM (SELECT s.subject, s.area AS s_area, p.place AS c_place, p.address_key AS c_address, p.sale_date AS c_date, p.price AS c_price, p.area AS c_area, km.km,
+    return f"""nn AS (SELECT * FROM (SELECT s.subject, s.place AS s_place, s.area AS s_area, p.place AS c_place, p.address_key AS c_address, p.sale_date AS c_date, p.price AS c_price, p.area AS c_area, km.km,
    row_number() OVER (PARTITION BY s.subject ORDER BY km.km, p.place, p.sale_date DESC, p.beds, p.tie1, p.tie2, p.tie3, p.price) AS rank FROM subj s JOIN pool p ON p.segment = s.segment AND abs(p.beds - s.beds) <= 1 {extra} JOIN km ON km.s_place = s.place AND km.p_place = p.place) x WHERE rank <= {k})"""
 
 
@@ -213,15 +214,13 @@ def _(i):
 @query("join_tag_superset", """WITH a AS (SELECT p_partkey, [p_type, p_brand, CASE WHEN p_size < 25 THEN 'small' ELSE 'big' END] AS tags FROM part), q AS (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN [['SMALL', 'big'], ['Brand#1']] WHEN 1 THEN [['Brand#' || (n_nationkey + 1)]] ELSE [['LARGE', 'small']] END AS groups FROM nation)
   SELECT n_nationkey, count(*) AS anchors, min(p_partkey) AS first_anchor FROM q JOIN a ON len(list_filter(groups, lambda g: list_has_all(tags, g))) > 0 GROUP BY n_nationkey""")
 def _(i):
-    # relational division: required tags meet anchor tags by equality, no query-anchor pairs
-    tag = F.explode(F.array("p_type", "p_brand", F.when(F.col("p_size") < 25, "small").otherwise("big")))
-    anchors = i.table("part").select("p_partkey", tag.alias("tag"))
+    tags = F.array("p_type", "p_brand", F.when(F.col("p_size") < 25, "small").otherwise("big"))
+    anchors = i.table("part").select(F.col("p_partkey").alias("anchor"), tags.alias("tags"))
     k = F.col("n_nationkey")
     s = lambda *xs: F.array(*[F.lit(x) if isinstance(x, str) else x for x in xs])
     groups = F.when(k % 3 == 0, F.array(s("SMALL", "big"), s("Brand#1"))).when(k % 3 == 1, F.array(s(F.concat(F.lit("Brand#"), (k + 1).cast("string"))))).otherwise(F.array(s("LARGE", "small")))
-    need = i.table("nation").select("n_nationkey", F.posexplode(groups).alias("g", "req")).select("n_nationkey", "g", F.size("req").alias("size"), F.explode("req").alias("tag"))
-    met = need.join(anchors, "tag").groupBy("n_nationkey", "g", "size", "p_partkey").agg(F.count(F.lit(1)).alias("c")).where("c = size")
-    return met.select("n_nationkey", "p_partkey").distinct().groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("anchors"), F.min("p_partkey").alias("first_anchor"))
+    met = tag_supersets(i.table("nation").select(k.alias("query"), F.explode(groups).alias("req")), anchors)
+    return met.groupBy(F.col("query").alias("n_nationkey")).agg(F.count(F.lit(1)).alias("anchors"), F.min("anchor").alias("first_anchor"))
 
 
 @query("join_latest_version", "SELECT l.id, r.room_no, r.label FROM listings l JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY room_no DESC, label DESC, area_sqft DESC) AS q FROM rooms) WHERE q = 1) r ON r.id = l.id WHERE l.delisted_date IS NULL", "listings rooms")
@@ -244,15 +243,12 @@ def _(i):
 @query("needle_replay", """WITH c AS (SELECT s_suppkey AS call_id, 'N' || (s_suppkey % 20 + 1) AS outcode, 380000 + s_suppkey * 400 AS price_max, s_suppkey % 4 + 1 AS beds_min, s_suppkey * 20 + s_suppkey % 20 AS target FROM supplier)
   SELECT call_id, count(l.id) AS found, coalesce(max(CASE WHEN l.id = target THEN 1 END), 0) AS hit FROM c LEFT JOIN listings l ON l.outcode = c.outcode AND l.asking_price <= price_max AND l.bedrooms >= beds_min AND l.delisted_date IS NULL AND (l.canonical_id IS NULL OR l.canonical_id = l.id) GROUP BY call_id""", "listings")
 def _(i):
-    from hearthspan.operators.market import active_canonical
-
     k = F.col("s_suppkey")
     calls = i.table("supplier").select(k.alias("call_id"), F.concat(F.lit("N"), (k % 20 + 1).cast("string")).alias("outcode"), (k * 400 + 380000).alias("price_max"), (k % 4 + 1).alias("beds_min"), (k * 20 + k % 20).alias("target"))
     live = active_canonical(i.listings).select("id", "outcode", "asking_price", "bedrooms")
-    # sizes come from counts per distinct price and bedrooms, the target from a lookup by id
-    tally = live.groupBy("outcode", "asking_price", "bedrooms").agg(F.count(F.lit(1)).alias("n"))
+    # sizes come from running counts, the target from a lookup by id
+    size = dominated_counts(calls, live)
     ok = (F.col("asking_price") <= F.col("price_max")) & (F.col("bedrooms") >= F.col("beds_min"))
-    size = calls.join(tally, "outcode").where(ok).groupBy("call_id").agg(F.sum("n").alias("found"))
     hit = calls.join(live.withColumnRenamed("id", "target"), ["target", "outcode"]).where(ok).select("call_id", F.lit(1).alias("hit"))
     return calls.select("call_id").join(size, "call_id", "left").join(hit, "call_id", "left").fillna(0, ["found", "hit"])
 

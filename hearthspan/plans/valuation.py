@@ -1,15 +1,15 @@
 """Valuation and vector queries."""
 
-from pyspark.ml.feature import PCA, StandardScaler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hearthspan.functions.rank import group_quantiles
 from hearthspan.operators import nearest, valuation as op
 from hearthspan.operators import vectors as vec
 from hearthspan.plans.base import query
-from hearthspan.plans.joins import KM_SQL, POOL_SQL, knn_sql, listing_subjects, pool
-from hearthspan.plans.sales import iso
+from hearthspan.plans.joins import KM_SQL, POOL_SQL, RADIUS_SQL, area_rates, knn_sql, listing_subjects, pool
+from hearthspan.plans.sales import RESALE, iso
+from hearthspan.session import checkpointed
 
 TREES = 400  # as the reference
 
@@ -129,29 +129,39 @@ def _(i):
     return op.error_metrics(op.bias_corrected(stored(i)), []).select("n", "mape", F.round(F.abs("bias"), 6).alias("bias"))
 
 
-def _estimate(ref, src="nn", area="s_area"):
-    return f"""mm AS (SELECT subject, max(r) FILTER (WHERE k = c // 2 + 1) AS m, max(c) AS m_n FROM (SELECT subject, c_price * 1.0 / c_area AS r, row_number() OVER (PARTITION BY subject ORDER BY c_price * 1.0 / c_area) AS k, count(*) OVER (PARTITION BY subject) AS c FROM {src}) x GROUP BY subject),
- uu AS (SELECT n.subject, {area} AS s_area, c_price * 1.0 / c_area AS v, 1 / (km / 1.609344 + 0.05) * exp(-greatest(0, date_diff('day', c_date, {ref}) / 365.25) / 4) AS w FROM {src} n JOIN mm USING (subject) WHERE rank <= 20 AND c_price * 1.0 / c_area >= CASE WHEN m_n >= 10 THEN m * 0.5 ELSE 0 END),
+# yearly growth around each place, as `join_radius_pairs` gives it
+_GROWTH = f"{RESALE}, {RADIUS_SQL}, gr AS (SELECT subject AS s_place, CASE WHEN max(n) >= 30 THEN max(v) FILTER (WHERE k = n // 2 + 1) END AS rate FROM rc GROUP BY subject)"
+
+
+def _estimate(ref):
+    return f"""mm AS (SELECT subject, max(r) FILTER (WHERE k = c // 2 + 1) AS m, max(c) AS m_n FROM (SELECT subject, c_price * 1.0 / c_area AS r, row_number() OVER (PARTITION BY subject ORDER BY c_price * 1.0 / c_area) AS k, count(*) OVER (PARTITION BY subject) AS c FROM nn) x GROUP BY subject),
+ aa AS (SELECT n.*, c_price * 1.0 / c_area * pow(1 + coalesce(rate, 0) / 100, date_diff('day', c_date, {ref}) / 365.25) AS v FROM nn n LEFT JOIN gr USING (s_place)),
+ uu AS (SELECT subject, s_area, v, 1 / (km / 1.609344 + 0.05) * exp(-greatest(0, date_diff('day', c_date, {ref}) / 365.25) / 4) AS w FROM aa JOIN mm USING (subject) WHERE rank <= 20 AND v > 0 AND v <= 50000 AND v >= CASE WHEN m_n >= 10 THEN m * 0.5 ELSE 0 END),
  ww AS (SELECT subject, s_area, v, sum(w) AS w FROM uu GROUP BY ALL), qq AS (SELECT *, sum(w) OVER (PARTITION BY subject ORDER BY v) / sum(w) OVER (PARTITION BY subject) + 1e-12 AS share FROM ww),
- est AS (SELECT subject, (SELECT count(*) FROM uu WHERE uu.subject = qq.subject) AS used, floor(min(v) FILTER (WHERE share >= 0.25) * max(s_area))::BIGINT AS low, floor(min(v) FILTER (WHERE share >= 0.5) * max(s_area))::BIGINT AS mid, floor(min(v) FILTER (WHERE share >= 0.75) * max(s_area))::BIGINT AS high FROM qq GROUP BY subject)"""
+ ee AS (SELECT subject, (SELECT count(*) FROM uu WHERE uu.subject = qq.subject) AS used, floor(min(v) FILTER (WHERE share >= 0.25) * max(s_area))::BIGINT AS low, floor(min(v) FILTER (WHERE share >= 0.5) * max(s_area))::BIGINT AS mid, floor(min(v) FILTER (WHERE share >= 0.75) * max(s_area))::BIGINT AS high FROM qq GROUP BY subject),
+ est AS (SELECT f.subject, CASE WHEN c >= 5 THEN coalesce(used, 0) ELSE c END AS used, CASE WHEN c >= 5 THEN low END AS low, CASE WHEN c >= 5 THEN mid END AS mid, CASE WHEN c >= 5 THEN high END AS high FROM (SELECT subject, count(*) AS c FROM nn GROUP BY subject) f LEFT JOIN ee USING (subject))"""
+
+
+def growth(i):
+    return area_rates(i).select(F.col("subject").alias("place"), F.col("mid").alias("rate"))
 
 
-@query("valuation_knn", f"WITH {POOL_SQL}, {KM_SQL}, {knn_sql(50)}, {_estimate(chr(68) + 'ATE ' + repr('2022-06-01'))} SELECT * FROM est", "sales listings coords")
+@query("valuation_knn", f"WITH {POOL_SQL}, {KM_SQL}, {knn_sql(50)}, {_GROWTH}, {_estimate(chr(68) + 'ATE ' + repr('2022-06-01'))} SELECT * FROM est", "sales listings coords")
 def _(i):
     nn = nearest.knn_sales(listing_subjects(i), pool(i), 50)
-    return op.knn_estimate(nn, None, F.lit("2022-06-01").cast("date"))
+    return op.knn_estimate(nn, growth(i), F.lit("2022-06-01").cast("date"))
 
 
 @query("valuation_knn_loocv", f"""WITH {POOL_SQL.replace(" subj AS", " unused AS")}, subj AS (SELECT tie1 * 100000 + tie2 * 1000 + tie3 AS subject, place, r_lat AS lat, r_lon AS lon, segment, beds, area, address_key, sale_date, price FROM pool WHERE sale_date >= DATE '2022-03-01'), {KM_SQL},
-  {knn_sql(50, 'AND p.address_key <> s.address_key').replace('s.area AS s_area', 's.area AS s_area, s.sale_date AS s_date, s.price AS s_price')}, {_estimate('s_date')},
-  e AS (SELECT est.subject, est.mid, s.price FROM est JOIN (SELECT DISTINCT subject, price, area FROM subj) s USING (subject) JOIN mm USING (subject) WHERE mm.m_n < 10 OR s.price * 1.0 / s.area >= mm.m * 0.5)
+  {knn_sql(50, 'AND p.address_key <> s.address_key').replace('s.area AS s_area', 's.area AS s_area, s.sale_date AS s_date, s.price AS s_price')}, {_GROWTH}, {_estimate('s_date')},
+  e AS (SELECT est.subject, est.mid, s.price FROM est JOIN (SELECT DISTINCT subject, price, area FROM subj) s USING (subject) JOIN mm USING (subject) WHERE est.mid IS NOT NULL AND (mm.m_n < 10 OR s.price * 1.0 / s.area >= mm.m * 0.5))
   SELECT count(*) AS n, round(avg(abs(mid - price) * 1.0 / price) * 100, 6) AS mape, round(median((mid - price) * 1.0 / price) * 100, 6) AS bias FROM e""", "sales listings coords")
 def _(i):
     p = pool(i)
     sid = F.col("tie1") * 100000 + F.col("tie2") * 1000 + F.col("tie3")
     s = p.where("sale_date >= DATE'2022-03-01'").select(sid.alias("subject"), "place", F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon"), "segment", "beds", "area", "address_key", F.col("sale_date").alias("s_date"), F.col("price").alias("s_price"))
-    nn = nearest.knn_sales(s, p, 50, own=True)
-    est = op.knn_estimate(nn, None, F.col("s_date"))
+    nn = checkpointed(nearest.knn_sales(s, p, 50, own=True))
+    est = op.knn_estimate(nn, growth(i), F.col("s_date")).where("mid IS NOT NULL")
     raw = nn.withColumn("r", F.col("c_price") / F.col("c_area"))
     mid = group_quantiles(raw, ["subject"], "r", {"m": "upper"}, count="m_n")
     j = est.join(mid, "subject").join(s.select("subject", F.col("s_price").alias("price"), F.col("area").alias("s_area")).distinct(), "subject")
@@ -195,15 +205,15 @@ def _(i):
     return z.select("vec_id", total.cast("bigint").alias("code_sum"), F.round(gap, 6).alias("worst"))
 
 
-@query("embed_recall_at_k", f"""WITH {_QZ}, {_Q}, d AS (SELECT vec_id, list(y ORDER BY pos) AS y FROM z GROUP BY vec_id), x AS (SELECT query_id, v.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q, e) DESC, v.vec_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q, d.y) DESC, v.vec_id) AS b FROM q CROSS JOIN v JOIN d USING (vec_id)),
-  p AS (SELECT query_id, count(*) FILTER (WHERE a <= 10 AND b <= 10) / 10.0::DOUBLE AS recall FROM x GROUP BY query_id)
-  SELECT count(*) AS queries, round(avg(recall), 6) AS mean, round(median(recall), 6) AS mid, round(quantile_cont(recall, 0.1), 6) AS p10, CASE WHEN avg(recall) >= 0.9 THEN 1 ELSE 0 END AS passes FROM p""")
+@query("embed_recall_at_k", f"""WITH {_QZ}, {_Q}, d AS (SELECT vec_id, list(y ORDER BY pos) AS y FROM z GROUP BY vec_id), x AS (SELECT query_id, v.vec_id, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q, e) DESC, v.vec_id) AS a, row_number() OVER (PARTITION BY query_id ORDER BY list_dot_product(q, d.y) DESC, v.vec_id) AS b, list_dot_product(q, e) AS se, list_dot_product(q, d.y) AS sy FROM q CROSS JOIN v JOIN d USING (vec_id)),
+  p AS (SELECT query_id, count(*) FILTER (WHERE a <= 10 AND b <= 10) / 10.0::DOUBLE AS recall, abs(max(se) - max(sy)) AS gap FROM x GROUP BY query_id)
+  SELECT count(*) AS queries, round(avg(recall), 6) AS mean, round(median(recall), 6) AS mid, round(quantile_cont(recall, 0.1), 6) AS p10, round(avg(gap), 6) AS first_offset, CASE WHEN avg(recall) >= 0.9 THEN 1 ELSE 0 END AS passes FROM p""")
 def _(i):
     e = i.table("embeddings")
     q = vec.sample_queries(e, 100, "7")
     coded = vec.quantise(e).select("vec_id", F.col("decoded").alias("embedding"))
     out = vec.recall_at_k(vec.top_k_exact(e, q, 10), vec.top_k_exact(coded, q, 10), 10)
-    return out.select("queries", *[F.round(c, 6).alias(c) for c in ("mean", "mid", "p10")], "passes")
+    return out.select("queries", *[F.round(c, 6).alias(c) for c in ("mean", "mid", "p10", "first_offset")], "passes")
 
 
 @query("embed_topk_lsh")
@@ -216,8 +226,4 @@ def _(i):
 @query("embed_pca")
 def _(i):
     # rows only: the signs of components are arbitrary
-    e = i.table("embeddings").select("vec_id", array_to_vector(vec.doubles("embedding")).alias("v"))
-    centred = StandardScaler(inputCol="v", outputCol="c", withMean=True, withStd=False).fit(e).transform(e)
-    model = PCA(k=16, inputCol="c", outputCol="p").fit(centred)
-    share = float(model.explainedVariance.toArray().sum())
-    return model.transform(centred).select("vec_id", vector_to_array("p").alias("projected"), F.lit(share).alias("explained"))
+    return vec.project(i.table("embeddings"))

@@ -93,35 +93,7 @@ def backoff_claim(items: DataFrame, results: DataFrame, at_s: int, wait_s: int,
     return spark.read.parquet(f"{path}/rows").drop("epoch")
 
 
-# ---- folds with state -----------------------------------------------------------------------------
-
-def heartbeat(events: DataFrame, key: str, budget_s: int, late: str) -> DataFrame:
-    """down when a key is silent longer than its budget, up when it reports again."""
-    out = f"{key} long, at_s long, state string"
-
-    def fold(k, batches: Iterator[pd.DataFrame], state: GroupState):
-        last, down = state.get if state.exists else (None, False)
-        rows = []
-        if state.hasTimedOut:
-            if not down:
-                rows.append((k[0], int(last) + budget_s, "down"))
-            state.update((last, True))
-        else:
-            times = pd.concat([b["at_s"] for b in batches]).sort_values()
-            for t in times:
-                if last is not None and t - last > budget_s:
-                    if not down:
-                        rows.append((k[0], int(last) + budget_s, "down"))
-                    rows.append((k[0], int(t), "up"))
-                down, last = False, max(int(t), last or 0)
-            state.update((last, down))
-            mark = state.getCurrentWatermarkMs()
-            state.setTimeoutTimestamp(max(mark + 1, (last + budget_s) * 1000))
-        yield pd.DataFrame(rows, columns=[key, "at_s", "state"])
-
-    d = events.withWatermark("started_at", late).select(key, "at_s", "started_at")
-    return d.groupBy(key).applyInPandasWithState(fold, out, "last long, down boolean", "append", GroupStateTimeout.EventTimeTimeout)
-
+# ---- a fold with state ---------------------------------------------------------------------------
 
 def alert_state(events: DataFrame, key: str, period_s: int, burst: int, runs: int) -> DataFrame:
     """Edges of the failure state per period; a period is judged once a later one has begun.
@@ -150,45 +122,3 @@ def alert_state(events: DataFrame, key: str, period_s: int, burst: int, runs: in
         yield pd.DataFrame(rows, columns=[key, "period", "failures", "streak", "edge"])
 
     return events.select(key, "at_s", "failed").groupBy(key).applyInPandasWithState(fold, out, "opened map<long,long>, streak long, problem boolean, judged long", "append", GroupStateTimeout.NoTimeout)
-
-
-def stall_counter(ticks: DataFrame, key: str, grew: int) -> DataFrame:
-    """Ticks on which a size grew by `grew` while nothing was done; progress resets, a quiet tick holds."""
-    out = f"{key} long, at_s long, stalled long"
-
-    def fold(k, batches: Iterator[pd.DataFrame], state: GroupState):
-        size, done, n = state.get if state.exists else (None, None, 0)
-        rows = []
-        for r in pd.concat(list(batches)).sort_values("at_s").itertuples():
-            if size is None or r.size_n < size or r.done_n != done:
-                n = 0
-            elif r.size_n - size >= grew:
-                n += 1
-            size, done = int(r.size_n), int(r.done_n)
-            rows.append((k[0], int(r.at_s), n))
-        state.update((size, done, n))
-        yield pd.DataFrame(rows, columns=[key, "at_s", "stalled"])
-
-    return ticks.groupBy(key).applyInPandasWithState(fold, out, "size_n long, done_n long, n long", "append", GroupStateTimeout.NoTimeout)
-
-
-def fix_budget(problems: DataFrame, key: str, window_s: int, budget: int) -> DataFrame:
-    """At most `budget` fixes per window, then one escalation until a later fix."""
-    out = f"{key} long, at_s long, verdict string"
-
-    def fold(k, batches: Iterator[pd.DataFrame], state: GroupState):
-        fixes, escalated = (list(state.get[0]), state.get[1]) if state.exists else ([], False)
-        rows = []
-        for t in pd.concat([b["at_s"] for b in batches]).sort_values():
-            fixes = [x for x in fixes if x >= t - window_s]
-            if len(fixes) < budget:
-                fixes.append(int(t))
-                escalated = False
-                rows.append((k[0], int(t), "fix"))
-            elif not escalated:
-                escalated = True
-                rows.append((k[0], int(t), "escalate"))
-        state.update((fixes, escalated))
-        yield pd.DataFrame(rows, columns=[key, "at_s", "verdict"])
-
-    return problems.select(key, "at_s").groupBy(key).applyInPandasWithState(fold, out, "fixes array<long>, escalated boolean", "append", GroupStateTimeout.NoTimeout)
