@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from hearthspan.functions.rank import group_quantiles, newest
+from hearthspan.functions.rank import group_quantiles, newest, with_previous
 from hearthspan.functions.text import tool_count
 
 # Session prefixes of tests and the message prefix of a daily-cap refusal.
@@ -56,17 +56,17 @@ def queue_stats(runs: DataFrame, as_of_s: int) -> DataFrame:
     since = lambda sec: done & (F.col("at_s") > as_of_s - sec)
     return runs.where(F.col("at_s") <= as_of_s).groupBy("queue_no").agg(
         F.count_if(F.col("status") == "dispatched").alias("backlog"), F.count_if(done).alias("done_lifetime"), F.count_if(F.col("status") == "failed").alias("failed_lifetime"),
-        F.count_if(since(600)).alias("done_10min"), F.count_if(since(3600)).alias("done_hour"), F.count_if(since(86400)).alias("done_day"), F.max(F.when(done, F.col("at_s"))).alias("last_done_s"))
+        F.count_if(since(60)).alias("done_1min"), F.count_if(since(600)).alias("done_10min"), F.count_if(since(3600)).alias("done_hour"), F.count_if(since(86400)).alias("done_day"), F.max(F.when(done, F.col("at_s"))).alias("last_done_s"))
 
 
 def progress(stats: DataFrame) -> DataFrame:
-    """Coverage, rates and time left; no time left is stated while idle."""
+    """Coverage, the rates of one minute (alive just now) and of ten (steady), and time left at each; none is stated while idle."""
     eligible = F.col("backlog") + F.col("done_lifetime")
-    rate = F.col("done_10min") / 600
+    rate = {"1min": F.col("done_1min") / 60, "10min": F.col("done_10min") / 600}
     return stats.select(
         "queue_no", eligible.alias("eligible"), F.col("done_lifetime").alias("done"), F.col("backlog").alias("pending"),
-        F.round(100.0 * F.col("done_lifetime") / F.greatest(eligible, F.lit(1)), 4).alias("coverage_pct"), F.round(rate, 6).alias("per_s_10min"),
-        F.when(rate > 0, F.floor(F.col("backlog") / F.when(rate > 0, rate))).alias("eta_s"))
+        F.round(100.0 * F.col("done_lifetime") / F.greatest(eligible, F.lit(1)), 4).alias("coverage_pct"),
+        *[F.round(r, 6).alias(f"per_s_{k}") for k, r in rate.items()], *[F.when(r > 0, F.floor(F.col("backlog") / F.when(r > 0, r))).alias(f"eta_s_{k}") for k, r in rate.items()])
 
 
 def reconcile(runs: DataFrame, rules: DataFrame, stats: DataFrame, as_of_s: int, min_age_s: int) -> DataFrame:
@@ -90,26 +90,80 @@ def stale_jobs(runs: DataFrame, budgets: DataFrame, as_of_s: int, catchup_s: int
 
 
 def fix_budget(actions: DataFrame, window_s: int, budget: int) -> DataFrame:
-    """Actions of the same rule and target in the trailing window; over budget means escalate.
+    """Faults with the fixes of the same rule and target in the window before them, the problem that was open and what to do.
 
-    Actions are tallied per second and cut into buckets one window long; a trailing window touches its
-    own bucket and the one before, so no task orders all actions of a busy target.
+    actions(run_id, rule_id, target, at_s, action, faulty): action is fix, escalate, detect or recover; only fixes spend the budget.
+    open_problem is the latest action before, unless that was a recovery; a spent budget is escalated once while the problem is open.
+    Fixes are tallied per second and cut into buckets one window long; a trailing window touches its own bucket and the one
+    before, so no task orders all actions of a busy target.
     """
     keys = ["rule_id", "target"]
-    tally = actions.groupBy(*keys, "at_s").agg(F.count(F.lit(1)).alias("c")).withColumn("own", F.floor(F.col("at_s") / window_s))
+    tally = actions.groupBy(*keys, "at_s").agg(F.count_if(F.col("action") == "fix").alias("c")).withColumn("own", F.floor(F.col("at_s") / window_s))
     spread = tally.withColumn("bucket", F.explode(F.array(F.col("own"), F.col("own") + 1)))
-    w = W.partitionBy(*keys, "bucket").orderBy("at_s").rangeBetween(-window_s, 0)
-    counted = spread.withColumn("in_window", F.sum("c").over(w)).where(F.col("own") == F.col("bucket")).select(*keys, "at_s", "in_window")
-    return actions.join(counted, [*keys, "at_s"]).withColumn("verdict", F.when(F.col("in_window") > budget, "escalate").otherwise("fix"))
+    w = W.partitionBy(*keys, "bucket").orderBy("at_s").rangeBetween(-window_s, -1)
+    counted = spread.withColumn("in_window", F.coalesce(F.sum("c").over(w), F.lit(0))).where(F.col("own") == F.col("bucket")).select(*keys, "at_s", "in_window")
+    dated = actions.withColumn("at", F.timestamp_seconds("at_s"))
+    d = with_previous(dated, keys, ["at", "run_id"], ["action"]).drop("at").where("faulty").join(counted, [*keys, "at_s"])
+    d = d.withColumn("open_problem", F.when(F.col("prev_action") != "recover", F.col("prev_action")))
+    spent, told = F.col("in_window") >= budget, F.coalesce(F.col("open_problem") == "escalate", F.lit(False))
+    return d.withColumn("verdict", F.when(~spent, "fix").when(told, "wait").otherwise("escalate"))
+
+
+def host_alerts(hosts: DataFrame) -> DataFrame:
+    """(host, alert): hosts whose state changes, `down` or `up`.
+
+    hosts(host, site, role, age_s, budget_s, was_down, reachable): role 0 is the lead of a site, 1 a host whose alert the lead's stands
+    for, 2 any other; reachable tells whether the site's readings could be fetched at all. A host is down when its last report
+    is missing or older than its own budget. Readings come by way of the lead: if they cannot be fetched, the lead is down and
+    all others are unknown, so they stay as they were. While the lead is down, hosts of role 1 are neither down nor recovered.
+    """
+    stale = F.col("age_s").isNull() | (F.col("age_s") > F.col("budget_s"))
+    down = F.when(F.col("role") == 0, ~F.col("reachable") | stale).when(~F.col("reachable"), F.col("was_down")).otherwise(stale)
+    d = hosts.withColumn("down", down)
+    dark = d.groupBy("site").agg(F.bool_or((F.col("role") == 0) & F.col("down")).alias("dark"))
+    hidden = F.col("dark") & (F.col("role") == 1)
+    return d.join(dark, "site").where(~hidden & (F.col("down") != F.col("was_down"))).select("host", F.when(F.col("down"), "down").otherwise("up").alias("alert"))
 
 
-def retention_plan(rows: DataFrame, current: str, guard: float = 0.5) -> DataFrame:
+def version_sweep(rows: DataFrame, current: str, guard: float = 0.5) -> DataFrame:
     """What a version sweep would delete; a table losing more than the guard share is refused whole."""
     g = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("data_version") != current).alias("old"))
     refused = F.col("old") / F.col("total") > guard
     return g.select("table_name", "total", "old", refused.cast("int").alias("refused"), F.when(refused, F.lit(0)).otherwise(F.col("old")).cast("bigint").alias("delete_n"))
 
 
+def age_sweep(rows: DataFrame, cut_s: int) -> DataFrame:
+    """Rows older than the cut, by table. Audit rows are meant to go, so no guard holds them."""
+    g = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("at_s") < cut_s).alias("old"))
+    return g.select("table_name", "total", "old", F.lit(0).alias("refused"), F.col("old").alias("delete_n"))
+
+
+def frequent_sweep(rows: DataFrame, cut_s: int, threshold: int) -> DataFrame:
+    """Old rows of keys with more than `threshold` rows in all; rarer keys keep their rows forever."""
+    g = rows.groupBy("table_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("at_s") < cut_s).alias("old"))
+    often = F.col("total") > threshold
+    return g.select("table_name", "total", "old", F.lit(0).alias("refused"), F.when(often, F.col("old")).otherwise(0).cast("bigint").alias("delete_n"))
+
+
+def orphan_sweep(rows: DataFrame, parents: DataFrame) -> DataFrame:
+    """Rows(table_name, parent) whose parent(parent) is gone. Nothing can read them, so no guard holds them."""
+    known = parents.select("parent").distinct().withColumn("_there", F.lit(1))
+    g = rows.join(known, "parent", "left").groupBy("table_name").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("_there").isNull()).alias("old"))
+    return g.select("table_name", "total", "old", F.lit(0).alias("refused"), F.col("old").alias("delete_n"))
+
+
+def retention_plan(sweeps: dict[str, DataFrame]) -> DataFrame:
+    """All sweeps in one plan: sweep, table_name, total, old, refused, delete_n."""
+    return reduce(DataFrame.unionByName, [d.withColumn("sweep", F.lit(name)) for name, d in sweeps.items()])
+
+
+def window_holds(before: DataFrame, after: DataFrame, cut_s: int) -> DataFrame:
+    """table_name, kept, holds: whether a sweep left every row of the window, which may grow meanwhile but never shrink."""
+    inside = lambda d, c: d.groupBy("table_name").agg(F.count_if(F.col("at_s") >= cut_s).alias(c))
+    j = inside(before, "_b").join(inside(after, "kept"), "table_name", "left").withColumn("kept", F.coalesce("kept", F.lit(0)))
+    return j.select("table_name", "kept", (F.col("kept") >= F.col("_b")).cast("int").alias("holds"))
+
+
 # ---- capability gaps -----------------------------------------------------------------------------
 
 # Wording by which a reply admits a gap, in the order tried, and its guards.

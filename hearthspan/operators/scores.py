@@ -185,27 +185,32 @@ def named_station_score(stops: DataFrame) -> DataFrame:
 
 
 def dedupe_by_distance(stations: DataFrame, key: str = "subject", km: float = 0.4) -> DataFrame:
-    """Keep stations in score order, dropping any within `km` of one already kept.
+    """Keep stations in score order (ties to the smaller place_id), dropping any within `km` of one already kept.
 
-    What is kept depends on what was kept before, which SQL operators cannot say; a group is the
-    stations near one place, already cut by the radius join.
+    Decided in rounds: a station with no better undecided one near it is kept, and what lies near a kept one is dropped. That is
+    what taking them in order gives, without bringing the stations of a place together; there are as many rounds as the
+    longest chain of neighbours in falling order. Places are paired once, whatever the number of keys that see them.
     """
-
-    def keep(groups: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        rows = groups.sort_values(["score", "place_id"], ascending=[False, True])
-        lat, lon = np.radians(rows["r_lat"].to_numpy()), np.radians(rows["r_lon"].to_numpy())
-        kept: list[int] = []
-        for n in range(len(rows)):
-            if kept:
-                a = np.sin((lat[kept] - lat[n]) / 2) ** 2 + np.cos(lat[kept]) * np.cos(lat[n]) * np.sin((lon[kept] - lon[n]) / 2) ** 2
-                if (2 * 6371 * np.arcsin(np.sqrt(a)) < km).any():
-                    continue
-            kept.append(n)
-        return rows.iloc[kept]
-
-    return stations.groupBy(key).applyInPandas(keep, stations.schema)
+    rest = [c for c in stations.columns if c not in (key, "place_id")]
+    own = stations.groupBy(key, "place_id").agg(F.max_by(F.struct(*rest), "score").alias("_r")).select(key, "place_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
+    own = checkpointed(own)
+    spots = own.groupBy("place_id").agg(F.first("r_lat").alias("r_lat"), F.first("r_lon").alias("r_lon"))
+    left = spots.select("place_id", F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon"))
+    close = within_km(left, spots.withColumnRenamed("place_id", "near_id"), km, distance=haversine).where((F.col("place_id") != F.col("near_id")) & (F.col("km") < km)).select("place_id", "near_id")
+    a, b = own.select(key, "place_id", "score"), own.select(key, F.col("place_id").alias("near_id"), F.col("score").alias("near_score"))
+    better = (F.col("near_score") > F.col("score")) | ((F.col("near_score") == F.col("score")) & (F.col("near_id") < F.col("place_id")))
+    conflicts = checkpointed(a.join(close, "place_id").join(b, [key, "near_id"]).where(better).select(key, "place_id", "near_id"))
+    open_, kept = own.select(key, "place_id"), []
+    while True:
+        won = checkpointed(open_.join(conflicts, [key, "place_id"], "left_anti"))
+        kept.append(won)
+        lost = conflicts.join(won.withColumnRenamed("place_id", "near_id"), [key, "near_id"], "left_semi").select(key, "place_id").distinct()
+        conflicts = checkpointed(conflicts.join(won.withColumnRenamed("place_id", "near_id"), [key, "near_id"], "left_anti").join(lost, [key, "place_id"], "left_anti")
+                                 .join(lost.withColumnRenamed("place_id", "near_id"), [key, "near_id"], "left_anti").select(key, "place_id", "near_id"))
+        open_ = checkpointed(open_.join(won, [key, "place_id"], "left_anti").join(lost, [key, "place_id"], "left_anti"))
+        if open_.isEmpty():
+            break
+    return own.join(reduce(DataFrame.unionByName, kept), [key, "place_id"], "left_semi").select(*stations.columns)
 
 
 def long_distance_score(trips: DataFrame, key: str = "subject") -> DataFrame:

@@ -162,14 +162,14 @@ def _(i):
     return op.trace_failures(runs, cases).select("msg_id", F.array_join(F.array_intersect(order, "failures"), ";").alias("raw"))
 
 
-@query("queue_stats", f"""SELECT queue_no, count(*) FILTER (WHERE status = 'dispatched') AS backlog, count(*) FILTER (WHERE status = 'completed') AS done_lifetime, count(*) FILTER (WHERE status = 'failed') AS failed_lifetime, count(*) FILTER (WHERE status = 'completed' AND at_s > {AT} - 600) AS done_10min,
+@query("queue_stats", f"""SELECT queue_no, count(*) FILTER (WHERE status = 'dispatched') AS backlog, count(*) FILTER (WHERE status = 'completed') AS done_lifetime, count(*) FILTER (WHERE status = 'failed') AS failed_lifetime, count(*) FILTER (WHERE status = 'completed' AND at_s > {AT} - 60) AS done_1min, count(*) FILTER (WHERE status = 'completed' AND at_s > {AT} - 600) AS done_10min,
   count(*) FILTER (WHERE status = 'completed' AND at_s > {AT} - 3600) AS done_hour, count(*) FILTER (WHERE status = 'completed' AND at_s > {AT} - 86400) AS done_day, max(at_s) FILTER (WHERE status = 'completed') AS last_done_s FROM runs WHERE at_s <= {AT} GROUP BY queue_no""", "runs")
 def _(i):
     return op.queue_stats(i.runs, AT)
 
 
-@query("progress_report", f"""WITH s AS (SELECT queue_no, count(*) FILTER (WHERE status = 'dispatched') AS b, count(*) FILTER (WHERE status = 'completed') AS d, count(*) FILTER (WHERE status = 'completed' AND at_s > {AT} - 600) AS r FROM runs WHERE at_s <= {AT} GROUP BY queue_no)
-  SELECT queue_no, b + d AS eligible, d AS done, b AS pending, round(100.0 * d / greatest(b + d, 1), 4) AS coverage_pct, round(r / 600, 6) AS per_s_10min, CASE WHEN r > 0 THEN floor(b / (r / 600))::BIGINT END AS eta_s FROM s""", "runs")
+@query("progress_report", f"""WITH s AS (SELECT queue_no, count(*) FILTER (WHERE status = 'dispatched') AS b, count(*) FILTER (WHERE status = 'completed') AS d, count(*) FILTER (WHERE status = 'completed' AND at_s > {AT} - 60) AS m, count(*) FILTER (WHERE status = 'completed' AND at_s > {AT} - 600) AS r FROM runs WHERE at_s <= {AT} GROUP BY queue_no)
+  SELECT queue_no, b + d AS eligible, d AS done, b AS pending, round(100.0 * d / greatest(b + d, 1), 4) AS coverage_pct, round(m / 60, 6) AS per_s_1min, round(r / 600, 6) AS per_s_10min, CASE WHEN m > 0 THEN floor(b / (m / 60))::BIGINT END AS eta_s_1min, CASE WHEN r > 0 THEN floor(b / (r / 600))::BIGINT END AS eta_s_10min FROM s""", "runs")
 def _(i):
     return op.progress(op.queue_stats(i.runs, AT))
 
@@ -202,11 +202,24 @@ def _(i):
     return rows.groupBy("job").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("retention_plan", """SELECT 'dim_' || right(postcode, 2) AS table_name, count(*) AS total, count(*) FILTER (WHERE data_version <> 'v2') AS old, CASE WHEN count(*) FILTER (WHERE data_version <> 'v2') * 1.0 / count(*) > 0.5 THEN 1 ELSE 0 END AS refused,
-  CASE WHEN count(*) FILTER (WHERE data_version <> 'v2') * 1.0 / count(*) > 0.5 THEN 0 ELSE count(*) FILTER (WHERE data_version <> 'v2') END AS delete_n FROM score_docs GROUP BY 1""", "score_docs")
+_CUT = AT - 14 * 86400  # two weeks here: the given log spans one month
+
+
+@query("retention_plan", f"""SELECT 'version' AS sweep, 'dim_' || right(postcode, 2) AS table_name, count(*) AS total, count(*) FILTER (WHERE data_version <> 'v2') AS old, CASE WHEN count(*) FILTER (WHERE data_version <> 'v2') * 1.0 / count(*) > 0.5 THEN 1 ELSE 0 END AS refused,
+  CASE WHEN count(*) FILTER (WHERE data_version <> 'v2') * 1.0 / count(*) > 0.5 THEN 0 ELSE count(*) FILTER (WHERE data_version <> 'v2') END AS delete_n, NULL::BIGINT AS kept, NULL::INT AS holds FROM score_docs GROUP BY 2
+  UNION ALL SELECT 'age', job, count(*), count(*) FILTER (WHERE at_s < {_CUT}), 0, count(*) FILTER (WHERE at_s < {_CUT}), count(*) FILTER (WHERE at_s >= {_CUT}), 1 FROM runs GROUP BY job
+  UNION ALL SELECT 'frequent', 'user ' || user_id, count(*), count(*) FILTER (WHERE at_s < {_CUT}), 0, CASE WHEN count(*) > 60 THEN count(*) FILTER (WHERE at_s < {_CUT}) ELSE 0 END, NULL, NULL FROM runs GROUP BY user_id
+  UNION ALL SELECT 'orphan', model_tag, count(*), count(*) FILTER (WHERE l.id IS NULL), 0, count(*) FILTER (WHERE l.id IS NULL), NULL, NULL FROM images i LEFT JOIN (SELECT id FROM listings WHERE delisted_date IS NULL) l ON l.id = i.property_id GROUP BY model_tag""", "score_docs runs images listings")
 def _(i):
-    rows = i.score_docs.withColumn("table_name", F.concat(F.lit("dim_"), F.substring("postcode", -2, 2)))
-    return op.retention_plan(rows, "v2")
+    docs = i.score_docs.withColumn("table_name", F.concat(F.lit("dim_"), F.substring("postcode", -2, 2)))
+    jobs = i.runs.select(F.col("job").alias("table_name"), "at_s")
+    users = i.runs.select(F.concat(F.lit("user "), F.col("user_id").cast("string")).alias("table_name"), "at_s")
+    images = i.images.select(F.col("model_tag").alias("table_name"), F.col("property_id").alias("parent"))
+    live = i.listings.where("delisted_date IS NULL").select(F.col("id").alias("parent"))
+    plan = op.retention_plan({"version": op.version_sweep(docs, "v2"), "age": op.age_sweep(jobs, _CUT), "frequent": op.frequent_sweep(users, _CUT, 60), "orphan": op.orphan_sweep(images, live)})
+    # what the age sweep would leave still holds the whole window
+    held = op.window_holds(jobs, jobs.where(F.col("at_s") >= _CUT), _CUT).withColumn("sweep", F.lit("age"))
+    return plan.join(held, ["sweep", "table_name"], "left")
 
 
 _PERIODS = "per AS (SELECT queue_no, floor(at_s / 21600)::BIGINT AS period, count(*) FILTER (WHERE error_message = 'database is locked') AS failures FROM runs GROUP BY ALL)"
@@ -220,10 +233,15 @@ def _(i):
     return op.state_streak(per, "queue_no", burst=8)
 
 
-@query("win_fix_budget", """SELECT run_id, job AS rule_id, queue_no AS target, (SELECT count(*) FROM runs b WHERE b.status = 'failed' AND b.job = a.job AND b.queue_no = a.queue_no AND b.at_s BETWEEN a.at_s - 21600 AND a.at_s) AS in_window FROM runs a WHERE status = 'failed'""", "runs")
+@query("win_fix_budget", """WITH a AS (SELECT run_id, job AS rule_id, queue_no AS target, at_s, status = 'failed' AS faulty, CASE WHEN status = 'completed' THEN 'recover' WHEN status = 'dispatched' THEN 'detect' WHEN run_id % 4 = 0 THEN 'escalate' ELSE 'fix' END AS action FROM runs),
+  p AS (SELECT *, nullif(lag(action) OVER (PARTITION BY rule_id, target ORDER BY at_s, run_id), 'recover') AS open_problem FROM a),
+  c AS (SELECT p.*, (SELECT count(*) FROM a b WHERE b.action = 'fix' AND b.rule_id = p.rule_id AND b.target = p.target AND b.at_s BETWEEN p.at_s - 21600 AND p.at_s - 1) AS in_window FROM p WHERE faulty)
+  SELECT run_id, rule_id, target, in_window, open_problem, CASE WHEN in_window < 1 THEN 'fix' WHEN open_problem = 'escalate' THEN 'wait' ELSE 'escalate' END AS verdict FROM c""", "runs")
 def _(i):
-    acts = i.runs.where("status = 'failed'").select("run_id", F.col("job").alias("rule_id"), F.col("queue_no").alias("target"), "at_s")
-    return op.fix_budget(acts, 21600, 1).select("run_id", "rule_id", "target", "in_window")
+    status = F.col("status")
+    action = F.when(status == "completed", "recover").when(status == "dispatched", "detect").when(F.col("run_id") % 4 == 0, "escalate").otherwise("fix")
+    acts = i.runs.select("run_id", F.col("job").alias("rule_id"), F.col("queue_no").alias("target"), "at_s", action.alias("action"), (status == "failed").alias("faulty"))
+    return op.fix_budget(acts, 21600, 1).select("run_id", "rule_id", "target", "in_window", "open_problem", "verdict")
 
 
 @query("win_latest_per_key", "SELECT postcode, data_version, doc_no, price FROM (SELECT *, row_number() OVER (PARTITION BY postcode, data_version ORDER BY created_on DESC, doc_no DESC, tie2 DESC, tie3 DESC, price DESC) AS q FROM score_docs) WHERE q = 1", "score_docs")
@@ -268,16 +286,18 @@ def _(i):
     return pool.orderBy(F.md5(F.concat(F.lit("20260902-"), F.col("id").cast("string")))).limit(40).select("id")
 
 
-@query("set_down_hosts", f"""WITH h AS (SELECT user_id AS host, max(at_s) FILTER (WHERE at_s <= {AT}) AS now_s, max(at_s) FILTER (WHERE at_s <= {AT} - 86400) AS then_s FROM runs GROUP BY user_id), s AS (SELECT host, now_s IS NULL OR {AT} - now_s > 43200 AS down_now, then_s IS NULL OR {AT} - 86400 - then_s > 43200 AS down_then FROM h)
-  SELECT host, CASE WHEN down_now THEN 'down' ELSE 'up' END AS alert FROM s WHERE down_now <> down_then""", "runs")
+# Four users are a site: a lead, one whose alert the lead's stands for, and two others; every fifth site could not be read.
+@query("set_down_hosts", f"""WITH h AS (SELECT user_id AS host, user_id // 4 AS site, least(user_id % 4, 2) AS role, 43200 + 7200 * (user_id % 3) AS budget, {AT} - max(at_s) FILTER (WHERE at_s <= {AT}) AS age, {AT} - 86400 - max(at_s) FILTER (WHERE at_s <= {AT} - 86400) AS then_age, (user_id // 4) % 5 <> 0 AS reachable FROM runs GROUP BY user_id),
+  s AS (SELECT *, coalesce(age > budget, true) AS stale, coalesce(then_age > budget, true) AS was_down FROM h), d AS (SELECT *, CASE WHEN role = 0 THEN NOT reachable OR stale WHEN NOT reachable THEN was_down ELSE stale END AS down FROM s)
+  SELECT host, CASE WHEN down THEN 'down' ELSE 'up' END AS alert FROM (SELECT *, bool_or(role = 0 AND down) OVER (PARTITION BY site) AS dark FROM d) x WHERE down <> was_down AND NOT (dark AND role = 1)""", "runs")
 def _(i):
-    def stale(at):
-        seen = i.runs.where(F.col("at_s") <= at).groupBy(F.col("user_id").alias("host")).agg(F.max("at_s").alias("last_s"))
-        hosts = i.runs.select(F.col("user_id").alias("host")).distinct()
-        return hosts.join(seen.where(at - F.col("last_s") <= 43200), "host", "left_anti")
-
-    now, then = stale(AT), stale(AT - 86400)
-    return now.join(then, "host", "left_anti").withColumn("alert", F.lit("down")).unionByName(then.join(now, "host", "left_anti").withColumn("alert", F.lit("up")))
+    user = F.col("user_id")
+    last = lambda at: at - F.max(F.when(F.col("at_s") <= at, F.col("at_s")))
+    h = i.runs.groupBy("user_id").agg(last(AT).alias("age_s"), last(AT - 86400).alias("then_s"))
+    budget = 43200 + 7200 * (user % 3)
+    site = F.floor(user / 4)
+    hosts = h.select(user.alias("host"), site.alias("site"), F.least(user % 4, F.lit(2)).alias("role"), "age_s", budget.alias("budget_s"), F.coalesce(F.col("then_s") > budget, F.lit(True)).alias("was_down"), (site % 5 != 0).alias("reachable"))
+    return op.host_alerts(hosts)
 
 
 _LBL = "SELECT id, room_no, room_type, label, area_sqft, sum(CASE WHEN room_type NOT IN ('balcony', 'terrace', 'garden') THEN round(area_sqft)::BIGINT END) OVER (PARTITION BY id) AS indoor, (SELECT floor_area_sqft FROM listings l WHERE l.id = rooms.id) AS gia FROM rooms"

@@ -44,12 +44,12 @@ def _(i):
     return i.mixed_postcodes.select("k", postcode.covered(F.col("raw")).cast("int").alias("is_covered"))
 
 
-@query("area_type", """SELECT k, CASE oc WHEN 'EC1A' THEN 'central_commercial' WHEN 'W2' THEN 'major_hub' WHEN 'SW1A' THEN 'major_hub' WHEN 'SE1' THEN CASE WHEN tight_digit THEN 'urban' ELSE 'major_hub' END
-    WHEN 'NW1' THEN 'major_hub' WHEN 'N1C' THEN 'major_hub' WHEN 'E1W' THEN 'major_hub' WHEN 'RM10' THEN 'residential' WHEN 'BR3' THEN 'residential' WHEN 'KT2' THEN 'residential'
-    WHEN 'WD17' THEN 'residential' WHEN 'HA1' THEN 'residential' WHEN 'TW9' THEN 'residential' WHEN 'E1' THEN 'major_hub' ELSE 'urban' END AS area_type
-  FROM (SELECT k, oc, false AS tight_digit FROM mixed_postcodes WHERE k % 6 = 2) x""", "mixed_postcodes")
+# the character behind a district decides: a further digit makes it another district
+@query("area_type", f"""WITH t AS (SELECT k, upper(replace(trim(raw), ' ', '')) AS c FROM mixed_postcodes), h AS (SELECT t.k, bool_or(starts_with(c, d) AND NOT contains('0123456789', coalesce(nullif(substr(c, len(d) + 1, 1), ''), '-'))) AS hub
+    FROM t, (SELECT unnest({list(postcode.HUB_DISTRICTS)}) AS d) x GROUP BY t.k)
+  SELECT t.k, CASE WHEN c = '' THEN 'urban' WHEN left(c, 2) IN {postcode.CENTRAL} THEN 'central_commercial' WHEN hub THEN 'major_hub' WHEN left(c, 2) IN {postcode.OUTER} THEN 'residential' ELSE 'urban' END AS area_type FROM t JOIN h USING (k)""", "mixed_postcodes")
 def _(i):
-    return i.mixed_postcodes.where("k % 6 = 2").select("k", postcode.area_type(F.col("raw")).alias("area_type"))
+    return i.mixed_postcodes.select("k", postcode.area_type(F.col("raw")).alias("area_type"))
 
 
 @query("property_kind", """SELECT id, CASE WHEN property_type IS NULL OR property_type = 'Land' THEN 'other' WHEN property_type IN ('Flat', 'Maisonette', 'Studio', 'Penthouse') THEN 'flat' ELSE 'house' END AS kind FROM listings""", "listings")

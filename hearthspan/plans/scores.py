@@ -148,14 +148,22 @@ def _(i):
     return op.dedupe_by_distance(op.named_station_score(stops(i)).select("subject", "place_id", "name", "r_lat", "r_lon", "minutes", "score"))
 
 
-@query("dedupe_stations_geo")
+def _greedy(score, reach, km, out):
+    """The rule taken in order, one station a step."""
+    far = "2 * 6371 * asin(sqrt(pow(sin(radians(x.lat - r.lat) / 2), 2) + cos(radians(x.lat)) * cos(radians(r.lat)) * pow(sin(radians(x.lon - r.lon) / 2), 2)))"
+    return f"""WITH RECURSIVE {_NEAR}, r AS MATERIALIZED (SELECT subject, place_id, latitude AS lat, longitude AS lon, row_number() OVER (PARTITION BY subject ORDER BY {score} DESC, place_id) AS k FROM near WHERE km <= {reach}),
+  f(subject, k, kept) AS (SELECT subject, 0::BIGINT, []::STRUCT(id BIGINT, lat DOUBLE, lon DOUBLE)[] FROM (SELECT DISTINCT subject FROM r)
+   UNION ALL SELECT r.subject, r.k, CASE WHEN len(list_filter(kept, lambda x: {far} < {km})) = 0 THEN list_append(kept, {{'id': r.place_id, 'lat': r.lat, 'lon': r.lon}}) ELSE kept END FROM f JOIN r ON r.subject = f.subject AND r.k = f.k + 1),
+  g AS (SELECT subject, kept FROM f QUALIFY row_number() OVER (PARTITION BY subject ORDER BY k DESC) = 1) {out}"""
+
+
+@query("dedupe_stations_geo", _greedy("reviews", 1.2, 0.4, "SELECT subject, k.id AS place_id FROM (SELECT subject, unnest(kept) AS k FROM g) x"), "coords places")
 def _(i):
-    # rows only: the greedy distance rule has no SQL form; a brute-force case is in the tests
     near = op.near_places(points(i), places(i), 1.2).withColumn("score", F.col("reviews").cast("double"))
-    return op.dedupe_by_distance(near.select("subject", "place_id", "r_lat", "r_lon", "score"))
+    return op.dedupe_by_distance(near.select("subject", "place_id", "r_lat", "r_lon", "score")).select("subject", "place_id")
 
 
-@query("grouped_map_greedy")
+@query("grouped_map_greedy", _greedy("weight", 0.8, 0.2, "SELECT subject, len(kept) AS kept FROM g"), "coords places")
 def _(i):
     near = op.near_places(points(i), places(i), 0.8).withColumn("score", F.col("weight"))
     kept = op.dedupe_by_distance(near.select("subject", "place_id", "r_lat", "r_lon", "score"), km=0.2)
