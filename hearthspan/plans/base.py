@@ -25,9 +25,15 @@ class Inputs:
         if name.startswith("_"):
             raise AttributeError(name)
         if name in written.LAYOUT:
-            return written.written(self.spark, self.root, name)
-        held = {n: written.written(self.spark, self.root, n) for n in derived.needs(name) if n in written.LAYOUT}
-        return derived.build(self.spark, self.root, name, held)
+            return self.held(name)
+        return derived.build(self.spark, self.root, name, {n: self.held(n) for n in derived.needs(name) if n in written.LAYOUT})
+
+    def held(self, name: str) -> DataFrame:
+        """A written input; one query looks once whether the given files are still the same."""
+        memo = self.__dict__.setdefault("_held", {})
+        if name not in memo:
+            memo[name] = written.written(self.spark, self.root, name)
+        return memo[name]
 
 
 PLANS: dict[str, Callable[[Inputs], DataFrame]] = {}

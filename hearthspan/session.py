@@ -26,8 +26,17 @@ def get_spark(master: str | None = None, app: str = "hearthspan", **conf) -> Spa
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one beside the warehouse's tables."""
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    """The folder that driver and executors share: spark.checkpoint.dir, else one beside the warehouse's tables.
+
+    On a cluster a warehouse on a local disk is not shared, so there the setting must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_shared"
+    alone = spark.conf.get("spark.master", "local").split("[")[0] == "local"
+    if not alone and (folder.startswith("file:") or "://" not in folder):
+        raise ValueError(f"executors do not share {folder}: set spark.checkpoint.dir to a folder that they do")
+    return folder
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
