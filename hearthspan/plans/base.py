@@ -32,8 +32,8 @@ class Inputs:
         """A written input; one query looks once whether the given files are still the same."""
         memo = self.__dict__.setdefault("_held", {})
         if name not in memo:
-            memo[name] = written.written(self.spark, self.root, name)
-        return memo[name]
+            memo[name] = written.written_name(self.spark, self.root, name)
+        return self.spark.table(memo[name])
 
 
 PLANS: dict[str, Callable[[Inputs], DataFrame]] = {}

@@ -29,8 +29,8 @@ def stamp(spark: SparkSession, root: str, names: tuple[str, ...]) -> tuple:
     return tuple(sorted(found))
 
 
-def written(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """The input as a table: partitions prune by year, and grouping or joining by the bucket column needs no exchange.
+def written_name(spark: SparkSession, root: str, name: str) -> str:
+    """The name of the input's table: partitions prune by year, and grouping or joining by the bucket column needs no exchange.
 
     It is written when first asked for and again when a given table's files have changed; one copy serves a whole application.
     Buckets follow the number of rows, one for a million, and are never fewer than the cores, so that no stage runs narrower.
@@ -45,4 +45,9 @@ def written(spark: SparkSession, root: str, name: str) -> DataFrame:
         out = derived.build(spark, root, name).repartition(buckets, F.col(bucket)).sortWithinPartitions(partition, bucket)
         out.write.format("parquet").partitionBy(partition).bucketBy(buckets, bucket).sortBy(bucket).option("path", scratch(spark, name)).saveAsTable(held)
         _written[key] = held
-    return spark.table(_written[key])
+    return _written[key]
+
+
+def written(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The input as a table."""
+    return spark.table(written_name(spark, root, name))
