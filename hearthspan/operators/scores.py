@@ -259,6 +259,25 @@ def place_stats(near: DataFrame, key: str = "subject") -> DataFrame:
         F.count_distinct(F.when(F.col("kind").isin(*CATEGORY_WEIGHTS), F.col("kind"))).alias("categories"))
 
 
+# Which category a venue's types count for.
+TYPE_CATEGORY = {"supermarket": "supermarket", "grocery_store": "supermarket", "restaurant": "restaurant", "gym": "gym"}
+
+
+def place_categories(near: DataFrame, key: str = "subject", examples: int = 3) -> DataFrame:
+    """(key, category, total, mean_rating, examples) of the venues near each subject, by the categories of their types.
+
+    near: key, place_id, name, rating, km, types (array). A venue counts once for each of its types that a category has; the mean is
+    over ratings above 0 (0 without any); examples are the nearest names, joined by |.
+    """
+    category = F.create_map(*[F.lit(x) for kv in TYPE_CATEGORY.items() for x in kv])
+    each = near.select(key, "place_id", "name", "rating", "km", F.explode("types").alias("type")).withColumn("category", F.try_element_at(category, F.col("type"))).where("category IS NOT NULL")
+    r = F.coalesce("rating", F.lit(0.0))
+    mean = F.sum(F.when(r > 0, F.round(r * 10).cast("bigint"))) / F.nullif(F.count(F.when(r > 0, 1)), F.lit(0)) / 10
+    stats = each.groupBy(key, "category").agg(F.count(F.lit(1)).alias("total"), F.coalesce(mean, F.lit(0.0)).alias("mean_rating"))
+    top = first_k(each, [key, "category"], ["km", "place_id", "type"], examples).groupBy(key, "category").agg(F.array_sort(F.collect_list(F.struct("rank", "name"))).alias("_e"))
+    return stats.join(top, [key, "category"]).select(key, "category", "total", "mean_rating", F.array_join(F.transform("_e", lambda e: e["name"]), "|").alias("examples"))
+
+
 def amenity_score(stats: DataFrame, key: str = "subject") -> DataFrame:
     """Quantity 40, quality 40, diversity 20."""
     w, m, c = F.col("weighted"), F.coalesce("mean_rating", F.lit(0.0)), F.col("categories")

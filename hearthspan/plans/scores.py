@@ -268,10 +268,23 @@ _STATS = f"""{_NEAR}, st AS (SELECT subject, count(*) AS total, count(*) FILTER
   sum(CASE kind WHEN 'supermarket' THEN 1.5 WHEN 'restaurant' THEN 1.2 WHEN 'gym' THEN 1.0 ELSE 0 END)::DOUBLE AS weighted, count(DISTINCT kind) FILTER (WHERE kind <> 'cafe') AS categories FROM near WHERE km <= 1.0 GROUP BY subject)"""
 
 
-@query("agg_place_stats", f"WITH {_STATS} SELECT subject, total, high_rated, popular, round(mean_rating, 6) AS mean_rating, round(weighted, 4) AS weighted, categories FROM st", "coords places")
+_TYPES = f"""{_STATS}, t AS (SELECT subject, place_id, name, coalesce(rating, 0) AS rating, km, unnest(CASE place_id % 3 WHEN 0 THEN [kind, 'food'] WHEN 1 THEN [kind, 'grocery_store'] ELSE [kind] END) AS type FROM near WHERE km <= 1.0),
+  k AS (SELECT *, row_number() OVER (PARTITION BY subject, category ORDER BY km, place_id, type) AS q FROM (SELECT *, CASE type WHEN 'supermarket' THEN 'supermarket' WHEN 'grocery_store' THEN 'supermarket' WHEN 'restaurant' THEN 'restaurant' WHEN 'gym' THEN 'gym' END AS category FROM t) x WHERE category IS NOT NULL),
+  c AS (SELECT subject, category, count(*) AS total, coalesce((sum(round(rating * 10)::BIGINT) FILTER (WHERE rating > 0)) / (count(*) FILTER (WHERE rating > 0)) / 10, 0) AS mean_rating, string_agg(name, '|' ORDER BY q) FILTER (WHERE q <= 3) AS examples FROM k GROUP BY ALL)"""
+
+
+@query("agg_place_stats", f"""WITH {_TYPES} SELECT subject, 'all' AS category, total, high_rated, popular, round(mean_rating, 6) AS mean_rating, round(weighted, 4) AS weighted, (SELECT count(*) FROM c WHERE c.subject = st.subject) AS categories, NULL AS examples FROM st
+  UNION ALL SELECT subject, category, total, NULL, NULL, round(mean_rating, 6), NULL, NULL, examples FROM c""", "coords places")
 def _(i):
-    s = op.place_stats(op.near_places(points(i), places(i), 1.0))
-    return s.withColumn("mean_rating", F.round("mean_rating", 6)).withColumn("weighted", F.round("weighted", 4))
+    # a row for all venues and one for each category; some venues have a second type
+    kind = F.col("kind")
+    second = F.when(F.col("place_id") % 3 == 0, F.array(kind, F.lit("food"))).when(F.col("place_id") % 3 == 1, F.array(kind, F.lit("grocery_store"))).otherwise(F.array(kind))
+    near = op.near_places(points(i), places(i), 1.0).withColumn("types", second)
+    by = op.place_categories(near).withColumn("mean_rating", F.round("mean_rating", 6))
+    many = by.groupBy("subject").agg(F.count(F.lit(1)).alias("categories"))
+    s = op.place_stats(near).drop("categories").join(many, "subject", "left").fillna(0, ["categories"])
+    s = s.withColumn("mean_rating", F.round("mean_rating", 6)).withColumn("weighted", F.round("weighted", 4)).withColumn("category", F.lit("all"))
+    return s.unionByName(by, allowMissingColumns=True)
 
 
 @query("score_amenities", f"""WITH {_STATS} SELECT subject, round(CASE WHEN w >= 25 THEN 40 WHEN w >= 20 THEN 35 WHEN w >= 15 THEN 30 WHEN w >= 10 THEN 25 WHEN w >= 5 THEN 20 ELSE w * 3 END
