@@ -1,11 +1,10 @@
 """Mixing sources to target weights, in whole blocks of words.
 
-Each source is one stream of words, cut into blocks of fixed length. A source gets as many slots as its target needs; its
-slots fall on the output shards, as many as the whole mix needs, by a seeded hash, which is a multinomial draw of source
-counts for every shard. A slot takes
-the block that the source's pseudorandom permutation of block numbers gives it, with another permutation for each pass over
-the source. The permutation is a bijection that can be turned round in closed form, so that blocks meet their slots on the
-index where they are: no table of slots is made or shuffled.
+Each source is one stream of words, cut into blocks of fixed length. A source gets as many slots as its target needs. How many
+of them each output shard holds is drawn: a multinomial draw for each source over the shards, as many as the whole mix needs.
+A shard's slots of a source are the next run of slot numbers; a slot takes the block that the source's pseudorandom permutation
+of block numbers gives it, with another permutation for each pass over the source, and the documents' blocks join the slots on
+that index. A slot is a row for every `block` words, so the table of slots is small beside the texts and has no two rows of a key.
 """
 
 from __future__ import annotations
@@ -26,6 +25,8 @@ SHARD_SLOTS = 1 << 16
 SEED = 20
 ROUNDS = 4
 SALTS = 32
+MOST_BROADCAST = 10_000
+PER_TASK = 1 << 17
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -71,6 +72,47 @@ def slot_of(index: Column, n: str, rounds: Column) -> Column:
     return F.aggregate(rounds, index.cast("long"), back)
 
 
+def block_of(slot: Column, n: str, rounds: Column) -> Column:
+    """The block that a slot holds: the same steps forward, the first round first."""
+    a = F.greatest(F.lit(1), F.floor(F.sqrt(F.col(n)))).cast("long")
+    b = F.greatest(F.lit(1), F.floor(F.col(n) / a)).cast("long")
+
+    def forth(k: Column, t: Column) -> Column:
+        x, y = F.floor(k / b), k % b
+        x = F.pmod(x + F.pmod(F.xxhash64(t["salt"], F.lit(0), y), a), a)
+        y = F.pmod(y + F.pmod(F.xxhash64(t["salt"], F.lit(1), x), b), b)
+        return F.pmod(F.when(k < a * b, x * b + y).otherwise(k) + t["by"], F.col(n))
+
+    return F.aggregate(F.reverse(rounds), slot.cast("long"), forth)
+
+
+def drawn(totals: DataFrame, block: int, seed: int, step: int = 1 << 16) -> DataFrame:
+    """The multinomial draw: s, shard, slots (how many of the source the shard holds), first (its first slot number).
+
+    Each of a source's slots falls on a shard by a seeded hash and the falls are counted, so reruns agree and a source's counts
+    sum to what it needs. The numbers are made `step` at a time from rows dealt out first, so no task makes a source's all."""
+    short = F.lit(block) * F.col("blocks") - F.col("words")
+    # the target, and what the short last block leaves out in each pass
+    need = F.ceil((F.round("target") + short * F.size("short_at")) / block).cast("long")
+    n = totals.select("s", "shards", "target", F.least(need, F.col("blocks") * F.size("short_at")).alias("need")).where("target > 0.5 AND need > 0")
+    parts = n.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(need - 1) div {step}"))))
+    total = n.agg(F.sum("need")).first()[0] or 0
+    parts = parts.repartition(max(1, -(-total // PER_TASK)), "s", "part")  # a stated number, which is not put together again: few rows make many
+    falls = parts.select("s", "shards", F.explode(F.sequence(F.col("part") * step, F.least(F.col("need"), (F.col("part") + 1) * step) - 1)).alias("no"))
+    falls = falls.groupBy("s", F.pmod(F.xxhash64(F.lit(seed), "s", "no"), "shards").alias("shard")).agg(F.count(F.lit(1)).alias("slots"))
+    before = Window.partitionBy("s").orderBy("shard")
+    return checkpointed(falls.withColumn("first", F.sum("slots").over(before) - F.col("slots")))
+
+
+def slots(draws: DataFrame, totals: DataFrame) -> DataFrame:
+    """s, shard, slot, pass and the index of the block that the slot takes."""
+    t = totals.select("s", "blocks", "turns")
+    total = draws.agg(F.sum("slots")).first()[0] or 0
+    d = draws.repartition(max(1, -(-total // PER_TASK)), "s", "shard").select("s", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("slots") - 1)).alias("slot")).join(F.broadcast(t) if t.count() <= MOST_BROADCAST else t, "s")
+    d = d.withColumn("pass", F.expr("slot div blocks").cast("int"))
+    return d.select("s", "shard", "slot", "pass", block_of(F.col("slot") % F.col("blocks"), "blocks", F.col("turns")[F.col("pass")]).alias("index"))
+
+
 def salted(totals: DataFrame) -> DataFrame:
     """Each source's row once for every salt, so that a join spreads the documents of a large source."""
     return totals.withColumn("salt", F.explode(F.array(*[F.lit(i).cast("long") for i in range(SALTS)])))
@@ -126,11 +168,10 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), doc_id: str = "doc_id", te
         d = checkpointed(d)
     d = d.join(salted(totals.drop("source")), ["s", "salt"]).drop("salt")
     p = d.where("size > 0").select(
-        "s", "start", "size", "words", "target", "blocks", "shards", "turns", "short_at",
+        "s", "start", "size", "words", "target", "blocks", "short_at",
         F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("index"),
     )
-    p = p.withColumn("pass", F.explode(F.array(*[F.lit(e) for e in range(math.ceil(cap))])))
-    p = p.withColumn("slot", slot_of(F.col("index"), "blocks", F.col("turns")[F.col("pass")]) + F.col("pass") * F.col("blocks"))
+    p = p.join(slots(drawn(totals, block, seed), totals), ["s", "index"])
     short = F.lit(block) * F.col("blocks") - F.col("words")
     earlier = sum((F.col("short_at")[e] < F.col("slot")).cast("long") for e in range(math.ceil(cap)))
     room = F.round("target").cast("long") - (F.col("slot") * block - short * earlier)
@@ -138,16 +179,16 @@ def mix(docs: DataFrame, carry: tuple[str, ...] = (), doc_id: str = "doc_id", te
     hi = F.least(F.lit(block), F.col("start") + F.col("size") - F.col("index") * block, room)
     p = p.withColumn("lo", lo).withColumn("hi", hi).where("hi > lo")
     offset = F.col("index") * block - F.col("start")
-    return d, p.select("s", "start", "pass", "index", "slot", F.pmod(F.xxhash64(F.lit(seed), "s", "slot"), "shards").alias("shard"), (F.col("lo") + offset).alias("lo"), (F.col("hi") + offset).alias("hi"))
+    return d, p.select("s", "start", "pass", "index", "slot", "shard", (F.col("lo") + offset).alias("lo"), (F.col("hi") + offset).alias("hi"))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
+    """One row per document: doc_id, size, source_size, target, taken, first_shard (the lowest shard that takes words of it; null: none)."""
     d, pieces = mix(docs, **options)
-    sums = pieces.groupBy("s", "start").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"))
+    sums = pieces.groupBy("s", "start").agg(F.sum(F.col("hi") - F.col("lo")).alias("taken"), F.min("shard").alias("first_shard"))
     d = d.select("s", "start", "doc_id", "size", F.col("words").alias("source_size"), "target")
-    some = d.where("size > 0").join(sums, ["s", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    none = d.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    some = d.where("size > 0").join(sums, ["s", "start"], "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_shard")
+    none = d.where("size = 0").select("doc_id", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast("long").alias("first_shard"))
     return some.unionByName(none)
 
 

@@ -86,6 +86,31 @@ def test_permutation_is_a_bijection(spark):
         for e in (0, 1):
             out = [r[0] for r in d.select(mixing.slot_of(F.col("id"), "n", F.col("t")[e])).collect()]
             assert sorted(out) == list(range(n))
+            there = F.col("t")[e]
+            assert d.where(mixing.block_of(mixing.slot_of(F.col("id"), "n", there), "n", there) == F.col("id")).count() == n
+
+
+def test_draw_of_counts_places_the_blocks(docs_of):
+    rows = [(i, f"{s} " * 90, "en", s) for i, s in enumerate("aabbbbc" * 60)]
+    docs = docs_of(rows)
+    totals = mixing.source_totals(docs, block=16, shard_slots=200)
+    draws = [r.asDict() for r in mixing.drawn(totals, 16, mixing.SEED, step=100).collect()]
+    own = {r.s: r for r in totals.collect()}
+    for s, t in own.items():
+        mine = sorted((d["shard"], d["first"], d["slots"]) for d in draws if d["s"] == s)
+        # counts of a source sum to the slots that its target needs, in runs one after the other
+        assert 0 <= sum(n for *_, n in mine) - t.target / 16 <= 3 and [f for _, f, _ in mine] == [sum(n for *_, n in mine[:i]) for i in range(len(mine))]
+        mean = sum(n for *_, n in mine) / t.shards
+        assert len(mine) == t.shards > 5 and all(abs(n - mean) < 6 * mean**0.5 for *_, n in mine) and len({n for *_, n in mine}) > 1
+    _, pieces = mixing.mix(docs, block=16, shard_slots=200)
+    placed = defaultdict(set)
+    for r in pieces.collect():
+        placed[r.s, r.shard].add(r.slot)
+    for d in draws:
+        run = set(range(d["first"], d["first"] + d["slots"]))
+        assert placed[d["s"], d["shard"]] <= run and len(run - placed[d["s"], d["shard"]]) <= 2
+    first = {r.doc_id: r.first_shard for r in mixing.taken(docs, block=16, shard_slots=200).collect()}
+    assert len(set(first.values())) > 3
 
 
 def test_mixed_documents_hold_what_is_taken(docs_of, odd_rows):
