@@ -1,8 +1,8 @@
 """Repeated passages by sliding sentence spans and sliding windows of words.
 
 Runs of consecutive sentences and windows of words at every position are hashed (128 bits over the words), equal ones meet
-globally, and words that lie in one which is not the first of its kind are covered. Stretches of covered words go if they are
-long enough; so two short sentences that happen to follow one another elsewhere stay. Windows are opened only around seeds (a
+globally, and words that lie in one which is not the first of its kind are covered. Stretches of covered words go from a dozen
+words on; so two formulas of a few words that happen to follow one another elsewhere stay. Windows are opened only around seeds (a
 few words in a hundred begin one) that occur twice: every window that occurs twice holds such a seed, so none is lost.
 """
 
@@ -23,7 +23,7 @@ from hearthspan.session import checkpointed
 STOP = np.isin(np.arange(256), [ord(c) for c in ".!?"])
 RUN = 2
 LONG = 50
-LEAST = 25
+LEAST = 12
 
 
 def texts(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
