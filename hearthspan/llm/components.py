@@ -11,13 +11,12 @@ from hearthspan.session import checkpointed
 def components(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (id, component): every id of an edge with the smallest id that it reaches.
 
-    Each round hangs the larger neighbours of every node on its smallest neighbour, then the smaller ones; it ends when
-    nothing moves, with one star a component. Minima are combined before the shuffle; nothing is gathered.
+    Each round hangs the larger neighbours of every node on its smallest neighbour, then the smaller ones; it ends when every
+    component is one star around its smallest id. Minima are combined before the shuffle; nothing is gathered.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = checkpointed(e)
-    state = None
-    while True:
+    while not stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -26,8 +25,11 @@ def components(edges: DataFrame) -> DataFrame:
         # what had another neighbour below it hangs on its smallest one too
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         e = checkpointed(small)
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        if now == state:
-            break
-        state = now
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+
+
+def stars(e: DataFrame) -> bool:
+    """Every u hangs on one v, which is smaller and hangs on none."""
+    ends = e.select(F.col("u").alias("id"), F.lit(1).alias("hangs"), F.lit(0).alias("holds")).unionByName(e.select(F.col("v").alias("id"), F.lit(0).alias("hangs"), F.lit(1).alias("holds")))
+    odd = ends.groupBy("id").agg(F.sum("hangs").alias("hangs"), F.max("holds").alias("holds")).where("hangs > 1 OR (hangs = 1 AND holds = 1)")
+    return odd.isEmpty()

@@ -6,8 +6,9 @@ candidates; the numbers of registers that are larger, smaller and equal, with bo
 what comes near the threshold is confirmed on full sets.
 
 Work stays in proportion to links, not to pairs: documents with equal sets count as one; in a first round each bucket's
-members meet only its smallest id; afterwards only pairs of different components that still share a bucket meet, block by
-block, so a bucket of any size is split and every candidate is seen.
+members meet only its smallest id; with more `rounds` those still apart meet a member of the bucket's largest component; afterwards
+only pairs of different components that still share a bucket meet, block by block, so a bucket of any size is split and every
+candidate is seen. Rounds decide what the search costs, not what it finds.
 """
 
 from __future__ import annotations
@@ -29,8 +30,9 @@ RATE = 20.0
 TOP = 127
 BAND = 8
 DEVIATIONS = 5
+ROUNDS = 1
 BROADCAST_IDS = 500_000
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 16 << 20
 
 
 def registers(sets: list[np.ndarray], m: int) -> np.ndarray:
@@ -185,7 +187,7 @@ def rest_pairs(blocks: DataFrame, m: int, bands: int, percent: int, kind: str) -
     return blocks.mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, m: int = 512, bands: int = 48, block: int = 256) -> DataFrame:
+def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, m: int = 768, bands: int = 48, block: int = 256, rounds: int = ROUNDS) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     A document's set holds its distinct k-word shingles (A-Z as a-z, words without white space); with fewer words the whole
@@ -195,7 +197,7 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kept false. An empty table gives an empty result; other columns are ignored.
 
     The first `bands` * 8 of m registers make the bands; all m go into the estimate. A pair at the very threshold shares no band
-    with a probability of about 1e-5 (32 bands at 85, 48 at 80) and is estimated too low with one of 2e-4; both fall fast above it.
+    with a probability of about 1e-5 (32 bands at 85, 48 at 80) and is estimated too low with one of 3e-7; both fall fast above it.
     """
     rows = take(docs, doc_id, text)
     kind = dict(rows.dtypes)["doc_id"]
@@ -210,12 +212,24 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     members = checkpointed(banded.join(shared, ["band", "key"]))
     side = lambda p: nodes.select(F.col("id").alias(p), F.col("n").alias(f"n{p}"), F.col("regs").alias(f"r{p}"))
     sized = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    stars = members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where(sized)
-    links = checkpointed(confirmed(checkpointed(near(stars, m, percent)), texts, k, percent))
-    joined = components(links)
-
     lead = F.coalesce("component", "id")
+
+    def tested(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) -> those that hold, by the estimate first."""
+        pairs = pairs.distinct().join(side("a"), "a").join(side("b"), "b").where(sized)
+        return checkpointed(confirmed(checkpointed(near(pairs, m, percent)), texts, k, percent))
+
+    joined = components(tested(members.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))))
+    for turn in range(1, rounds):
+        # what is still apart in a bucket meets a member of the bucket's largest component there, another one each round
+        held = members.where("size > 2").join(joined, "id", "left").select("band", "key", "id", lead.alias("component"))
+        own = held.groupBy("band", "key", "component").agg(F.count(F.lit(1)).alias("many"), F.min_by("id", F.xxhash64("id", "band", F.lit(turn))).alias("pivot"))
+        top = own.groupBy("band", "key").agg(F.max_by(F.struct("pivot", "component"), F.struct("many", "component")).alias("top"), F.count(F.lit(1)).alias("apart")).where("apart > 1")
+        links = tested(held.join(top.select("band", "key", "top"), ["band", "key"]).where("component <> top.component").select(F.col("top.pivot").alias("a"), F.col("id").alias("b")))
+        if links.isEmpty():
+            break
+        joined = components(links.unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b"))))
+
     held = members.where("size > 2").join(joined, "id", "left").select("band", "key", "size", "id", lead.alias("component"))
     split = held.groupBy("band", "key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "key")
     held = held.join(split, ["band", "key"]).join(nodes, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / block)))
@@ -224,8 +238,8 @@ def near_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     other = blocks.select("band", "key", F.col("block").alias("other"), F.col("left").alias("right"))
     blocks = blocks.join(other, ["band", "key"]).where("block <= other").select("band", "left", "right", (F.col("block") == F.col("other")).alias("same"))
     rest = checkpointed(rest_pairs(blocks, m, bands, percent, kind).distinct())
-    more = confirmed(rest, texts, k, percent)
-    joined = checkpointed(components(links.unionByName(more)))
+    if not rest.isEmpty():
+        joined = components(confirmed(rest, texts, k, percent).unionByName(joined.select(F.col("id").alias("a"), F.col("component").alias("b"))))
 
     found = nodes.join(joined, "id", "left").select("d1", "d2", "n", lead.alias("component_id"))
     out = known.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")

@@ -60,8 +60,9 @@ def near_rows(odd_rows):
     return rows
 
 
-def test_near_components_are_exact(docs_of, near_rows):
-    out = near_dedup.near_components(docs_of(near_rows), k=3, percent=85, bands=32, block=16).collect()
+@pytest.mark.parametrize("rounds", [near_dedup.ROUNDS, 3])
+def test_near_components_are_exact(docs_of, near_rows, rounds):
+    out = near_dedup.near_components(docs_of(near_rows), k=3, percent=85, bands=32, block=16, rounds=rounds).collect()
     want = brute(near_rows, 3, 85)
     assert len(out) == len(near_rows)
     for r in out:
@@ -173,6 +174,12 @@ def test_spans_match_brute_force(docs_of, span_rows):
     assert all(r.first_doc_id <= r.doc_id for r in out) and len(out) > 20
 
 
+def test_two_shared_sentences_go(docs_of):
+    both = "The quick brown fox jumps over the lazy old dog. It then sleeps under a tall green tree until noon."
+    out = span_dedup.repeated(docs_of([(1, f"First words. {both} More here."), (2, f"Other opening. {both} Another end."), (3, "Yes. No. Other text."), (4, "Yes. No. Still other.")])).collect()
+    assert [(r.doc_id, r.first_sentence, r.n_sentences, r.n_words, r.first_doc_id) for r in out] == [(2, 1, 2, 20, 1)]
+
+
 def test_cutting_leaves_one_copy(docs_of, span_rows):
     docs = docs_of(span_rows)
     spans = span_dedup.repeated(docs)
