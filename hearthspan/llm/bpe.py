@@ -170,7 +170,7 @@ class Encoder:
                     out[i] = ids[a:b]
         return out
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
         matches = list(map(self.pattern.findall, texts))
         words: dict[str, int] = {}
         at = [[words.setdefault(m, len(words)) for m in ms] for ms in matches]

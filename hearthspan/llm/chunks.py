@@ -8,6 +8,7 @@ with other arrangements of white space around a space is encoded as a whole.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,11 @@ from hearthspan.llm.common import ragged, strings
 
 SLICE = 4 << 20
 
+# White space as str.isspace() has it; a chunk that is empty, begins or ends with it, or as a text's first ends with it, depends on what is beside it.
+_SPACE = r"[\pZ\t-\r\x1c-\x1f\x{85}]"
+ODD_INSIDE = rf"\A\z|\A{_SPACE}|{_SPACE}\z"
+ODD_FIRST = rf"{_SPACE}\z"
+
 
 class Growing:
     """An array that grows by doubling."""
@@ -33,9 +39,9 @@ class Growing:
 
 
 class Chunks:
-    """Ids of the chunks seen so far. encode: list of texts -> (all ids, ids of each). Beyond `most` chunks it forgets those that few slices held, which only costs time."""
+    """Ids of the chunks seen so far. encode: list of texts, whether each begins with its only space -> (all ids, ids of each). Beyond `most` chunks it forgets those that few slices held, which only costs time."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str], bool], tuple[np.ndarray, np.ndarray]], most: int = 400_000):
         self.encode, self.most = encode, most
         self.clear()
 
@@ -57,24 +63,25 @@ class Chunks:
         for x, v in ((self.ids, ids), (self.starts, np.cumsum(lengths) - lengths), (self.lengths, lengths), (self.odd, odd), (self.uses, uses)):
             x.extend(v)
 
-    def add(self, chunks: list[str], odd: list[bool]) -> None:
-        ids, lengths = self.encode([c for c, o in zip(chunks, odd) if not o])
+    def add(self, chunks: list[str], odd: np.ndarray, spaced: bool) -> None:
+        ids, lengths = self.encode([chunks[i] for i in np.flatnonzero(~odd)] if odd.any() else chunks, spaced)
         all_lengths = np.zeros(len(chunks), np.int64)
-        all_lengths[~np.array(odd, bool)] = lengths
+        all_lengths[~odd] = lengths
         self.index.update(zip(chunks, range(len(self.index), len(self.index) + len(chunks))))
         self.starts.extend(self.ids.size + np.cumsum(all_lengths) - all_lengths)
         self.lengths.extend(all_lengths)
-        self.odd.extend(np.array(odd, bool))
+        self.odd.extend(odd)
         self.uses.extend(np.zeros(len(chunks), np.int32))
         self.ids.extend(ids)
 
-    def look_up(self, chunks: list[str], odd: Callable[[str], bool]) -> np.ndarray:
-        found = list(map(self.index.get, chunks))
-        if None in found:
-            new = list(dict.fromkeys(c for c, i in zip(chunks, found) if i is None))
-            self.add(new, list(map(odd, new)))
-            found = list(map(self.index.__getitem__, chunks))
-        return np.array(found, np.int64)
+    def look_up(self, chunks: list[str], odd: pa.Array, spaced: bool) -> np.ndarray:
+        """Where each of some different chunks is held; odd: which of them may not be encoded alone; spaced: all begin with their only space."""
+        found = np.fromiter(map(self.index.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            found[new] = len(self.index) + np.arange(len(new))
+            self.add([chunks[i] for i in new.tolist()], odd.take(pa.array(new)).to_numpy(zero_copy_only=False), spaced)
+        return found
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, ids of each text)."""
@@ -85,18 +92,20 @@ class Chunks:
         values = parts.values.slice(offsets[0], offsets[-1] - offsets[0])
         offsets = offsets - offsets[0]
         coded = values.dictionary_encode()
-        spaced = self.look_up([" " + v for v in coded.dictionary.to_pylist()], odd_inside)
+        names = coded.dictionary
+        spaced = self.look_up(pc.binary_join_element_wise("", names, " ").to_pylist(), pc.match_substring_regex(names, ODD_INSIDE), True)
         self.uses.data[spaced] += 1
         at = spaced[coded.indices.to_numpy()]
-        first = self.look_up(values.take(pa.array(offsets[:-1])).to_pylist(), odd_first)
-        at[offsets[:-1]] = first
+        opening = values.take(pa.array(offsets[:-1])).dictionary_encode()
+        first = self.look_up(opening.dictionary.to_pylist(), pc.match_substring_regex(opening.dictionary, ODD_FIRST), False)
+        at[offsets[:-1]] = first[opening.indices.to_numpy()]
         lengths = self.lengths.data[at].astype(np.int64)
         ids = self.ids.data[ragged(self.starts.data[at], lengths)]
         sums = np.concatenate([[0], np.cumsum(lengths)])[offsets]
         odd = np.add.reduceat(self.odd.data[at].astype(np.int64), offsets[:-1]) > 0 if len(column) else np.zeros(0, bool)
         counts = np.diff(sums)
         if odd.any():
-            whole, whole_counts = self.encode(column.filter(pa.array(odd)).to_pylist())
+            whole, whole_counts = self.encode(column.filter(pa.array(odd)).to_pylist(), False)
             pieces = np.split(ids, sums[1:-1])
             for i, x in zip(np.flatnonzero(odd), np.split(whole, np.cumsum(whole_counts)[:-1])):
                 pieces[i], counts[i] = x, len(x)
@@ -104,14 +113,6 @@ class Chunks:
         return ids, counts
 
 
-def odd_inside(chunk: str) -> bool:
-    return len(chunk) == 1 or chunk[1].isspace() or chunk[-1].isspace()
-
-
-def odd_first(chunk: str) -> bool:
-    return chunk[-1:].isspace()
-
-
 def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
     """[from, to) of runs of rows with about `size` bytes, one row at least."""
     _, offsets = strings(column)

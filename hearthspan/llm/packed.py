@@ -1,8 +1,8 @@
 """Token ids in fixed-width bit-packed files.
 
 Ids take the fewest bits that hold the vocabulary. A file is a row of blocks of `block` ids each (the last may be shorter), 8
-ids to `bits` bytes, then a footer with every block's offset and the document table (id and number of ids, in file order),
-then 32 bytes: footer offset, bits, block length, magic. Spark's text writer writes a file's parts one after the other and
+ids to `bits` bytes, then a footer with every block's offset, the number of documents without an id, which come first, and the
+document table (id and number of ids, in file order), then 32 bytes: footer offset, bits, block length, magic. Spark's text writer writes a file's parts one after the other and
 ends each with a line feed, which the offsets allow for; so files go to any store that Spark can write to.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +26,8 @@ from hearthspan.session import checkpointed, scratch
 
 MAGIC = b"SPANPACK"
 BLOCK = 1 << 16
-NO_ID = np.iinfo(np.int64).min
+FILE_IDS = 1 << 23  # 16 MB at 16 bits: a file is read as one row
+ENCODED = 4 << 20  # bytes of text encoded at once
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -59,8 +61,8 @@ class Reader:
         at, self.bits, self.block, magic = struct.unpack("<qqq8s", data[-33:-1])
         if magic != MAGIC:
             raise ValueError("not a packed id file")
-        n_blocks, n_docs = struct.unpack_from("<qq", data, at)
-        table = np.frombuffer(data, "<i8", n_blocks + 2 * n_docs, at + 16)
+        n_blocks, n_docs, self.nulls = struct.unpack_from("<qqq", data, at)
+        table = np.frombuffer(data, "<i8", n_blocks + 2 * n_docs, at + 24)
         self.offsets, self.doc_ids, self.counts = table[:n_blocks], table[n_blocks : n_blocks + n_docs], table[n_blocks + n_docs :]
         self.ends = np.cumsum(self.counts)
         self.total = int(self.ends[-1]) if n_docs else 0
@@ -89,37 +91,25 @@ class Library:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.opens = np.zeros(self.size, bool)
         self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
-        self.chunks = Chunks(self.encode)
+        self.chunks = Chunks(self.encode, 150_000)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        joint = [i for i, t in enumerate(texts) if len(t) > 1 and t[0] == " " and t.count(" ") == 1 and not t[1].isspace() and not t[-1].isspace()]
-        own = sorted(set(range(len(texts))) - set(joint)) if len(joint) < len(texts) else []
-        counts = np.zeros(len(texts), np.int64)
-        step, parts = 2000, []
-        for k in range(0, len(joint), step):
-            ids = np.array(self.whole(["".join([texts[i] for i in joint[k : k + step]])])[0], np.int32)
-            at = np.flatnonzero(self.opens[ids])
-            counts[joint[k : k + step]] = np.diff(np.append(at, len(ids)))
+    def encode(self, texts: list[str], spaced: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        if not spaced:
+            told = self.whole(texts) if texts else []
+            return np.array([i for ids in told for i in ids], np.int32), np.array(list(map(len, told)), np.int64)
+        parts, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        for k in range(0, len(texts), 2000):
+            ids = np.array(self.whole(["".join(texts[k : k + 2000])])[0], np.int32)
             parts.append(ids)
-        if not own:
-            return np.concatenate([*parts, np.zeros(0, np.int32)]), counts
-        told = self.whole([texts[i] for i in own])
-        counts[own] = list(map(len, told))
-        out = np.zeros(int(counts.sum()), np.int32)
-        mine = np.zeros(len(texts), bool)
-        mine[own] = True
-        mask = np.repeat(mine, counts)
-        out[mask] = [i for ids in told for i in ids]
-        out[~mask] = np.concatenate([*parts, np.zeros(0, np.int32)])
-        return out, counts
+            counts.append(np.diff(np.append(np.flatnonzero(self.opens[ids]), len(ids))))
+        return np.concatenate(parts), np.concatenate(counts)
 
 
 @functools.lru_cache(maxsize=2)
@@ -133,30 +123,49 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def writer(path: str, end_id: int, block: int) -> Callable:
+def coded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
+    """doc_id, row (a number of its own), n ids and their bytes, of every document with its end id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, row = library(vocabulary), TaskContext.get().partitionId() << 33
+        kind = "<u2" if code.size <= 1 << 16 else "<u4"
+        for batch in batches:
+            for i, j in slices(batch.column("text"), ENCODED):
+                ids, n = code.chunks.texts(batch.column("text").slice(i, j - i))
+                flat = np.insert(ids, np.cumsum(n), end_id).astype(kind)
+                ends = np.concatenate([[0], np.cumsum(n + 1)]) * flat.itemsize
+                yield pa.RecordBatch.from_pydict({
+                    "doc_id": batch.column("doc_id").slice(i, j - i), "row": pa.array(row + np.arange(j - i)), "n": pa.array(n + 1),
+                    "ids": pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary()),
+                })
+                row += j - i
+
+    return docs.mapInArrow(run, "doc_id long, row long, n long, ids binary")
+
+
+def writer(path: str, block: int) -> Callable:
     """Rows of one partition, in id order -> the parts of one file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = library(path)
-        bits = max(1, (code.size - 1).bit_length())
-        rest, at, offsets, doc_ids, counts = np.zeros(0, np.int32), 0, [], [], []
+        size = library(path).size
+        bits, kind = max(1, (size - 1).bit_length()), "<u2" if size <= 1 << 16 else "<u4"
+        rest, at, nulls, offsets, doc_ids, counts = np.zeros(0, kind), 0, 0, [], [], []
 
         def part(data: bytes) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"part": pa.array([data], pa.binary())})
 
         for batch in batches:
-            for i, j in slices(batch.column("text")):
-                ids, n = code.chunks.texts(batch.column("text").slice(i, j - i))
-                doc_ids.append(batch.column("doc_id").slice(i, j - i).fill_null(NO_ID).to_numpy())
-                counts.append(n + 1)
-                rest = np.concatenate([rest, np.insert(ids, np.cumsum(n), end_id)])
-                full = len(rest) // block
-                for b in range(full):
-                    data = pack(rest[b * block : (b + 1) * block], bits)
-                    offsets.append(at)
-                    at += len(data) + 1
-                    yield part(data)
-                rest = rest[full * block :]
+            nulls += batch.column("doc_id").null_count
+            doc_ids.append(batch.column("doc_id").fill_null(0).to_numpy())
+            counts.append(batch.column("n").to_numpy())
+            rest = np.concatenate([rest, *[np.frombuffer(x.as_buffer(), kind) for x in batch.column("ids")]])
+            full = len(rest) // block
+            for b in range(full):
+                data = pack(rest[b * block : (b + 1) * block], bits)
+                offsets.append(at)
+                at += len(data) + 1
+                yield part(data)
+            rest = rest[full * block :]
         if counts:
             if len(rest):
                 data = pack(rest, bits)
@@ -164,19 +173,23 @@ def writer(path: str, end_id: int, block: int) -> Callable:
                 at += len(data) + 1
                 yield part(data)
             table = np.concatenate([np.array(offsets, "<i8"), *doc_ids, *counts]).astype("<i8")
-            yield part(struct.pack("<qq", len(offsets), sum(map(len, counts))) + table.tobytes() + struct.pack("<qqq8s", at, bits, block, MAGIC))
+            yield part(struct.pack("<qqq", len(offsets), sum(map(len, counts)), nulls) + table.tobytes() + struct.pack("<qqq8s", at, bits, block, MAGIC))
 
     return run
 
 
-def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 2, block: int = BLOCK) -> None:
+def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 2, block: int = BLOCK, file_ids: int = FILE_IDS) -> None:
     """Encode, append `end_id` to each document and write files under `path`, documents in ascending order of id over all files.
 
-    Null text counts as empty (the end id alone); null ids come first and read back as null; repeated ids stay together in one
-    file; an empty table writes no file. Ids must fit a long.
+    Texts are encoded where they are read; only ids are sorted and moved. A file holds about `file_ids` ids, however many rows or
+    partitions there are, and rows of one id may be cut between files. Null text counts as empty (the end id alone); null ids come
+    first and read back as null; repeated ids stand together in an order of their own; an empty table writes no file. Ids must fit a long.
     """
-    rows = take(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    parts = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(writer(vocabulary or default_vocabulary(), end_id, block), "part binary")
+    vocabulary, held = vocabulary or default_vocabulary(), scratch(docs.sparkSession, "coded")
+    coded(take(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long")), vocabulary, end_id).write.parquet(held)
+    rows = docs.sparkSession.read.parquet(held)
+    files = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // file_ids))
+    parts = rows.repartitionByRange(files, "doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(writer(vocabulary, block), "part binary")
     parts.select(F.col("part").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
@@ -196,7 +209,7 @@ def read_ids(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame
                     each = [ids[a - starts[0] : b - starts[0]] for a, b in zip(starts, r.ends[i : i + n])]
                     columns = {
                         "file": pa.array([file] * n, pa.int32()),
-                        "doc_id": pa.array(r.doc_ids[i : i + n], pa.int64(), mask=r.doc_ids[i : i + n] == NO_ID),
+                        "doc_id": pa.array(r.doc_ids[i : i + n], pa.int64(), mask=np.arange(i, i + n) < r.nulls),
                         "local": pa.array(starts), "n_tokens": pa.array(r.counts[i : i + n]),
                         "ids_crc32": pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in each], pa.int64()),
                     }

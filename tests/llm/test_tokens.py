@@ -10,7 +10,7 @@ import pytest
 from hearthspan.llm import bpe, packed
 
 TEXTS = ["", None, " ", "  a", " a", "a ", "a  b", "a\n b", "a\t\tb c", " x y", "x　 y", "it's we'll 123 4567 ABC!!! ??\n\n\n  foo", "é" * 700, "x" * 3000 + " " + "ab" * 400, " " * 2000,
-         "\n" * 300 + "z", "\x1c a \x1d\x1e b", "日本語 テキスト 😀😀 ok", "<|endoftext|> hi", "a\x85b \x85 c", "\r\n a\r\n"]
+         "\n" * 300 + "z", "\x1c a \x1d\x1e b", "日本語 テキスト 😀😀 ok", "<|endoftext|> hi", "a <|endoftext|> b", "a<|endoftext|>b <|endoftext|><|endoftext|>", " <|endoftext|>", "x <|endoftext|>y z", "a\x85b \x85 c", "\r\n a\r\n"]
 
 
 @pytest.fixture(scope="module")
@@ -32,8 +32,7 @@ def by_tiktoken():
 def by_library():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packed.default_vocabulary())
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(packed.default_vocabulary())  # as it is: the end-of-text string is its special token
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -84,7 +83,7 @@ def test_encoded(docs_of, odd_rows, by_tiktoken):
 
 def test_files_hold_all_ids(spark, docs_of, odd_rows, by_library, tmp_path):
     rows = odd_rows + [(i, f"text number {i}\n" * (i % 9)) for i in range(20, 120)]
-    packed.write_ids(docs_of(rows), str(tmp_path / "ids"), block=64)
+    packed.write_ids(docs_of(rows), str(tmp_path / "ids"), block=64, file_ids=2000)
     out = packed.read_ids(spark, str(tmp_path / "ids")).orderBy("start").collect()
     order = [r.doc_id for r in out]
     assert order == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
@@ -101,5 +100,19 @@ def test_files_hold_all_ids(spark, docs_of, odd_rows, by_library, tmp_path):
     assert (reader.document(2) == whole[reader.ends[1] : reader.ends[2]]).all()
 
 
+def test_the_special_token_is_one_id_and_the_smallest_long_an_id(docs_of):
+    rows = [(-(1 << 63), "a <|endoftext|> b"), (None, "x"), (5, None)]
+    got = [(r.doc_id, r.start, r.n_tokens) for r in packed.written_and_read(docs_of(rows), with_ids=True).orderBy("start").collect()]
+    assert got == [(None, 0, 2), (-(1 << 63), 2, 5), (5, 7, 1)]
+
+
+def test_one_id_in_many_files(docs_of):
+    rows = [(7, f"the same id {n} " * 20) for n in range(200)] + [(None, "none")] * 50
+    out = packed.written_and_read(docs_of(rows), file_ids=500).collect()
+    assert sorted(r.doc_id or 0 for r in out) == [0] * 50 + [7] * 200
+    ends = sorted((r.start, r.n_tokens) for r in out)
+    assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:]))
+
+
 def test_empty_table_writes_no_ids(docs_of):
     assert packed.written_and_read(docs_of([])).count() == 0
