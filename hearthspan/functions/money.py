@@ -13,6 +13,8 @@ STANDARD = [(125_000, 0.0), (250_000, 0.02), (925_000, 0.05), (1_500_000, 0.10),
 FIRST_TIME = [(300_000, 0.0), (500_000, 0.05)]
 NON_RESIDENTIAL = [(150_000, 0.0), (250_000, 0.02), (TOP, 0.05)]
 FIRST_TIME_CEILING = 500_000
+# Band edges tried beside the solved prices.
+EDGES, FIRST_TIME_EDGES = (125_000, 250_000, 925_000), (300_000, 500_000)
 FEES, BUFFER = 6_000, 15_000
 ASSUMED_RATE, ASSUMED_TERM = 5.25, 30
 NINTHS_OF_D = {"B": 7, "C": 8, "D": 9, "E": 11, "F": 13, "G": 15}
@@ -43,24 +45,37 @@ def monthly_payment(price: Column, deposit_pct: Column, rate_pct: Column, years:
     return F.when(deposit >= 100, F.lit(0.0)).otherwise(paid)
 
 
-def _inverse(funds: Column, bands) -> Column:
-    """Largest price whose price + tax fits: on each band the sum is a line, so solve it and keep the best."""
-    best, low, tax = [], 0.0, 0.0
+def _solved(funds: Column, bands) -> list[Column]:
+    """The whole pounds at which the line of each band meets the funds, inside the band or not."""
+    out, low, tax = [], 0.0, 0.0
     for high, rate in bands:
         # funds = price + tax + (price - low) * rate
-        solved = (funds - tax + low * rate) / (1 + rate)
-        best.append(F.when(solved >= low, F.least(solved, F.lit(float(high)))))
+        out.append(F.floor((funds - round(tax - low * rate, 2)) / round(1 + rate, 4)))
         tax += (high - low) * rate
         low = float(high)
-    return F.greatest(F.lit(0.0), *best)
+    return out
+
+
+def _points(price: Column, bands) -> Column:
+    """Tax in hundredths of a percent of a pound, unrounded: whole numbers all through."""
+    taxed, low = F.lit(0), 0
+    for high, rate in bands:
+        taxed = taxed + F.greatest(F.lit(0), F.least(price, F.lit(int(high))) - low) * round(rate * 10_000)
+        low = int(high)
+    return taxed
 
 
 def max_affordable(funds: Column, first_time: Column, fees: int = FEES, buffer: int = BUFFER, renovation: int = 0) -> Column:
-    """Largest whole-pound price with tax, fees, renovation and buffer inside the funds; exact, no search."""
+    """Largest whole-pound price, of those that the bands' lines and edges give, whose tax, fees, renovation and buffer fit; no search.
+
+    Whether a price fits is decided in whole numbers. A quotient rounded below a whole pound still gives the pound under it.
+    """
     left = funds - (fees + buffer + renovation)
-    plain = _inverse(left, STANDARD)
-    relief = F.least(_inverse(left, FIRST_TIME), F.lit(float(FIRST_TIME_CEILING)))
-    return F.when(left <= 0, F.lit(0)).otherwise(F.floor(F.when(first_time, F.greatest(plain, relief)).otherwise(plain)))
+    relief = lambda p: F.when(p <= FIRST_TIME_CEILING, _points(p, FIRST_TIME)).otherwise(_points(p, STANDARD))
+    best = lambda prices, tax: F.array_max(F.filter(F.array(*prices), lambda p: (p >= 0) & (tax(p) <= (left - p) * 10_000)))
+    plain = best(_solved(left, STANDARD) + [F.lit(e) for e in EDGES], lambda p: _points(p, STANDARD))
+    first = best(_solved(left, STANDARD) + _solved(left, FIRST_TIME) + [F.lit(e) for e in FIRST_TIME_EDGES], relief)
+    return F.when(left <= 0, F.lit(0)).otherwise(F.when(first_time, first).otherwise(plain))
 
 
 def total(parts: list[Column]) -> Column:
