@@ -54,9 +54,13 @@ def sliding(events: DataFrame, length: str, step: str, key: str, late: str) -> D
 
 
 def sessions(events: DataFrame, gap: str, key: str, late: str) -> DataFrame:
-    """Closed sessions only: append mode emits one when the watermark has passed it."""
-    w = F.session_window("started_at", gap)
-    return events.withWatermark("started_at", late).groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
+    """Closed sessions only: append mode emits one when the watermark has passed it.
+
+    A row exactly `gap` after the last one begins a new session. Spark would still join it, so its gap is a microsecond shorter.
+    """
+    w = F.session_window("started_at", f"{gap} -1 microseconds")
+    end = (F.col("w.end") + F.expr("INTERVAL 1 MICROSECOND")).alias("end")
+    return events.withWatermark("started_at", late).groupBy(w.alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), end, key, "n")
 
 
 def late_overlap(events: DataFrame, keys: list[str], late: str) -> DataFrame:
