@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hearthspan.functions import curves
 from hearthspan.functions.rank import first_k, group_quantiles
-from hearthspan.operators.spatial import haversine, within_km
+from hearthspan.operators.spatial import grid, haversine, within_km
 from hearthspan.session import checkpointed
 
 # Dimension weights of the total and of each dimension.
@@ -186,30 +186,34 @@ def named_station_score(stops: DataFrame) -> DataFrame:
 def dedupe_by_distance(stations: DataFrame, key: str = "subject", km: float = 0.4) -> DataFrame:
     """Keep stations in score order (ties to the smaller place_id), dropping any within `km` of one already kept.
 
-    Decided in rounds: a station with no better undecided one near it is kept, and what lies near a kept one is dropped. That is
-    what taking them in order gives, without bringing the stations of a place together; there are as many rounds as the
-    longest chain of neighbours in falling order. Places are paired once, whatever the number of keys that see them.
+    At one spot only the best can stay. The rest is decided in rounds on a grid of cells no smaller than `km`: the best undecided
+    station of a cell is kept if none of the eight cells around holds a better one, and what lies near a kept one is dropped. That
+    is what taking them in order gives, without bringing the stations of a place together or pairing them; a cell meets at most
+    four kept ones a round, and there are at most as many rounds as cells that one key sees.
     """
     rest = [c for c in stations.columns if c not in (key, "place_id")]
     own = stations.groupBy(key, "place_id").agg(F.max_by(F.struct(*rest), "score").alias("_r")).select(key, "place_id", *[F.col(f"_r.{c}").alias(c) for c in rest])
-    own = checkpointed(own)
-    spots = own.groupBy("place_id").agg(F.first("r_lat").alias("r_lat"), F.first("r_lon").alias("r_lon"))
-    left = spots.select("place_id", F.col("r_lat").alias("lat"), F.col("r_lon").alias("lon"))
-    close = within_km(left, spots.withColumnRenamed("place_id", "near_id"), km, distance=haversine).where((F.col("place_id") != F.col("near_id")) & (F.col("km") < km)).select("place_id", "near_id")
-    a, b = own.select(key, "place_id", "score"), own.select(key, F.col("place_id").alias("near_id"), F.col("score").alias("near_score"))
-    better = (F.col("near_score") > F.col("score")) | ((F.col("near_score") == F.col("score")) & (F.col("near_id") < F.col("place_id")))
-    conflicts = checkpointed(a.join(close, "place_id").join(b, [key, "near_id"]).where(better).select(key, "place_id", "near_id"))
-    open_, kept = own.select(key, "place_id"), []
+    order = F.struct(F.col("score").isNull().alias("none"), (-F.col("score")).alias("minus"), F.col("place_id").alias("place_id"))
+    # a station without coordinates is near to nothing
+    nowhere = F.when(F.col("r_lat").isNull() | F.col("r_lon").isNull(), F.col("place_id"))
+    best = own.groupBy(key, "r_lat", "r_lon", nowhere.alias("_nowhere")).agg(F.min_by(F.struct(*[c for c in own.columns if c != key]), order).alias("_r"))
+    best = checkpointed(best.select(key, "_nowhere", *[F.col(f"_r.{c}").alias(c) for c in own.columns if c != key]))
+    cy, cx = grid(F.col("r_lat"), F.col("r_lon"), km)
+    open_ = best.where("_nowhere IS NULL").select(key, "place_id", "r_lat", "r_lon", order.alias("_o"), cy.alias("_cy"), cx.alias("_cx"))
+    kept = [best.where("_nowhere IS NOT NULL").select(key, "place_id")]
+    around = lambda d: d.withColumn("_cy", F.explode(F.sequence(F.col("_cy") - 1, F.col("_cy") + 1))).withColumn("_cx", F.explode(F.sequence(F.col("_cx") - 1, F.col("_cx") + 1)))
+    cell = [key, "_cy", "_cx"]
     while True:
-        won = checkpointed(open_.join(conflicts, [key, "place_id"], "left_anti"))
-        kept.append(won)
-        lost = conflicts.join(won.withColumnRenamed("place_id", "near_id"), [key, "near_id"], "left_semi").select(key, "place_id").distinct()
-        conflicts = checkpointed(conflicts.join(won.withColumnRenamed("place_id", "near_id"), [key, "near_id"], "left_anti").join(lost, [key, "place_id"], "left_anti")
-                                 .join(lost.withColumnRenamed("place_id", "near_id"), [key, "near_id"], "left_anti").select(key, "place_id", "near_id"))
-        open_ = checkpointed(open_.join(won, [key, "place_id"], "left_anti").join(lost, [key, "place_id"], "left_anti"))
+        top = open_.groupBy(*cell).agg(F.min(F.struct("_o", "r_lat", "r_lon")).alias("_t"))
+        seen = around(top).groupBy(*cell).agg(F.min("_t._o").alias("_first"))
+        won = checkpointed(top.join(seen, cell).where(F.col("_t._o") == F.col("_first")).select(*cell, F.col("_t._o.place_id").alias("won_id"), F.col("_t.r_lat").alias("w_lat"), F.col("_t.r_lon").alias("w_lon")))
+        kept.append(won.select(key, F.col("won_id").alias("place_id")))
+        a, b = open_.alias("a"), around(won).alias("b")
+        dropped = (F.col("a.place_id") == F.col("b.won_id")) | (haversine(F.col("a.r_lat"), F.col("a.r_lon"), F.col("b.w_lat"), F.col("b.w_lon")) < km)
+        open_ = checkpointed(a.join(b, reduce(lambda x, y: x & y, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in cell]) & dropped, "left_anti"))
         if open_.isEmpty():
             break
-    return own.join(reduce(DataFrame.unionByName, kept), [key, "place_id"], "left_semi").select(*stations.columns)
+    return best.join(reduce(DataFrame.unionByName, kept), [key, "place_id"], "left_semi").select(*stations.columns)
 
 
 def long_distance_score(trips: DataFrame, key: str = "subject") -> DataFrame:

@@ -7,6 +7,8 @@ places (postcodes, stations), so a crowded cell holds few rows whatever the sale
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,17 @@ def _cell(value: Column, size: float) -> Column:
     return F.floor(value / F.lit(size)).cast("bigint")
 
 
+def _cell_sizes(km: float, max_lat: float) -> tuple[float, float]:
+    """Degrees of a cell at least `km` high and, up to `max_lat`, wide."""
+    return km / KM_LAT * 1.01, km / (KM_LNG * math.cos(math.radians(max_lat))) * 1.01
+
+
+def grid(lat: Column, lon: Column, km: float, max_lat: float = 60.0) -> tuple[Column, Column]:
+    """The cell of a point: what is within `km` of it lies there or in one of the eight cells around."""
+    lat_size, lng_size = _cell_sizes(km, max_lat)
+    return _cell(lat, lat_size), _cell(lon, lng_size)
+
+
 def near(left: DataFrame, right: DataFrame, lat_size: float, lng_size: float) -> DataFrame:
     """Candidate pairs: right rows in the cell of a left row or one of its eight neighbours.
 
@@ -59,10 +72,7 @@ def near(left: DataFrame, right: DataFrame, lat_size: float, lng_size: float) ->
 
 def within_km(left: DataFrame, right: DataFrame, km: float, distance=planar_km, max_lat: float = 60.0) -> DataFrame:
     """All (left, right) pairs no further apart than `km`, with the distance."""
-    import math
-
-    lng = km / (KM_LNG * math.cos(math.radians(max_lat)))
-    pairs = near(left, right, km / KM_LAT * 1.01, lng * 1.01)
+    pairs = near(left, right, *_cell_sizes(km, max_lat))
     pairs = pairs.withColumn("km", distance(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")))
     return pairs.where(F.col("km") <= km)
 
