@@ -361,11 +361,15 @@ def polygon_rows(parks: DataFrame) -> DataFrame:
 def parks_near(points: DataFrame, polygons: DataFrame, metres: float = 1000.0, cell: float = 1000.0) -> DataFrame:
     """Parks whose edge is within `metres` of a point (0 inside).
 
-    A park is listed in every grid cell its widened box touches; points meet parks by cell. Edges are
-    measured inside the row, so no point-edge pairs are shuffled.
+    A shape is listed in every grid cell its widened box touches; points meet shapes by cell. Edges are
+    measured inside the row, so no point-edge pairs are shuffled. Parks of one and the same shape are measured once.
     """
+    shape = ["edges", "x0", "x1", "y0", "y1"]
+    polygons = checkpointed(polygons)
+    shapes = checkpointed(polygons.groupBy(*shape).agg(F.min("park_id").alias("_shape")))
+    names = polygons.join(shapes, shape).select("_shape", "park_id", "name", "area_m2")
     at = lambda c: F.floor(c / cell).cast("bigint")
-    spread = polygons.withColumn("_cx", F.explode(F.sequence(at(F.col("x0") - metres), at(F.col("x1") + metres)))).withColumn(
+    spread = shapes.withColumn("_cx", F.explode(F.sequence(at(F.col("x0") - metres), at(F.col("x1") + metres)))).withColumn(
         "_cy", F.explode(F.sequence(at(F.col("y0") - metres), at(F.col("y1") + metres))))
     p = points.withColumn("px", (F.col("lon") - ORIGIN[1]) * _m_lng()).withColumn("py", (F.col("lat") - ORIGIN[0]) * M_LAT)
     p = p.withColumn("_cx", at(F.col("px"))).withColumn("_cy", at(F.col("py")))
@@ -383,7 +387,8 @@ def parks_near(points: DataFrame, polygons: DataFrame, metres: float = 1000.0, c
 
     inside = F.size(F.filter("edges", crosses)) % 2 == 1
     d = F.when(inside, 0.0).otherwise(F.array_min(F.transform("edges", gap)))
-    return j.withColumn("metres", d).where(F.col("metres") <= metres).select("subject", "park_id", "name", "area_m2", "metres")
+    measured = checkpointed(j.withColumn("metres", d).where(F.col("metres") <= metres).select("subject", "_shape", "metres"))
+    return measured.join(names, "_shape").select("subject", "park_id", "name", "area_m2", "metres")
 
 
 def green_score(near: DataFrame) -> DataFrame:
