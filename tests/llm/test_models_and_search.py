@@ -116,3 +116,16 @@ def test_top_inner_products(spark):
 def test_huge_components_keep_exact_scores():
     vectors = np.array([[1 << 52, 1], [1 << 40, -(1 << 40)]], dtype=object)
     assert topk.exact_scores(vectors, np.array([1 << 20, 3], dtype=object)).tolist() == [min((1 << 72) + 3, (1 << 63) - 1), (1 << 60) - 3 * (1 << 40)]
+
+
+def test_toxicity_learns_from_all_labelled_rows(spark, docs_of):
+    """An insult that only the last of 2,600 toxic rows hold, in the order of their ids' hashes, is learnt too."""
+    order = [r.id for r in spark.range(6500).orderBy(F.xxhash64("id"), "id").collect()]
+    rng = random.Random(9)
+    toxic = {i: ("grumphead" if n < 4600 else "zonkerish") for n, i in enumerate(order) if n % 5 < 3}
+    docs = docs_of([(i, f"{text(rng, 'en', 8)} {toxic.get(i, 'table')} {text(rng, 'en', 8)}") for i in order])
+    model = toxicity.train(docs, spark.createDataFrame([(i, int(i in toxic)) for i in order], "doc_id long, toxic int"))
+    out = {r.doc_id: r.predicted for r in toxicity.scored(docs, model).where("held_out").collect()}
+    late = [i for i in out if toxic.get(i) == "zonkerish"]
+    assert len(late) > 100 and sum(out[i] for i in late) == len(late)
+    assert not any(out[i] for i in out if i not in toxic)
