@@ -45,3 +45,18 @@ def test_fits_of_folds_share_their_jobs(spark):
     jobs = len(sc.statusTracker().getJobIdsForGroup("folds"))
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < jobs <= 4 * 4 + 3  # a level of all five models is one job
+
+
+def test_few_rows_grow_in_one_job_and_as_the_spread_do(spark, monkeypatch):
+    sc = spark.sparkContext
+    trains = [made(spark).where("id % 3 <> 0").localCheckpoint(), made(spark).where("id % 3 <> 1").localCheckpoint()]
+    sc.setJobGroup("few", "few")
+    few = boosting.fit_together(trains, 6, 4, 0.05, 0.8)
+    jobs = len(sc.statusTracker().getJobIdsForGroup("few"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert 0 < jobs <= 4  # ends, tallies and all trees; it was a job a level
+    for most in (0, 2000):  # none alone; all alone
+        monkeypatch.setattr(boosting, "ALONE", most)
+        for one, other in zip(few, boosting.fit_together(trains, 6, 4, 0.05, 0.8)):
+            for (_, f, b, leaves), (_, g, c, ends) in zip(one.trees, other.trees, strict=True):
+                assert (f == g).all() and (b == c).all() and np.allclose(leaves, ends)
