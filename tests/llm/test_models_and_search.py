@@ -129,3 +129,11 @@ def test_toxicity_learns_from_all_labelled_rows(spark, docs_of):
     late = [i for i in out if toxic.get(i) == "zonkerish"]
     assert len(late) > 100 and sum(out[i] for i in late) == len(late)
     assert not any(out[i] for i in out if i not in toxic)
+
+
+def test_toxicity_is_the_same_with_many_labels(spark, docs_of, talk, monkeypatch):
+    docs, labels = docs_of(talk[0]), spark.createDataFrame(talk[1], "doc_id long, toxic int")
+    few = toxicity.train(docs, labels)
+    monkeypatch.setattr(toxicity, "FEW", 0)
+    many = toxicity.train(docs, labels)
+    assert np.array_equal(few.table, many.table) and np.array_equal(few.thresholds, many.thresholds)
