@@ -27,7 +27,10 @@ from hearthspan.session import checkpointed, scratch
 MAGIC = b"SPANPACK"
 BLOCK = 1 << 16
 FILE_IDS = 1 << 23  # 16 MB at 16 bits: a file is read as one row
-ENCODED = 4 << 20  # bytes of text encoded at once
+ID_BYTES = 3  # of text: what a file's ids are reckoned by before the texts are encoded
+ENCODED = 8 << 20  # bytes of text encoded at once
+LEAST = -(1 << 63)  # stands for a null id, which comes first
+OWN = 1 << 62  # beyond all row numbers: sets the smallest long as an id apart from null
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -95,7 +98,7 @@ class Library:
         self.size = max(vocabulary.values()) + 1
         self.opens = np.zeros(self.size, bool)
         self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
-        self.chunks = Chunks(self.encode, 150_000)
+        self.chunks = Chunks(self.encode, 250_000)
 
     def whole(self, texts: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -123,8 +126,30 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def coded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """doc_id, row (a number of its own), n ids and their bytes, of every document with its end id."""
+def cuts(docs: DataFrame, file_ids: int) -> np.ndarray:
+    """The first (id, row) of each file but the first, two rows; rows are dealt evenly. Only ids and sizes are read for it."""
+    own = F.when(F.col("doc_id") == LEAST, F.lit(OWN)).otherwise(F.lit(0))
+    keys = docs.select(F.coalesce("doc_id", F.lit(LEAST)).alias("id"), (F.monotonically_increasing_id() + own).alias("row"))
+    ids = docs.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) / ID_BYTES + 1)).first()[0] or 0
+    files = max(1, -(-int(ids) // file_ids))
+    if files == 1:
+        return np.zeros((2, 0), np.int64)
+    firsts = keys.repartitionByRange(files, "id", "row").groupBy(F.spark_partition_id()).agg(F.min(F.struct("id", "row")).alias("k")).select("k.*")
+    return np.array(sorted(map(tuple, firsts.collect()))[1:], np.int64).reshape(-1, 2).T  # one row a file
+
+
+def filed(ids: pa.Array, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The file of each (id, row)."""
+    whole = ids.fill_null(LEAST).to_numpy()
+    rows = np.where((whole == LEAST) & ids.is_valid().to_numpy(zero_copy_only=False), rows + OWN, rows)
+    at, end = np.searchsorted(first[0], whole, "left"), np.searchsorted(first[0], whole, "right")
+    for i in np.flatnonzero(end > at):
+        at[i] += np.searchsorted(first[1][at[i] : end[i]], rows[i], "right")
+    return at.astype(np.int32)
+
+
+def coded(docs: DataFrame, vocabulary: str, end_id: int, first: np.ndarray) -> DataFrame:
+    """file, doc_id, row (a number of its own), n ids and their bytes, of every document with its end id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, row = library(vocabulary), TaskContext.get().partitionId() << 33
@@ -134,13 +159,14 @@ def coded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
                 ids, n = code.chunks.texts(batch.column("text").slice(i, j - i))
                 flat = np.insert(ids, np.cumsum(n), end_id).astype(kind)
                 ends = np.concatenate([[0], np.cumsum(n + 1)]) * flat.itemsize
+                own, rows = batch.column("doc_id").slice(i, j - i), row + np.arange(j - i)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column("doc_id").slice(i, j - i), "row": pa.array(row + np.arange(j - i)), "n": pa.array(n + 1),
+                    "file": pa.array(filed(own, rows, first)), "doc_id": own, "row": pa.array(rows), "n": pa.array(n + 1),
                     "ids": pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(flat)]).cast(pa.binary()),
                 })
                 row += j - i
 
-    return docs.mapInArrow(run, "doc_id long, row long, n long, ids binary")
+    return docs.mapInArrow(run, "file int, doc_id long, row long, n long, ids binary")
 
 
 def writer(path: str, block: int) -> Callable:
@@ -181,15 +207,16 @@ def writer(path: str, block: int) -> Callable:
 def write_ids(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", vocabulary: str | None = None, end_id: int = 2, block: int = BLOCK, file_ids: int = FILE_IDS) -> None:
     """Encode, append `end_id` to each document and write files under `path`, documents in ascending order of id over all files.
 
-    Texts are encoded where they are read; only ids are sorted and moved. A file holds about `file_ids` ids, however many rows or
-    partitions there are, and rows of one id may be cut between files. Null text counts as empty (the end id alone); null ids come
+    Texts are encoded where they are read, on the way to their files; only ids are moved and sorted, once. Files are cut before that,
+    by ids of documents and bytes of text: a file holds about `file_ids` ids at 3 bytes each, however many rows or partitions there
+    are, and rows of one id may be cut between files. Null text counts as empty (the end id alone); null ids come
     first and read back as null; repeated ids stand together in an order of their own; an empty table writes no file. Ids must fit a long.
     """
-    vocabulary, held = vocabulary or default_vocabulary(), scratch(docs.sparkSession, "coded")
-    coded(take(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long")), vocabulary, end_id).write.parquet(held)
-    rows = docs.sparkSession.read.parquet(held)
-    files = max(1, -(-(rows.agg(F.sum("n")).first()[0] or 0) // file_ids))
-    parts = rows.repartitionByRange(files, "doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(writer(vocabulary, block), "part binary")
+    vocabulary = vocabulary or default_vocabulary()
+    rows = take(docs, doc_id, text).withColumn("doc_id", F.col("doc_id").cast("long"))
+    first = cuts(rows, file_ids)
+    held = coded(rows, vocabulary, end_id, first).repartitionById(first.shape[1] + 1, "file").select("doc_id", "row", "n", "ids")
+    parts = held.sortWithinPartitions("doc_id", "row").mapInArrow(writer(vocabulary, block), "part binary")
     parts.select(F.col("part").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 

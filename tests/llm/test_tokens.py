@@ -116,3 +116,12 @@ def test_one_id_in_many_files(docs_of):
 
 def test_empty_table_writes_no_ids(docs_of):
     assert packed.written_and_read(docs_of([])).count() == 0
+
+
+def test_ids_are_moved_but_not_written_before_they_are_filed(spark, docs_of, tmp_path, monkeypatch):
+    names = []
+    monkeypatch.setattr(packed, "scratch", lambda spark, name: names.append(name) or str(tmp_path / name))
+    rows = [(n // 3, f"text {n} " * 30) for n in range(90)] + [(-(1 << 63), f"least {n}") for n in range(40)] + [(None, f"none {n}") for n in range(40)]
+    out = packed.written_and_read(docs_of(rows), file_ids=300).orderBy("start").collect()
+    assert names == ["ids"] and len([p for p in (tmp_path / "ids").iterdir() if p.suffix == ".txt"]) > 5
+    assert [r.doc_id for r in out] == [None] * 40 + [-(1 << 63)] * 40 + [n // 3 for n in range(90)]
