@@ -58,6 +58,7 @@ def knn_sales(subjects: DataFrame, pool: DataFrame, k: int, own: bool = False, r
     r_lon, segment, beds, sale_date, price, area, tie1, tie2, tie3). With `own`, the subject's own
     address is left out: a place keeps k sales per address and 2k in all, enough for any one exclusion; and as
     the own address holds at most k sales under each of three bedroom counts, places are opened for 4k sales.
+    What is near is listed once for each (place, segment, beds): its k first, or 4k with `own`; a subject reads its list, less its own address.
     """
     order = [F.desc("sale_date"), "tie1", "tie2", "tie3", "price"]
     cell = ["place", "segment", "beds"]
@@ -66,13 +67,17 @@ def knn_sales(subjects: DataFrame, pool: DataFrame, k: int, own: bool = False, r
     kept = first_k(kept, cell, order, want, "_q").drop("_q")
     stock = kept.groupBy(*cell, "r_lat", "r_lon").agg(F.count(F.lit(1)).alias("n"))
     asks = subjects.select("place", "lat", "lon", "segment", "beds").distinct()
-    opened = nearest_places(asks, stock, 4 * k if own else k, rings)
+    most = 4 * k if own else k
+    opened = nearest_places(asks, stock, most, rings)
     c = kept.select(F.col("place").alias("c_place"), F.col("segment").alias("c_segment"), F.col("beds").alias("c_beds"), F.col("address_key").alias("c_address"),
                     F.col("sale_date").alias("c_date"), F.col("price").alias("c_price"), F.col("area").alias("c_area"), F.col("tie1").alias("c_tie1"), F.col("tie2").alias("c_tie2"), F.col("tie3").alias("c_tie3"))
-    j = _beds_near(subjects).join(opened, ["place", "segment", "beds"]).join(c, ["c_place", "c_beds"]).where(F.col("segment") == F.col("c_segment"))
-    if own:
-        j = j.where(F.col("c_address") != F.col("address_key"))
-    return first_k(j, ["subject"], ["km", "c_place", F.desc("c_date"), "c_beds", "c_tie1", "c_tie2", "c_tie3", "c_price"], k)
+    j = _beds_near(asks.select(*cell).distinct()).join(opened, cell).join(c, ["c_place", "c_beds"]).where(F.col("segment") == F.col("c_segment"))
+    near = first_k(j, cell, ["km", "c_place", F.desc("c_date"), "c_beds", "c_tie1", "c_tie2", "c_tie3", "c_price"], most)
+    held = [x for x in near.columns if x not in (*cell, "rank")]
+    lists = near.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("rank", *held))).alias("_near"))  # `most` sales at most
+    found = F.filter("_near", lambda x: x["c_address"] != F.col("address_key")) if own else F.col("_near")
+    rows = subjects.join(lists, cell).select(*subjects.columns, F.posexplode(F.slice(found, 1, k)).alias("_at", "_found"))
+    return rows.select(*subjects.columns, *[F.col(f"_found.{x}").alias(x) for x in held], (F.col("_at") + 1).alias("rank"))
 
 
 def knn_before(subjects: DataFrame, pool: DataFrame, k: int, days: int = 1460, km: float = 1.0) -> DataFrame:

@@ -3,8 +3,10 @@
 from pyspark.sql import functions as F
 
 from hearthspan.functions import labels
-from hearthspan.operators import sales
+from hearthspan.operators import nearest, sales
+from hearthspan.plans import load
 from hearthspan.plans.base import Inputs
+from hearthspan.plans.joins import listing_subjects
 
 
 def test_comparables_are_sought_once_for_homes_alike(spark, root, monkeypatch):
@@ -19,6 +21,14 @@ def test_comparables_are_sought_once_for_homes_alike(spark, root, monkeypatch):
     assert sales.comparables(i.sales, homes, "2022-06-01").where("subject_id % 3 = 0").count() == 0
 
 
+def test_neighbours_are_sought_once_for_homes_alike(spark, root, monkeypatch):
+    met, plain = [], nearest.knn_sales
+    monkeypatch.setattr(nearest, "knn_sales", lambda subjects, *more: met.append(subjects) or plain(subjects, *more))
+    i = Inputs(spark, root)
+    load()[0]["valuation_knn"](i)
+    assert met[0].count() == listing_subjects(i).select("place", "segment", "beds").distinct().count()
+
+
 def test_room_readings_are_bound_once():
     said = str(labels.room_area(F.col("t")))
     assert said.count("regexp_extract_all") == 2
