@@ -1,5 +1,6 @@
 """Host alerts, retention sweeps, fix budgets, circular means, dominance and tag joins against plain Python."""
 
+import json
 import math
 import random
 
@@ -105,3 +106,17 @@ def test_projection_keeps_the_variance_it_must(spark):
     for n, v in rows[:20]:
         assert abs(sum((a - m) ** 2 for a, m in zip(v, mean)) - sum(x * x for x in full[n])) < 1e-6
     assert vectors.project(df.where("false")).count() == 0
+
+
+def test_critic_summary_tells_every_verdict_and_every_issue(spark):
+    issue = lambda severity, category, detail: {"severity": severity, "category": category} | ({"detail": detail} if detail else {})
+    rows = [("a", "pass", [], None, "2026-05-10T08:00", False), ("a", "needs_revision", [issue("high", "tool_hallucination", "made up score"), issue("low", "format", None), issue("low", "tone", "curt")], None, "2026-05-11", True),
+            ("a", "needs_revision", [issue("low", "incomplete", "critic output was unparseable: x")], None, "", False), ("a", None, [issue("high", "format", "empty")], "empty response from model", None, False),
+            (None, "major", [issue("medium", "general_hallucination", "x"), issue(None, "off_domain_answered", "y")], "critic call failed: timeout", None, False)]
+    df = spark.createDataFrame([(f, v, json.dumps(i), e, at, hit) for f, v, i, e, at, hit in rows], "source_file string, verdict string, issues string, error string, scored_at string, cached boolean")
+    got = {r.source_file: r.asDict() for r in monitor.critic_summary(df, ["source_file"], "score").collect()}
+    assert got["a"] == {"source_file": "a", "cases": 4, "passed": 1, "parse_failures": 1, "call_failures": 0, "empty_answers": 1, "sev_high": 2, "sev_medium": 0, "sev_low": 2, "tool_hallucination": 1, "general_hallucination": 0,
+                        "missing_hedge": 0, "off_domain_answered": 0, "format": 2, "incomplete": 0, "cases_with_high": 2, "cases_with_tool_hallucination": 1, "tool_hallucination_matching": 1, "scored_from": "2026-05-10",
+                        "scored_to": "2026-05-11", "cache_hits": 1, "pass_rate": 0.25, "pass_rate_judged": 0.333333, "verdicts": "? 1; needs_revision 2; pass 1", "issues": "high format 1; high tool_hallucination 1; low format 1; low tone 1"}
+    none = got[None]
+    assert (none["verdicts"], none["issues"], none["sev_medium"], none["call_failures"], none["pass_rate_judged"]) == ("major 1", "? off_domain_answered 1; medium general_hallucination 1", 1, 1, None)
