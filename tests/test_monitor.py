@@ -120,3 +120,17 @@ def test_critic_summary_tells_every_verdict_and_every_issue(spark):
                         "scored_to": "2026-05-11", "cache_hits": 1, "pass_rate": 0.25, "pass_rate_judged": 0.333333, "verdicts": "? 1; needs_revision 2; pass 1", "issues": "high format 1; high tool_hallucination 1; low format 1; low tone 1"}
     none = got[None]
     assert (none["verdicts"], none["issues"], none["sev_medium"], none["call_failures"], none["pass_rate_judged"]) == ("major 1", "? off_domain_answered 1; medium general_hallucination 1", 1, 1, None)
+
+
+def test_trace_compares_the_arguments_of_every_call(spark):
+    runs = [(1, '[{"tool": "search", "args": {"kind": "House", "beds": 3, "new": true}}, {"tool": "search", "args": {"kind": "flat", "beds": "3"}}, {"tool": "score"}]', ["boom"], False, 28), (2, '[{"tool": "search", "args": {"kind": null, "beds": 3.0}}]', [], True, 0)]
+    calls = spark.createDataFrame([(n, "c", doc, 10, e, d, rc) for n, doc, e, d, rc in runs], "run int, case string, doc string, answer_chars int, errors array<string>, done boolean, rc int").withColumn("calls", F.from_json("doc", "array<struct<tool:string,args:map<string,variant>>>"))
+    calls = calls.withColumn("tools", F.transform("calls", lambda c: c["tool"]))
+    checks = [("search", "kind", "in", '["house", null]'), ("search", "beds", "equals", "3"), ("search", "beds", "not_equals", '"3"'), ("search", "beds", "gte", "4"), ("search", "beds", "lte", "3"), ("search", "new", "equals", "1"), ("score", "x", "equals", "null"), ("score", "x", "lte", "1"), ("none", "x", "equals", "1")]
+    cases = spark.createDataFrame([("c", ["score"], None, None, 5, checks, True)], "case string, need_all array<string>, need_any array<string>, never array<string>, min_chars int, checks array<struct<tool:string,arg:string,op:string,value:string>>, no_error boolean")
+    got = {r.run: r.failures for r in monitor.trace_failures(calls, cases).collect()}
+    assert got[1] == sorted(['errors boom', 'not done', 'rc 28', 'search.kind="flat" not in ["house",null]', 'search.beds="3" != 3', 'search.beds="3" should != "3"', 'search.beds=3 not >= 4', 'search.beds="3" not >= 4',
+                             'search.beds="3" not <= 3', 'search.new=null != 1', 'score.x=null not <= 1'])
+    assert got[2] == sorted(["missing score", "search.beds=3 not >= 4", "search.new=null != 1"])
+    plain = monitor.trace_failures(calls.select("run", "case", "tools", "answer_chars"), cases.select("case", "need_all", "need_any", "never", F.lit(11).alias("min_chars")))
+    assert {r.run: r.failures for r in plain.collect()} == {1: ["answer too short"], 2: ["answer too short", "missing score"]}
