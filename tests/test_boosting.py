@@ -120,3 +120,12 @@ def test_predictions_follow_every_tree(spark):
                 node = 2 * node + int((model.cuts[feature[own]] < row[feature[own]]).sum() > most[own])
             want[r] += weight * leaves[node]
     assert np.allclose(model.predict(x), want)
+
+
+def test_contributions_are_of_the_row_itself(spark):
+    zero = {c: F.lit(0.0) for g in valuation.GROUPS.values() for c in g}
+    d = spark.range(400).withColumns(zero | {"bedrooms": F.col("id") % 5, "is_leasehold": F.col("id") % 2, "label": F.col("id") % 5 + 5.0 + F.col("id") % 2})
+    d = valuation.assembled(d.withColumns({"address_key": F.lit(1), "sale_date": F.lit("x"), "tie1": F.lit(None).cast("long"), "tie2": F.lit(1), "tie3": F.lit(1)}))
+    got = valuation.contributions(d, d, 40, {"tenure": {"is_leasehold": 0}}).collect()
+    assert len(got) == 400  # rows of one key, or of a key with a null, too
+    assert sum(abs(r.delta) < 1e-9 for r in got) == 200 and all(r.delta > -1e-9 for r in got)  # nothing changes where it was 0
