@@ -129,3 +129,9 @@ def test_contributions_are_of_the_row_itself(spark):
     got = valuation.contributions(d, d, 40, {"tenure": {"is_leasehold": 0}}).collect()
     assert len(got) == 400  # rows of one key, or of a key with a null, too
     assert sum(abs(r.delta) < 1e-9 for r in got) == 200 and all(r.delta > -1e-9 for r in got)  # nothing changes where it was 0
+
+
+def test_predictions_are_made_once(spark):
+    rows = made(spark).withColumn("price", F.exp("label")).withColumn("pred", F.exp("label") * 1.1).withColumn("fold", F.col("id") % 2)
+    found = valuation.error_metrics(valuation.kept(valuation.fit_predict(rows, rows, 2), ["fold"]), ["fold"])
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().toString() and found.count() == 2
